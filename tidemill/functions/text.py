@@ -11,7 +11,8 @@ KIB = 1024
 def humanize_size(size: Column) -> Column:
     """Byte count as B, KB, MB or GB, in powers of 1024 and with one decimal."""
     def scaled(unit: int, name: str) -> Column:
-        return F.format_string(f"%.1f {name}", size / F.lit(float(unit)))
+        # Ties go to the even digit; the formatter alone would round them up.
+        return F.format_string(f"%.1f {name}", F.bround(size / F.lit(float(unit)), 1))
 
     return (
         F.when(size < KIB, F.format_string("%d B", size))
