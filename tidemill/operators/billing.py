@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.session import settings_table
+
 MONEY = "decimal(18,6)"
 # Wide enough for a sum over every row of a very large table.
 TOTAL = "decimal(38,6)"
@@ -14,8 +17,8 @@ DRILL_UNITS = ("day", "hour", "minute")
 
 
 def pricing_table(spark: SparkSession, rows: Sequence[tuple[str, float, int]]) -> DataFrame:
-    return spark.createDataFrame(
-        list(rows), "gpu_type string, cost_per_hour double, min_billing_seconds int")
+    return settings_table(spark, rows, {
+        "gpu_type": pa.string(), "cost_per_hour": pa.float64(), "min_billing_seconds": pa.int32()})
 
 
 def job_cost(

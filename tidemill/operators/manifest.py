@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.session import settings_table
+
 # Inclusive shard ranges (worker, first, last).
 WORKER_RANGES = (
     (0, 1, 4), (1, 4, 8), (2, 8, 12), (3, 12, 15),
@@ -34,7 +37,8 @@ PARAMETER_RULES = (
 def range_table(
     spark: SparkSession, ranges: Sequence[tuple[int, int, int]] = WORKER_RANGES
 ) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in ranges], "worker int, lo int, hi int")
+    return settings_table(
+        spark, ranges, {"worker": pa.int32(), "lo": pa.int32(), "hi": pa.int32()})
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, width: int) -> DataFrame:

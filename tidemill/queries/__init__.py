@@ -1,6 +1,15 @@
 """Registered queries: each operator bound to the given tables, with its SQL check."""
 
-from tidemill.queries import catalog, evaluation, examples, files, telemetry  # noqa: F401
+from tidemill.queries import (  # noqa: F401
+    catalog,
+    evaluation,
+    events,
+    examples,
+    files,
+    jobs,
+    manifest,
+    telemetry,
+)
 from tidemill.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

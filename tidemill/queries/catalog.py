@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import hash_id as short_hash
 from tidemill.operators import catalog, select
 from tidemill.queries.registry import query
-from tidemill.session import table
+from tidemill.session import settings_table, table
 
 DAY = "yyyy-MM-dd"
 
@@ -144,9 +145,10 @@ def lookup_default(spark: SparkSession, sf: str) -> DataFrame:
 FROM part LEFT JOIN (VALUES ('economy', 'Brand#2', 8), ('economy', 'Brand#4', 16), ('small', 'Brand#5', 32),
   ('promo', 'Brand#17', 64)) v(family, size, cores) ON lower(p_type) = v.family AND p_brand = v.size""")
 def split_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    configs = spark.createDataFrame(
-        [("economy", "Brand#2", 8), ("economy", "Brand#4", 16), ("small", "Brand#5", 32),
-         ("promo", "Brand#17", 64)], "family string, size string, cores int")
+    configs = settings_table(
+        spark, [("economy", "Brand#2", 8), ("economy", "Brand#4", 16), ("small", "Brand#5", 32),
+                ("promo", "Brand#17", 64)],
+        {"family": pa.string(), "size": pa.string(), "cores": pa.int32()})
     models = table(spark, sf, "part").select("p_partkey", F.concat_ws("-", "p_type", "p_brand").alias("model"))
     return catalog.split_lookup(models, "model", configs).select("p_partkey", "family", "size", "cores")
 

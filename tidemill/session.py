@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that hold on a laptop and on a cluster alike. The number of shuffle
@@ -59,3 +61,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settings_table(spark: SparkSession, rows: Sequence[tuple], schema: dict[str, pa.DataType]) -> DataFrame:
+    """A small table of settings such as prices or ranges, as a local relation."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return spark.createDataFrame(pa.table(
+        {n: pa.array(c, t) for (n, t), c in zip(schema.items(), columns)}))
