@@ -21,7 +21,7 @@ def parse_events(
 
 
 def tumbling_counts(
-    df: DataFrame, width: str, ts: str = "ts", event: str = "event_type", user: str = "user_id",
+    df: DataFrame, width: str, ts: str = "ts", event: str = "event_type",
     watermark: str | None = None,
 ) -> DataFrame:
     """Events per window and name; the same plan serves tables and streams."""

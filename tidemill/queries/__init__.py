@@ -8,7 +8,9 @@ from tidemill.queries import (  # noqa: F401
     files,
     jobs,
     manifest,
+    streams,
     telemetry,
+    vocab,
 )
 from tidemill.queries.registry import ORACLES, QUERIES
 
