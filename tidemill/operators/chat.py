@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.plans.segments import scan_keys
 
 TURN_SHIFT = 12
+BLOCK_SHIFT = 6
 
 
 def turn_pairs(
@@ -36,21 +37,17 @@ def turn_pairs(
 
 
 def chat_blocks(
-    df: DataFrame, block: int = 64, conv: str = "conv_id", turn: str = "turn",
-    role: str = "role", text: str = "text",
+    df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
 ) -> DataFrame:
-    """A conversation as a sequence of message arrays, ``block`` turns each."""
+    """A conversation as a sequence of message arrays, 2**BLOCK_SHIFT turns each."""
     message = F.struct(turn, F.col(role).alias("role"), F.col(text).alias("content"))
-    return (
-        df.withColumn("block_no", F.floor(F.col(turn) / block))
-        .groupBy(conv, "block_no")
-        .agg(F.array_sort(F.collect_list(message)).alias("messages"))
-    )
+    block = F.shiftright(F.col(turn).cast("bigint"), BLOCK_SHIFT)
+    return df.groupBy(conv, block.alias("block_no")).agg(
+        F.array_sort(F.collect_list(message)).alias("messages"))
 
 
 def chat_context(
-    df: DataFrame, block: int = 64, conv: str = "conv_id", turn: str = "turn",
-    role: str = "role", text: str = "text",
+    df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
 ) -> DataFrame:
     """For each assistant turn, the messages it answers.
 
@@ -58,22 +55,15 @@ def chat_context(
     the messages of its own block (``tail``) and the number of messages before them
     (``n_earlier``); those are ``chat_blocks`` of the same conversation with a lower
     ``block_no``. Nothing is cut: blocks and tail together are the whole history, and a
-    conversation of up to ``block`` turns has its whole history in the tail.
+    conversation within one block has its whole history in the tail.
     """
     message = F.struct(F.col(role).alias("role"), F.col(text).alias("content"))
-    counted = scan_keys(
-        df, keys=[conv], order=turn, shift=TURN_SHIFT,
-        sums={"__seen": F.lit(1).cast("bigint")},
-    ).withColumn("block_no", F.floor(F.col(turn) / block))
-    before = Window.partitionBy(conv, "block_no").orderBy(turn).rowsBetween(
-        Window.unboundedPreceding, -1)
-    return (
-        counted.withColumn("tail", F.collect_list(message).over(before))
-        .where(F.col(role) == "assistant")
-        .select(
-            conv, turn, "block_no",
-            (F.col("__seen") - 1 - F.size("tail")).alias("n_earlier"),
-            "tail",
-            F.col(text).alias("reply"),
-        )
-    )
+    scanned = scan_keys(
+        df, keys=[conv], order=turn, shift=BLOCK_SHIFT,
+        sums={"__seen": F.lit(1).cast("bigint")}, collected={"tail": message})
+    return scanned.where(F.col(role) == "assistant").select(
+        conv, turn,
+        F.shiftright(F.col(turn).cast("bigint"), BLOCK_SHIFT).alias("block_no"),
+        (F.col("__seen") - 1 - F.size("tail")).alias("n_earlier"),
+        "tail",
+        F.col(text).alias("reply"))

@@ -39,14 +39,13 @@ def _partition(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names] or [F.lit(0)]
 
 
-def _join_carry(df: DataFrame, carry: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Left join that also matches null keys."""
-    renamed = carry.select(*[F.col(n).alias(f"__r_{n}") if n in names else F.col(n)
-                             for n in carry.columns])
-    condition = F.lit(True)
-    for n in names:
-        condition = condition & F.col(n).eqNullSafe(F.col(f"__r_{n}"))
-    return df.join(renamed, condition, "left").drop(*[f"__r_{n}" for n in names])
+def _with_key(df: DataFrame, name: str, keys: Sequence[str], segment: Sequence[str]) -> DataFrame:
+    """Key and segment as one struct: never null itself, and equal for null keys.
+
+    Window, aggregate and join all use this one column, so they share a partitioning; a
+    null-safe comparison of the single columns would cost the join a shuffle of its own.
+    """
+    return df.withColumn(name, F.struct(*keys, *segment))
 
 
 def running_sum(
@@ -71,20 +70,22 @@ def running_sum(
 
     finest, upper = levels[0], levels[1:]
     seg = list(finest)
-    marked = df.withColumns(dict(finest)).withColumn("__v", value)
     depth = len(levels)
-    total, upto, carry = f"__t{depth}", f"__u{depth}", f"__c{depth}"
-    totals = marked.groupBy(*keys, *seg).agg(F.sum("__v").alias(total))
-    carried = running_sum(totals, F.col(total), upto, order=seg, levels=upper, keys=keys).select(
-        *keys, *seg, (F.col(upto) - F.col(total)).alias(carry))
-
-    window = Window.partitionBy(*keys, *seg).orderBy(*order).rowsBetween(
+    key, total, upto, carry = f"__k{depth}", f"__t{depth}", f"__u{depth}", f"__c{depth}"
+    marked = _with_key(df.withColumns(dict(finest)).withColumn("__v", value), key, keys, seg)
+    totals = marked.groupBy(key).agg(F.sum("__v").alias(total)).select(
+        *[F.col(f"{key}.{c}").alias(c) for c in keys + seg], total)
+    carried = running_sum(totals, F.col(total), upto, order=seg, levels=upper, keys=keys)
+    carried = _with_key(carried, key, keys, seg).select(
+        key, (F.col(upto) - F.col(total)).alias(carry))
+
+    window = Window.partitionBy(key).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     inside = marked.withColumn(out, F.sum("__v").over(window))
     return (
-        _join_carry(inside, carried, keys + seg)
+        inside.join(carried, key, "left")
         .withColumn(out, F.col(out) + F.col(carry))
-        .drop("__v", carry, *seg)
+        .drop(key, "__v", carry, *seg)
     )
 
 
@@ -98,48 +99,53 @@ def scan_keys(
     following: dict[str, Sequence[str]] | None = None,
     held: dict[str, Column] | None = None,
     sums: dict[str, Column] | None = None,
+    collected: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Several ordered computations per key with one window and one carry join.
 
     ``previous`` / ``following``: struct of the named columns of the row before / after,
     null where there is none. ``held``: last non-null value up to and including the row.
-    ``sums``: inclusive running sum. ``order`` is an integer column, unique per key; a
-    segment spans ``2**shift`` order values.
+    ``sums``: inclusive running sum. ``collected``: array of the values before the row
+    within its segment. ``order`` is an integer column, unique per key; a segment spans
+    ``2**shift`` order values.
     """
     keys = list(keys)
     previous, following = previous or {}, following or {}
-    held, sums = held or {}, sums or {}
+    held, sums, collected = held or {}, sums or {}, collected or {}
     at = F.col(order)
-    marked = df.withColumn("__seg", F.shiftright(at.cast("bigint"), shift)).withColumns(
-        {f"__v_{n}": v for n, v in {**held, **sums}.items()})
+    marked = _with_key(
+        df.withColumn("__seg", F.shiftright(at.cast("bigint"), shift)), "__k", keys, ["__seg"]
+    ).withColumns({f"__v_{n}": v for n, v in {**held, **sums, **collected}.items()})
 
     edges = {n: F.max_by(F.struct(*c), at) for n, c in previous.items()}
     edges |= {n: F.min_by(F.struct(*c), at) for n, c in following.items()}
     edges |= {n: F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)) for n in held}
     edges |= {n: F.sum(f"__v_{n}") for n in sums}
-    per_segment = marked.groupBy(*keys, "__seg").agg(
+    per_segment = marked.groupBy("__k").agg(
         *[e.alias(f"__e_{n}") for n, e in edges.items()])
 
-    across = Window.partitionBy(*_partition(keys)).orderBy("__seg")
+    across = Window.partitionBy(*_partition([f"__k.{k}" for k in keys])).orderBy("__k.__seg")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = {n: F.lag(f"__e_{n}").over(across) for n in previous}
     carried |= {n: F.lead(f"__e_{n}").over(across) for n in following}
     carried |= {n: F.last(f"__e_{n}", ignorenulls=True).over(before) for n in held}
     carried |= {n: F.sum(f"__e_{n}").over(before) for n in sums}
-    carry = per_segment.select(
-        *keys, "__seg", *[c.alias(f"__in_{n}") for n, c in carried.items()])
+    carry = per_segment.select("__k", *[c.alias(f"__in_{n}") for n, c in carried.items()])
 
-    inside = Window.partitionBy(*keys, "__seg").orderBy(order)
+    inside = Window.partitionBy("__k").orderBy(order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {n: F.lag(F.struct(*c)).over(inside) for n, c in previous.items()}
     local |= {n: F.lead(F.struct(*c)).over(inside) for n, c in following.items()}
     local |= {n: F.last(f"__v_{n}", ignorenulls=True).over(running) for n in held}
     local |= {n: F.sum(f"__v_{n}").over(running) for n in sums}
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local |= {n: F.collect_list(f"__v_{n}").over(earlier) for n in collected}
     windowed = marked.select("*", *[c.alias(f"__o_{n}") for n, c in local.items()])
 
-    joined = _join_carry(windowed, carry, keys + ["__seg"])
+    joined = windowed.join(carry, "__k", "left")
     out = {n: F.coalesce(f"__o_{n}", f"__in_{n}") for n in [*previous, *following, *held]}
     out |= {n: F.coalesce(F.col(f"__o_{n}") + F.col(f"__in_{n}"), f"__o_{n}", f"__in_{n}")
             for n in sums}
+    out |= {n: F.col(f"__o_{n}") for n in collected}
     kept = [F.col(c) for c in df.columns if c not in out]
     return joined.select(*kept, *[c.alias(n) for n, c in out.items()])

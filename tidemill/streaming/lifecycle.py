@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tidemill.operators.jobs import MAX_RUNTIME_HOURS
 
-STATE = StructType([StructField("started", LongType())])
-OUTPUT = "job_id string, outcome string, started timestamp, ended timestamp"
+STATE = StructType([StructField("started", LongType()), StructField("ended", BooleanType())])
+OUTPUT = "job_id string, outcome string, started_ms bigint, ended_ms bigint"
 # Timers and the Python state interface need this state store.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 SLOT = "1 minute"
-MILLIS = 1000
+HOUR_MS = 3600 * 1000
+REMEMBER_HOURS = 7 * 24
 
 
 class Deadline(StatefulProcessor):
@@ -27,56 +27,54 @@ class Deadline(StatefulProcessor):
 
     Rows arrive per slot of time and in no particular order within a batch. Rows up to a
     watermark are handed over before the timers up to it fire, so the outcome does not
-    depend on how the stream was cut into batches.
+    depend on how the stream was cut into batches. A job that has ended is remembered for
+    a while, so that its last events do not start it again, and then forgotten.
     """
 
-    def __init__(self, limit_millis: int) -> None:
-        self.limit = limit_millis
+    def __init__(self, limit_ms: int, remember_ms: int) -> None:
+        self.limit_ms = limit_ms
+        self.remember_ms = remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.started = handle.getValueState("started", STATE)
-        self.closed = handle.getValueState("closed", STATE)
+        self.job = handle.getValueState("job", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        slots = pd.concat(list(rows), ignore_index=True)
-        if self.closed.exists():
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        slots = [(r["first_ms"], r["done_ms"]) for r in rows]
+        state = self.job.get()
+        if state is not None and state[1]:
             return
-        earliest = int(slots["first_ms"].min())
-        known = self.started.get()[0] if self.started.exists() else None
-        start = earliest if known is None else min(known, earliest)
-        deadline = start + self.limit
-        finished = slots["done_ms"].dropna()
-        if len(finished) and finished.min() <= deadline:
+        known = None if state is None else state[0]
+        start = min(first for first, _ in slots)
+        if known is not None:
+            start = min(start, known)
+        done = min((d for _, d in slots if d is not None), default=None)
+        if done is not None and done <= start + self.limit_ms:
             if known is not None:
-                self.handle.deleteTimer(known + self.limit)
-                self.started.clear()
-            self.closed.update((start,))
-            yield _row(key, "finished", start, int(finished.min()))
-            return
-        if known != start:
+                self.handle.deleteTimer(known + self.limit_ms)
+            yield self._end(key, "finished", start, done)
+        elif known != start:
             if known is not None:
-                self.handle.deleteTimer(known + self.limit)
-            self.started.update((start,))
-            self.handle.registerTimer(deadline)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start = self.started.get()[0]
-        self.started.clear()
-        self.closed.update((start,))
-        yield _row(key, "timeout", start, start + self.limit)
+                self.handle.deleteTimer(known + self.limit_ms)
+            self.job.update((start, False))
+            self.handle.registerTimer(start + self.limit_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        start, ended = self.job.get()
+        if ended:
+            self.job.clear()
+        else:
+            yield self._end(key, "timeout", start, start + self.limit_ms)
+
+    def _end(self, key, outcome: str, start: int, end: int) -> Row:
+        self.job.update((start, True))
+        self.handle.registerTimer(end + self.remember_ms)
+        return Row(job_id=key[0], outcome=outcome, started_ms=start, ended_ms=end)
 
     def close(self) -> None:
         pass
 
 
-def _row(key, outcome: str, start_ms: int, end_ms: int) -> pd.DataFrame:
-    return pd.DataFrame({
-        "job_id": [key[0]], "outcome": [outcome],
-        "started": [pd.Timestamp(start_ms, unit="ms", tz="UTC")],
-        "ended": [pd.Timestamp(end_ms, unit="ms", tz="UTC")]})
-
-
 def stream_lifecycle(
     stream: DataFrame, done: Column, watermark: str, max_hours: int = MAX_RUNTIME_HOURS,
     job: str = "job_id", ts: str = "ts",
@@ -93,6 +91,8 @@ def stream_lifecycle(
         .agg(F.min(at).alias("first_ms"), F.min(F.when(done, at)).alias("done_ms"))
         .select("job_id", F.window_time("slot").alias("at"), "first_ms", "done_ms")
     )
-    return slots.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=Deadline(max_hours * 3600 * MILLIS),
+    ended = slots.groupBy("job_id").transformWithState(
+        statefulProcessor=Deadline(max_hours * HOUR_MS, REMEMBER_HOURS * HOUR_MS),
         outputStructType=OUTPUT, outputMode="append", timeMode="eventtime")
+    return ended.select("job_id", "outcome", F.timestamp_millis("started_ms").alias("started"),
+                        F.timestamp_millis("ended_ms").alias("ended"))
