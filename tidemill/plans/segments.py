@@ -121,8 +121,6 @@ def scan_keys(
     edges |= {n: F.min_by(F.struct(*c), at) for n, c in following.items()}
     edges |= {n: F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)) for n in held}
     edges |= {n: F.sum(f"__v_{n}") for n in sums}
-    per_segment = marked.groupBy("__k").agg(
-        *[e.alias(f"__e_{n}") for n, e in edges.items()])
 
     across = Window.partitionBy(*_partition([f"__k.{k}" for k in keys])).orderBy("__k.__seg")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -130,7 +128,6 @@ def scan_keys(
     carried |= {n: F.lead(f"__e_{n}").over(across) for n in following}
     carried |= {n: F.last(f"__e_{n}", ignorenulls=True).over(before) for n in held}
     carried |= {n: F.sum(f"__e_{n}").over(before) for n in sums}
-    carry = per_segment.select("__k", *[c.alias(f"__in_{n}") for n, c in carried.items()])
 
     inside = Window.partitionBy("__k").orderBy(order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -142,7 +139,11 @@ def scan_keys(
     local |= {n: F.collect_list(f"__v_{n}").over(earlier) for n in collected}
     windowed = marked.select("*", *[c.alias(f"__o_{n}") for n, c in local.items()])
 
-    joined = windowed.join(carry, "__k", "left")
+    joined = windowed
+    if edges:
+        per_segment = marked.groupBy("__k").agg(*[e.alias(f"__e_{n}") for n, e in edges.items()])
+        carry = per_segment.select("__k", *[c.alias(f"__in_{n}") for n, c in carried.items()])
+        joined = windowed.join(carry, "__k", "left")
     out = {n: F.coalesce(f"__o_{n}", f"__in_{n}") for n in [*previous, *following, *held]}
     out |= {n: F.coalesce(F.col(f"__o_{n}") + F.col(f"__in_{n}"), f"__o_{n}", f"__in_{n}")
             for n in sums}
