@@ -67,7 +67,7 @@ def test_split_moves_no_rows(spark):
 @SLOW
 @given(st.sets(st.integers(-(2**40), 2**40), max_size=40), st.integers(0, 45), st.integers(0, 20))
 def test_limit_takes_the_first_ids(spark, values, n, shift):
-    got = limit_examples(ids(spark, values), n, by_id("id", shift)).collect()
+    got = limit_examples(ids(spark, values), n, by_id("id", (shift, shift + 3))).collect()
     assert sorted(r["id"] for r in got) == sorted(values)[:n]
 
 
@@ -87,7 +87,7 @@ def test_trim_to_global_batch(spark, rows, limit, expected):
 def test_pair_rank_with_a_hot_major_id(spark, pairs, shift):
     df = spark.createDataFrame(sorted(pairs), "conv bigint, turn bigint").repartition(3)
     got = {(r["conv"], r["turn"]): r["rank"] for r in
-           dense_rank(df, by_id_pair("conv", "turn", shift)).collect()}
+           dense_rank(df, by_id_pair("conv", "turn", (shift, shift + 2))).collect()}
     assert got == {p: i for i, p in enumerate(sorted(pairs))}
 
 
@@ -103,7 +103,7 @@ def test_hash_rank_is_a_permutation_per_key(spark):
 
 def test_rank_handles_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, id bigint")
-    ranked = dense_rank(df, by_id("id", 0), keys=["k"]).collect()
+    ranked = dense_rank(df, by_id("id", (0, 1)), keys=["k"]).collect()
     assert sorted((r["k"] or "", r["id"], r["rank"]) for r in ranked) == [
         ("", 1, 0), ("", 2, 1), ("a", 3, 0)]
 

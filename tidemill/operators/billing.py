@@ -50,12 +50,15 @@ def breakdown_map(breakdown: DataFrame, user: str = "user_id", key: str = "gpu_t
 
 def billing_rollup(costs: DataFrame, ts: str = "ts", key: str = "gpu_type") -> DataFrame:
     """Totals per month and type, per month, and overall; ``level`` tells which."""
-    month = costs.withColumn("month", F.date_format(ts, "yyyy-MM"))
-    return month.rollup("month", key).agg(
+    # Summed up before the rollup, which copies its input once per level.
+    finest = costs.groupBy(F.date_format(ts, "yyyy-MM").alias("month"), key).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum("billed_seconds").alias("__s"),
+        F.sum("cost").cast(TOTAL).alias("__c"))
+    return finest.rollup("month", key).agg(
         F.grouping_id().cast("int").alias("level"),
-        F.count(F.lit(1)).alias("n_jobs"),
-        F.sum("billed_seconds").alias("seconds"),
-        F.sum("cost").cast(TOTAL).alias("total_cost"))
+        F.sum("__n").alias("n_jobs"),
+        F.sum("__s").alias("seconds"),
+        F.sum("__c").cast(TOTAL).alias("total_cost"))
 
 
 def cost_alerts(

@@ -25,9 +25,7 @@ def tumbling_counts(
     watermark: str | None = None,
 ) -> DataFrame:
     """Events per window and name; the same plan serves tables and streams."""
-    timed = df.withColumn(ts, F.col(ts).cast("timestamp"))
-    if watermark is not None:
-        timed = timed.withWatermark(ts, watermark)
+    timed = df if watermark is None else df.withWatermark(ts, watermark)
     return (
         timed.groupBy(F.window(ts, width).alias("__w"), event)
         .agg(F.count(F.lit(1)).alias("n"))
@@ -88,8 +86,9 @@ def failure_breakdown(
     df: DataFrame, failed: Column, reason: Column, event: str = "event_type"
 ) -> DataFrame:
     """Failures by event name and reason, with subtotals."""
-    return (
-        df.where(failed).withColumn("reason", F.coalesce(reason, F.lit("unknown")))
-        .rollup(event, "reason")
-        .agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"))
-    )
+    # Counted before the rollup, which copies its input once per level.
+    finest = df.where(failed).groupBy(
+        event, F.coalesce(reason, F.lit("unknown")).alias("reason")
+    ).agg(F.count(F.lit(1)).alias("__n"))
+    return finest.rollup(event, "reason").agg(
+        F.grouping_id().cast("int").alias("level"), F.sum("__n").alias("n"))

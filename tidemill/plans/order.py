@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.plans.segments import running_sum
+from tidemill.plans.segments import by_shift, running_sum
 
 HASH_BUCKET_DIGITS = 4  # 65,536 buckets of a uniform hash
+ID_SHIFTS = (20, 42)
 
 
 def shuffle_key(key: Sequence[str], seed: int, epoch: Column | int | None = None) -> Column:
@@ -43,22 +44,23 @@ def by_hash(key: Sequence[str], seed: int, epoch: Column | int | None = None) ->
     )
 
 
-def by_id(column: str, shift: int = 18) -> Ordering:
-    """Ascending order of one unique integer id; a segment holds at most 2**shift rows."""
-    return Ordering(
-        (column,), ({"__ib": F.shiftright(F.col(column).cast("bigint"), shift)},))
+def by_id(column: str, shifts: Sequence[int] = ID_SHIFTS) -> Ordering:
+    """Ascending order of one unique integer id, dense or sparse.
 
+    With the usual shifts a segment holds 2**20 rows at most, an upper one 2**22 segments,
+    and there are 2**22 upper ones at most, whatever the ids look like.
+    """
+    return Ordering((column,), tuple(by_shift(column, *shifts)))
 
-def by_id_pair(major: str, minor: str, shift: int = 16) -> Ordering:
-    """Order by (major, minor), both integers; a large major id spans many segments."""
-    return Ordering(
-        (major, minor),
-        (
-            {"__maj": F.col(major).cast("bigint"),
-             "__min": F.shiftright(F.col(minor).cast("bigint"), shift)},
-            {"__top": F.shiftright(F.col("__maj"), shift)},
-        ),
-    )
+
+def by_id_pair(major: str, minor: str, shifts: Sequence[int] = ID_SHIFTS) -> Ordering:
+    """Order by (major, minor); ``minor`` counts up within a major id, as turns do.
+
+    A major id with many rows spans many segments.
+    """
+    finest = {"__maj": F.col(major).cast("bigint"),
+              "__min": F.shiftright(F.col(minor).cast("bigint"), shifts[0])}
+    return Ordering((major, minor), (finest, *by_shift("__maj", *shifts)))
 
 
 def dense_rank(

@@ -161,17 +161,14 @@ def map_status(spark: SparkSession, sf: str) -> DataFrame:
         orders, "o_orderstatus", {"O": "running", "F": "terminated"}).select("o_orderkey", "status")
 
 
-@query("""SELECT r_name AS location, n_name AS region, n_name || CASE WHEN r_name <> 'AFRICA' THEN '-b'
-  ELSE '-a' END AS zone FROM region JOIN nation ON n_regionkey = r_regionkey""")
+@query("""WITH r AS (SELECT doc_id AS location, lang, unnest(string_split(text, chr(10))) AS region FROM documents)
+SELECT location, region, region || CASE WHEN lang <> 'de' THEN '-b' ELSE '-a' END AS zone FROM r""")
 def explode_regions(spark: SparkSession, sf: str) -> DataFrame:
-    nested = table(spark, sf, "nation").groupBy("n_regionkey").agg(
-        F.collect_list("n_name").alias("regions"))
-    locations = table(spark, sf, "region").join(
-        nested, F.col("r_regionkey") == F.col("n_regionkey")).select(
-        F.col("r_name").alias("location"), "regions")
-    known = F.col("location") != "AFRICA"
-    return catalog.explode_regions(locations).withColumn(
-        "zone", catalog.default_zone(F.col("region"), known))
+    """Documents as nested lists: a location with its lines as regions."""
+    locations = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("location"), "lang", F.split("text", "\n").alias("regions"))
+    zone = catalog.default_zone(F.col("region"), F.col("lang") != "de")
+    return catalog.explode_regions(locations).select("location", "region", zone.alias("zone"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_nationkey ELSE 32 END::INTEGER AS batch_size,

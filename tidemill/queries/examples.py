@@ -110,12 +110,12 @@ def scan_split(spark: SparkSession, sf: str) -> DataFrame:
     return src.select_split(labelled, "train").select("example_id", "instruction", "output")
 
 
-@query(f"""WITH {PAIRS}, {SPLIT}, {encoded_sql(SHORT, 'labelled')}
-SELECT example_id, split, CAST({padded_sql('ids', 0, SHORT)} AS VARCHAR) AS input_ids,
-  CAST({padded_sql('lab', -100, SHORT)} AS VARCHAR) AS labels,
+@query(f"""WITH {PAIRS}, {SPLIT}, {encoded_sql(WHOLE, 'labelled')}
+SELECT example_id, split, CAST({padded_sql('ids', 0, WHOLE)} AS VARCHAR) AS input_ids,
+  CAST({padded_sql('lab', -100, WHOLE)} AS VARCHAR) AS labels,
   len(p) AS prompt_length, len(r) AS response_length FROM lab""")
 def write_read_prepared(spark: SparkSession, sf: str) -> DataFrame:
-    done = prepare.prepare(pairs(spark, sf), config(SHORT), TOKENIZER, ["example_id"])
+    done = prepare.prepare(pairs(spark, sf), config(WHOLE), TOKENIZER, ["example_id"])
     path = scratch_dir(spark, "prepared")
     src.write_prepared(done.drop("n_tokens", "n_supervised"), path)
     return src.read_prepared(spark, path).select(
@@ -266,9 +266,9 @@ def padded_batches(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     return batched(spark, sf, padded.select("example_id", "input_ids", "labels"))
 
 
-BATCHED_ARRAYS = f"""{PAIRS}, {SPLIT}, {BATCHED}, {encoded_sql(SHORT, 'batched')},
-padded AS (SELECT *, {padded_sql('ids', 0, SHORT)} AS pid,
-  {padded_sql('lab', -100, SHORT)} AS plab FROM lab)"""
+BATCHED_ARRAYS = f"""{PAIRS}, {SPLIT}, {BATCHED}, {encoded_sql(WHOLE, 'batched')},
+padded AS (SELECT *, {padded_sql('ids', 0, WHOLE)} AS pid,
+  {padded_sql('lab', -100, WHOLE)} AS plab FROM lab)"""
 
 
 @query(f"""WITH {BATCHED_ARRAYS}
@@ -277,7 +277,7 @@ SELECT split, batch_id, CAST(count(*) AS INTEGER) AS n_rows,
   CAST(list(plab ORDER BY row_in_batch) AS VARCHAR) AS labels FROM padded GROUP BY split, batch_id""")
 def collate_batches(spark: SparkSession, sf: str) -> DataFrame:
     batches = batching.collate(
-        padded_batches(spark, sf, SHORT), ["input_ids", "labels"], keys=["split"])
+        padded_batches(spark, sf, WHOLE), ["input_ids", "labels"], keys=["split"])
     return batches.select("split", "batch_id", "n_rows", text_of("input_ids"), text_of("labels"))
 
 
@@ -293,12 +293,12 @@ def assign_dp_shards(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {BATCHED_ARRAYS} SELECT split, batch_id, count(*) AS n_rows,
   CAST(min(len(pid)) AS INTEGER) AS min_input_ids, CAST(max(len(pid)) AS INTEGER) AS max_input_ids,
   CAST(min(len(plab)) AS INTEGER) AS min_labels, CAST(max(len(plab)) AS INTEGER) AS max_labels,
-  min(len(pid)) = {SHORT} AND max(len(pid)) = {SHORT} AND min(len(plab)) = {SHORT}
-    AND max(len(plab)) = {SHORT} AS ok
+  min(len(pid)) = {WHOLE} AND max(len(pid)) = {WHOLE} AND min(len(plab)) = {WHOLE}
+    AND max(len(plab)) = {WHOLE} AS ok
 FROM padded GROUP BY split, batch_id""")
 def batch_shape_check(spark: SparkSession, sf: str) -> DataFrame:
     return batching.batch_shape_check(
-        padded_batches(spark, sf, SHORT), ["input_ids", "labels"], SHORT, keys=["split"])
+        padded_batches(spark, sf, WHOLE), ["input_ids", "labels"], WHOLE, keys=["split"])
 
 
 @query("""SELECT count(*) AS samples, CAST(ceil(count(*) / 32.0) AS BIGINT) AS steps_per_epoch,
@@ -448,6 +448,15 @@ def mask_prompt_labels(spark: SparkSession, sf: str) -> DataFrame:
         F.size(F.array_remove("labels", -100)).alias("n_supervised"))
 
 
+@query(f"""WITH {PAIRS}, {encoded_sql(WHOLE)} SELECT example_id, CAST(ids AS VARCHAR) AS input_ids,
+  CAST(ids AS VARCHAR) AS labels, CAST(len(p) AS INTEGER) AS prompt_length,
+  CAST(len(r) AS INTEGER) AS response_length FROM lab""")
+def keep_encoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Model columns only, with the labels of an unmasked run."""
+    kept = select.keep_encoded(encoded(spark, sf, WHOLE, mask_prompt=False), ["example_id"])
+    return kept.withColumns({c: F.col(c).cast("string") for c in ("input_ids", "labels")})
+
+
 @query(f"""WITH {PAIRS}, {encoded_sql(SHORT)} SELECT example_id,
   CAST(len(p) AS INTEGER) AS prompt_length, CAST(len(r) AS INTEGER) AS response_length FROM lab""")
 def token_lengths(spark: SparkSession, sf: str) -> DataFrame:
@@ -523,13 +532,13 @@ def mask_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- the whole chain ---------------------------------------------------------------------
 
-@query(f"""WITH {PAIRS}, {SPLIT}, {encoded_sql(SHORT, 'labelled')}
+@query(f"""WITH {PAIRS}, {SPLIT}, {encoded_sql(WHOLE, 'labelled')}
 SELECT split, count(*) AS examples, CAST(sum(len(ids)) AS BIGINT) AS tokens,
   CAST(sum(len(list_filter(lab, lambda x: x <> -100))) AS BIGINT) AS supervised_tokens,
   count(*) FILTER (len(list_filter(lab, lambda x: x <> -100)) = 0) AS without_supervision
 FROM lab GROUP BY split""")
 def prepared_summary(spark: SparkSession, sf: str) -> DataFrame:
-    done = prepare.prepare(pairs(spark, sf), config(SHORT), TOKENIZER, ["example_id"])
+    done = prepare.prepare(pairs(spark, sf), config(WHOLE), TOKENIZER, ["example_id"])
     return done.groupBy("split").agg(
         F.count(F.lit(1)).alias("examples"),
         F.sum("n_tokens").alias("tokens"),

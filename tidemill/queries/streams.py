@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.queries.events import MICRO_STAMP, stamp
 from tidemill.queries.files import log_lines
 from tidemill.queries.registry import query
-from tidemill.session import scratch_dir, scratch_root, settings, table
+from tidemill.session import scratch_dir, settings, table
 from tidemill.sources import logs
 from tidemill.streaming import lifecycle, runs, upsert, usage
 
@@ -23,9 +23,12 @@ def stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def results(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    scratch_root(spark)
     out = scratch_dir(spark, label)
-    runs.run_to_files(df, out, scratch_dir(spark, f"{label}-checkpoint"))
+    # A state partition per core at most; a stream keeps this number for its whole life.
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                     spark.sparkContext.defaultParallelism)
+    with settings(spark, {"spark.sql.shuffle.partitions": str(partitions)}):
+        runs.run_to_files(df, out, scratch_dir(spark, f"{label}-checkpoint"))
     return spark.read.schema(df.schema).parquet(out)
 
 

@@ -31,6 +31,17 @@ def sessions(
 MERGE_LOCALLY = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
 
 
-def dedup_stream(stream: DataFrame, key: str, watermark: str, ts: str = "ts") -> DataFrame:
-    """Each key once, for repeats that arrive within the watermark."""
-    return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+def dedup_stream(
+    stream: DataFrame, key: str, watermark: str, ts: str = "ts", spread: int = 8
+) -> DataFrame:
+    """Each key once, for repeats that arrive within the watermark.
+
+    Repeats of one key would all go to one task. They are dropped in two steps: first per
+    key and group of input tasks, then per key, where at most ``spread`` of them are left.
+    With ``spread`` 1 there is only the second step, and half the state.
+    """
+    timed = stream.withWatermark(ts, watermark)
+    if spread > 1:
+        timed = timed.withColumn("__task", F.spark_partition_id() % spread)
+        timed = timed.dropDuplicatesWithinWatermark([key, "__task"]).drop("__task")
+    return timed.dropDuplicatesWithinWatermark([key])
