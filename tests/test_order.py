@@ -8,11 +8,11 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemill.operators.select import limit_examples, trim_to_global_batch
+from tidemill.operators.select import limit_examples, take_first, trim_to_global_batch
 from tidemill.operators.split import shuffle_order, train_test_split
 from tidemill.plans.order import by_hash, by_id, by_id_pair, dense_rank
 
-SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+SLOW = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def ids(spark, values):
@@ -67,8 +67,11 @@ def test_split_moves_no_rows(spark):
 @SLOW
 @given(st.sets(st.integers(-(2**40), 2**40), max_size=40), st.integers(0, 45), st.integers(0, 20))
 def test_limit_takes_the_first_ids(spark, values, n, shift):
-    got = limit_examples(ids(spark, values), n, by_id("id", (shift, shift + 3))).collect()
-    assert sorted(r["id"] for r in got) == sorted(values)[:n]
+    df, ordering = ids(spark, values), by_id("id", (shift, shift + 3))
+    merged = limit_examples(df, n, ordering).collect()
+    filtered = take_first(df, ordering, F.lit(n)).collect()
+    assert sorted(r["id"] for r in merged) == sorted(values)[:n]
+    assert sorted(r["id"] for r in filtered) == sorted(values)[:n]
 
 
 def test_no_limit_keeps_all(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.plans.segments import by_shift, running_sum, scan_keys
 
-SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+SLOW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 ROWS = st.dictionaries(
     st.tuples(st.sampled_from(["hot", "hot", "b", None]), st.integers(-50, 400)),
     st.one_of(st.none(), st.integers(-5, 5)), min_size=1, max_size=50)

@@ -8,12 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions.text import micros
+from tidemill.plans.segments import running_sum
 from tidemill.session import settings_table
 
 MONEY = "decimal(18,6)"
 # Wide enough for a sum over every row of a very large table.
 TOTAL = "decimal(38,6)"
-DRILL_UNITS = ("day", "hour", "minute")
+# 2**28 microseconds, about four and a half minutes.
+STRETCH_SHIFT = 28
 
 
 def pricing_table(spark: SparkSession, rows: Sequence[tuple[str, float, int]]) -> DataFrame:
@@ -67,54 +70,39 @@ def cost_alerts(
 ) -> DataFrame:
     """The usage row at which a user's running cost of a month reaches each threshold.
 
-    Totals per day find the day of each crossing, totals per hour of those days the hour,
-    and so on; only the rows of the crossing minutes are ordered one by one. ``stop`` marks
-    the spending limit.
+    Totals per day, at most 31 per user and month, tell on which days thresholds are
+    crossed. Only the rows of those days are put in order, in short stretches of time, so
+    that a busy user's day is not one task. ``stop`` marks the spending limit.
     """
-    marks = sorted({*thresholds, *([limit] if limit is not None else [])})
-    keys = [user, "month", "threshold"]
-    found: DataFrame | None = None
-    rows = costs.select(user, F.col(ts).alias("__ts"), F.col(job).alias("__job"), "cost").withColumn(
-        "month", F.date_format("__ts", "yyyy-MM"))
-    start = rows
-    for unit in DRILL_UNITS:
-        bucket = F.date_trunc(unit, F.col("__ts"))
-        here = start.withColumn("__bucket", bucket)
-        if found is None:
-            sums = here.groupBy(user, "month", "__bucket").agg(F.sum("cost").cast(TOTAL).alias("__c"))
-            sums = sums.withColumns({
-                "threshold": F.explode(F.array(*[F.lit(m).cast(TOTAL) for m in marks])),
-                "__before": F.lit(0).cast(TOTAL)})
-        else:
-            sums = here.groupBy(*keys, "__before", "__bucket").agg(
-                F.sum("cost").cast(TOTAL).alias("__c"))
-        running = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        crossing = (
-            sums.withColumn("__upto", F.col("__before") + F.sum("__c").over(running))
-            .where((F.col("__upto") >= F.col("threshold"))
-                   & (F.col("__upto") - F.col("__c") < F.col("threshold")))
-            .select(*keys, (F.col("__upto") - F.col("__c")).cast(TOTAL).alias("__before"),
-                    F.col("__bucket").alias("__from"))
-        )
-        found = crossing
-        start = rows.withColumn("__b", bucket).join(
-            crossing.withColumnRenamed(user, "__user").withColumnRenamed("month", "__month"),
-            (F.col(user) == F.col("__user")) & (F.col("month") == F.col("__month"))
-            & (F.col("__b") == F.col("__from")),
-        ).drop("__user", "__month", "__b", "__from")
-
-    running = Window.partitionBy(*keys).orderBy("__ts", "__job").rowsBetween(
+    values = sorted({*thresholds, *([limit] if limit is not None else [])})
+    marks = F.array(*[F.lit(v).cast(TOTAL) for v in values])
+
+    def crossed(upto: Column, step: Column) -> Column:
+        return F.filter(marks, lambda m: (m <= upto) & (m > upto - step))
+
+    rows = costs.where(F.col("cost").isNotNull()).select(
+        user, F.col(ts).alias("__ts"), F.col(job).alias("__job"), "cost",
+        F.date_format(ts, "yyyy-MM-dd").alias("__day"))
+    month = F.substring("__day", 1, 7)
+    per_day = rows.groupBy(user, "__day").agg(F.sum("cost").cast(TOTAL).alias("__c"))
+    running = Window.partitionBy(user, month).orderBy("__day").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    reached = start.withColumn(
-        "running_cost", (F.col("__before") + F.sum("cost").over(running)).cast(TOTAL))
-    return (
-        reached.where((F.col("running_cost") >= F.col("threshold"))
-                      & (F.col("running_cost") - F.col("cost") < F.col("threshold")))
-        .select(*keys, F.col("__ts").alias(ts), F.col("__job").alias(job), "running_cost")
-        .withColumn("stop", _is(F.col("threshold"), limit))
+    days = (
+        per_day.withColumn("__upto", F.sum("__c").over(running).cast(TOTAL))
+        .where(F.size(crossed(F.col("__upto"), F.col("__c"))) > 0)
+        .select(F.col(user).alias("__user"), F.col("__day").alias("__on"),
+                (F.col("__upto") - F.col("__c")).alias("__before"))
     )
-
-
-def _is(column: Column, limit: float | None) -> Column:
-    return F.lit(False) if limit is None else column >= F.lit(limit).cast(TOTAL)
+    inside = rows.join(
+        days, F.col(user).eqNullSafe(F.col("__user")) & (F.col("__day") == F.col("__on"))
+    ).select(*rows.columns, "__before")
+    stretch = {"__stretch": F.shiftright(micros(F.col("__ts")), STRETCH_SHIFT)}
+    summed = running_sum(
+        inside, F.col("cost").cast(TOTAL), "__sum", keys=[user, "__day"], order=["__ts", "__job"],
+        levels=[stretch]).withColumn("running_cost", (F.col("__before") + F.col("__sum")).cast(TOTAL))
+    hits = summed.withColumn(
+        "threshold", F.explode(crossed(F.col("running_cost"), F.col("cost"))))
+    stop = F.lit(False) if limit is None else F.col("threshold") >= F.lit(limit).cast(TOTAL)
+    return hits.select(
+        user, month.alias("month"), "threshold", F.col("__ts").alias(ts), F.col("__job").alias(job),
+        "running_cost", stop.alias("stop"))

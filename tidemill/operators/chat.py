@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.plans.segments import scan_keys
 
-TURN_SHIFT = 12
+TURN_SHIFT = 18
 BLOCK_SHIFT = 6
 
 

@@ -15,6 +15,8 @@ from tidemill.plans.segments import scan_keys
 SEQUENCE_FLOOR = 1e-10
 TOKEN_FLOOR = 1e-8
 
+POSITION_SHIFT = 16
+
 
 def token_nll(logits: Column, label: Column) -> Column:
     """Negative log-softmax of the label, computed against the largest logit."""
@@ -63,7 +65,7 @@ def loss_token_mean(df: DataFrame, nll: str, mask: str, keys: tuple[str, ...] =
 def shift_for_loss(df: DataFrame, seq: str, pos: str, label: str = "label", mask: str = "mask") -> DataFrame:
     """Pair each position's prediction with the label and mask of the next position."""
     scanned = scan_keys(
-        df, keys=[seq], order=pos, shift=12, following={"__next": [label, mask]})
+        df, keys=[seq], order=pos, shift=POSITION_SHIFT, following={"__next": [label, mask]})
     return (
         scanned.where(F.col("__next").isNotNull())
         .withColumns({label: F.col(f"__next.{label}"), mask: F.col(f"__next.{mask}")})

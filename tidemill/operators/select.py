@@ -14,6 +14,7 @@ SUPPORTED_MODELS = ("llama3_2-1b", "llama3_1-8b", "llama3_1-70b", "llama3_1-405b
 ACCELERATOR_TYPES = ("v3", "v5e", "v5p")
 CORE_STEP, MIN_CORES, MAX_CORES = 8, 8, 1024
 
+MERGED_LIMIT = 10_000
 ENCODED = ("input_ids", "labels", "prompt_length", "response_length")
 
 
@@ -24,7 +25,16 @@ def take_first(df: DataFrame, ordering: Ordering, n: Count) -> DataFrame:
 
 
 def limit_examples(df: DataFrame, n: int | None, ordering: Ordering) -> DataFrame:
-    return df if n is None else take_first(df, ordering, F.lit(n).cast("bigint"))
+    """At most ``n`` rows, the first ones under the ordering; all of them for None.
+
+    A few rows are kept sorted in each task and merged, in one pass. More rows than that
+    are not sorted but filtered by the key of the n-th one.
+    """
+    if n is None:
+        return df
+    if n <= MERGED_LIMIT:
+        return ordering.prepare(df).orderBy(*ordering.columns).limit(n).drop(*ordering.temporary)
+    return take_first(df, ordering, F.lit(n).cast("bigint"))
 
 
 def trim_to_global_batch(

@@ -20,7 +20,7 @@ EPOCH_LINE = (
 )
 TRAINING_LINE = rf"^Training \| (?:Epoch={INTEGER} \| )?Step={INTEGER} \| Loss={NUMBER}"
 SERVICE_LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) - (\S+) - ([A-Z]+) - ([\s\S]*)$"
-STEP_SHIFT = 16
+STEP_SHIFT = 22
 
 
 def _group(column: str, pattern: str, index: int, kind: str) -> Column:

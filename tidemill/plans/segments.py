@@ -17,9 +17,12 @@ join into a broadcast one only when the measured size allows it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, StringType
 
 Levels = Sequence[dict[str, Column]]
 
@@ -35,17 +38,35 @@ def by_shift(order: str, *shifts: int) -> list[dict[str, Column]]:
     return levels
 
 
-def _partition(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names] or [F.lit(0)]
-
+def _flatten_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], dict[str, Column]]:
+    """Keys as columns without nulls, and how to get the original ones back.
 
-def _with_key(df: DataFrame, name: str, keys: Sequence[str], segment: Sequence[str]) -> DataFrame:
-    """Key and segment as one struct: never null itself, and equal for null keys.
-
-    Window, aggregate and join all use this one column, so they share a partitioning; a
-    null-safe comparison of the single columns would cost the join a shuffle of its own.
+    Window, aggregate and join then share one partitioning by plain equality. A null-safe
+    comparison would cost the join a shuffle of its own, and one struct of all keys would
+    make for slow sorts. ``__nulls`` has a bit per key that was null.
     """
-    return df.withColumn(name, F.struct(*keys, *segment))
+    if not keys:
+        return df, [], {}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    flat = {f"__key{i}": F.coalesce(F.col(k), _stand_in(types[k])) for i, k in enumerate(keys)}
+    bits = [F.when(F.col(k).isNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)]
+    marked = df.withColumns({**flat, "__nulls": reduce(add, bits)})
+    restored = {
+        k: F.when(F.col("__nulls").bitwiseAND(1 << i) == 0, F.col(f"__key{i}"))
+        for i, k in enumerate(keys)}
+    return marked, [*flat, "__nulls"], restored
+
+
+def _stand_in(kind: DataType) -> Column:
+    if isinstance(kind, StringType):
+        return F.lit("")
+    if isinstance(kind, DateType):
+        return F.lit("1970-01-01").cast(kind)
+    return F.lit(0).cast(kind)
+
+
+def _per(names: Sequence[str]) -> list[Column]:
+    return [F.col(n) for n in names] or [F.lit(0)]
 
 
 def running_sum(
@@ -62,31 +83,32 @@ def running_sum(
     ``levels`` lists the segment columns, finest first; each level is expressed over the
     columns of the level before it. ``order`` has to be unique within a key.
     """
-    keys = list(keys)
+    marked, flat, restored = _flatten_keys(df.withColumn("__v", value), list(keys))
+    summed = _summed(marked, "__v", out, order, levels, flat)
+    kept = [restored.get(c, F.col(c)).alias(c) for c in df.columns if c != out]
+    return summed.select(*kept, out)
+
+
+def _summed(
+    df: DataFrame, value: str, out: str, order: Sequence[str], levels: Levels, keys: list[str]
+) -> DataFrame:
     if not levels:
-        window = Window.partitionBy(*_partition(keys)).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, F.sum(value).over(window))
+        window = Window.partitionBy(*_per(keys)).orderBy(*order)
+        return df.withColumn(out, F.sum(value).over(
+            window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
     finest, upper = levels[0], levels[1:]
-    seg = list(finest)
-    depth = len(levels)
-    key, total, upto, carry = f"__k{depth}", f"__t{depth}", f"__u{depth}", f"__c{depth}"
-    marked = _with_key(df.withColumns(dict(finest)).withColumn("__v", value), key, keys, seg)
-    totals = marked.groupBy(key).agg(F.sum("__v").alias(total)).select(
-        *[F.col(f"{key}.{c}").alias(c) for c in keys + seg], total)
-    carried = running_sum(totals, F.col(total), upto, order=seg, levels=upper, keys=keys)
-    carried = _with_key(carried, key, keys, seg).select(
-        key, (F.col(upto) - F.col(total)).alias(carry))
-
-    window = Window.partitionBy(key).orderBy(*order).rowsBetween(
+    total, upto, carry = (f"__{n}{len(levels)}" for n in ("t", "u", "c"))
+    marked = df.withColumns(dict(finest))
+    group = [*keys, *finest]
+    totals = marked.groupBy(*group).agg(F.sum(value).alias(total))
+    carried = _summed(totals, total, upto, list(finest), upper, keys).select(
+        *group, (F.col(upto) - F.col(total)).alias(carry))
+    window = Window.partitionBy(*group).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    inside = marked.withColumn(out, F.sum("__v").over(window))
-    return (
-        inside.join(carried, key, "left")
-        .withColumn(out, F.col(out) + F.col(carry))
-        .drop(key, "__v", carry, *seg)
-    )
+    inside = marked.withColumn(out, F.sum(value).over(window))
+    return inside.join(carried, group, "left").withColumn(
+        out, F.col(out) + F.col(carry)).drop(carry)
 
 
 def scan_keys(
@@ -113,23 +135,24 @@ def scan_keys(
     previous, following = previous or {}, following or {}
     held, sums, collected = held or {}, sums or {}, collected or {}
     at = F.col(order)
-    marked = _with_key(
-        df.withColumn("__seg", F.shiftright(at.cast("bigint"), shift)), "__k", keys, ["__seg"]
-    ).withColumns({f"__v_{n}": v for n, v in {**held, **sums, **collected}.items()})
+    marked, flat, restored = _flatten_keys(df.withColumns({
+        "__seg": F.shiftright(at.cast("bigint"), shift),
+        **{f"__v_{n}": v for n, v in {**held, **sums, **collected}.items()}}), keys)
+    group = [*flat, "__seg"]
 
     edges = {n: F.max_by(F.struct(*c), at) for n, c in previous.items()}
     edges |= {n: F.min_by(F.struct(*c), at) for n, c in following.items()}
     edges |= {n: F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)) for n in held}
     edges |= {n: F.sum(f"__v_{n}") for n in sums}
 
-    across = Window.partitionBy(*_partition([f"__k.{k}" for k in keys])).orderBy("__k.__seg")
+    across = Window.partitionBy(*_per(flat)).orderBy("__seg")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = {n: F.lag(f"__e_{n}").over(across) for n in previous}
     carried |= {n: F.lead(f"__e_{n}").over(across) for n in following}
     carried |= {n: F.last(f"__e_{n}", ignorenulls=True).over(before) for n in held}
     carried |= {n: F.sum(f"__e_{n}").over(before) for n in sums}
 
-    inside = Window.partitionBy("__k").orderBy(order)
+    inside = Window.partitionBy(*group).orderBy(order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {n: F.lag(F.struct(*c)).over(inside) for n, c in previous.items()}
     local |= {n: F.lead(F.struct(*c)).over(inside) for n, c in following.items()}
@@ -141,12 +164,12 @@ def scan_keys(
 
     joined = windowed
     if edges:
-        per_segment = marked.groupBy("__k").agg(*[e.alias(f"__e_{n}") for n, e in edges.items()])
-        carry = per_segment.select("__k", *[c.alias(f"__in_{n}") for n, c in carried.items()])
-        joined = windowed.join(carry, "__k", "left")
+        per_segment = marked.groupBy(*group).agg(*[e.alias(f"__e_{n}") for n, e in edges.items()])
+        carry = per_segment.select(*group, *[c.alias(f"__in_{n}") for n, c in carried.items()])
+        joined = windowed.join(carry, group, "left")
     out = {n: F.coalesce(f"__o_{n}", f"__in_{n}") for n in [*previous, *following, *held]}
     out |= {n: F.coalesce(F.col(f"__o_{n}") + F.col(f"__in_{n}"), f"__o_{n}", f"__in_{n}")
             for n in sums}
     out |= {n: F.col(f"__o_{n}") for n in collected}
-    kept = [F.col(c) for c in df.columns if c not in out]
+    kept = [restored.get(c, F.col(c)).alias(c) for c in df.columns if c not in out]
     return joined.select(*kept, *[c.alias(n) for n, c in out.items()])

@@ -145,6 +145,13 @@ def limit_examples(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "source", F.md5("text").alias("digest"))
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 12000")
+def limit_examples_large(spark: SparkSession, sf: str) -> DataFrame:
+    """A limit beyond what one task should merge."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return select.limit_examples(orders, 12_000, by_id("o_orderkey"))
+
+
 @query("""SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 QUALIFY row_number() OVER (ORDER BY o_orderkey) <= (count(*) OVER () // (32 * 7)) * (32 * 7)""")
 def trim_to_global_batch(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemill.plans.segments import scan_keys
 
 HW_COLUMNS = ("timestamp", "step", "gpu_utilization", "memory_used", "memory_total")
-LINE_SHIFT = 16
+LINE_SHIFT = 20
 
 
 def with_offsets(lines: DataFrame, keys: Sequence[str] = ("file",), order: str = "line_no") -> DataFrame:
