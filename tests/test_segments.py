@@ -27,15 +27,17 @@ def collected(df, *columns):
 def test_scan_equals_plain_windows(spark, rows, shift):
     df = frame(spark, rows)
     got = scan_keys(
-        df, keys=["k"], order="t", shift=shift, previous={"p": ["t", "v"]}, following={"f": ["t"]},
+        df, keys=["k"], order="t", shift=shift, previous={"p": F.col("t"), "q": F.col("v")},
+        following={"f": F.col("t"), "g": F.col("v")},
         held={"h": F.col("v")}, sums={"s": F.coalesce("v", F.lit(0))})
     w = Window.partitionBy("k").orderBy("t")
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     want = df.select(
-        "*", F.lag(F.struct("t", "v")).over(w).alias("p"), F.lead(F.struct("t")).over(w).alias("f"),
+        "*", F.lag("t").over(w).alias("p"), F.lag("v").over(w).alias("q"),
+        F.lead("t").over(w).alias("f"), F.lead("v").over(w).alias("g"),
         F.last("v", ignorenulls=True).over(running).alias("h"),
         F.sum(F.coalesce("v", F.lit(0))).over(running).alias("s"))
-    columns = ("v", "p", "f", "h", "s")
+    columns = ("v", "p", "q", "f", "g", "h", "s")
     assert collected(got, *columns) == collected(want, *columns)
 
 

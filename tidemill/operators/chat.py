@@ -20,18 +20,18 @@ def turn_pairs(
     """
     scanned = scan_keys(
         df, keys=[conv], order=turn, shift=TURN_SHIFT,
-        # Two structs, so that a plan that only needs the keys does not carry the text.
-        following={"__next_role": [role], "__next_text": [text]},
+        # The role as a number of its own: a plan that only needs the keys carries no text.
+        following={"__answered": (F.col(role) == "assistant").cast("int"), "__reply": F.col(text)},
         held={"__system": F.when(F.col(role) == "system", F.col(text))})
     return (
-        scanned.where((F.col(role) == "user") & (F.col(f"__next_role.{role}") == "assistant"))
+        scanned.where((F.col(role) == "user") & (F.col("__answered") == 1))
         .select(
             F.concat_ws(":", conv, turn).alias("example_id"),
             conv,
             turn,
             F.col(text).alias("instruction"),
             F.coalesce("__system", F.lit("")).alias("input"),
-            F.col(f"__next_text.{text}").alias("output"),
+            F.col("__reply").alias("output"),
         )
     )
 

@@ -65,12 +65,9 @@ def loss_token_mean(df: DataFrame, nll: str, mask: str, keys: tuple[str, ...] =
 def shift_for_loss(df: DataFrame, seq: str, pos: str, label: str = "label", mask: str = "mask") -> DataFrame:
     """Pair each position's prediction with the label and mask of the next position."""
     scanned = scan_keys(
-        df, keys=[seq], order=pos, shift=POSITION_SHIFT, following={"__next": [label, mask]})
-    return (
-        scanned.where(F.col("__next").isNotNull())
-        .withColumns({label: F.col(f"__next.{label}"), mask: F.col(f"__next.{mask}")})
-        .drop("__next")
-    )
+        df, keys=[seq], order=pos, shift=POSITION_SHIFT, following={
+            "__more": F.lit(1), label: F.col(label), mask: F.col(mask)})
+    return scanned.where(F.col("__more").isNotNull()).drop("__more")
 
 
 def eval_mean(

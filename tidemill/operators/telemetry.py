@@ -75,9 +75,8 @@ def parse_service_log(lines: DataFrame, column: str = "value") -> DataFrame:
 def lagged_metrics(steps: DataFrame, run: str, step: str, columns: Sequence[str]) -> DataFrame:
     """Values of the step before, 0.0 at the first step of a run."""
     scanned = scan_keys(steps, keys=[run], order=step, shift=STEP_SHIFT,
-                        previous={"__prev": list(columns)})
-    return scanned.withColumns({
-        f"prev_{c}": F.coalesce(F.col(f"__prev.{c}"), F.lit(0.0)) for c in columns}).drop("__prev")
+                        previous={f"prev_{c}": F.col(c) for c in columns})
+    return scanned.withColumns({f"prev_{c}": F.coalesce(f"prev_{c}", F.lit(0.0)) for c in columns})
 
 
 def carry_forward_value(

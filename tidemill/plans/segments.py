@@ -117,19 +117,20 @@ def scan_keys(
     keys: Sequence[str],
     order: str,
     shift: int,
-    previous: dict[str, Sequence[str]] | None = None,
-    following: dict[str, Sequence[str]] | None = None,
+    previous: dict[str, Column] | None = None,
+    following: dict[str, Column] | None = None,
     held: dict[str, Column] | None = None,
     sums: dict[str, Column] | None = None,
     collected: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Several ordered computations per key with one window and one carry join.
 
-    ``previous`` / ``following``: struct of the named columns of the row before / after,
-    null where there is none. ``held``: last non-null value up to and including the row.
-    ``sums``: inclusive running sum. ``collected``: array of the values before the row
-    within its segment. ``order`` is an integer column, unique per key; a segment spans
-    ``2**shift`` order values.
+    ``previous`` / ``following``: value of the row before / after, null where there is
+    none. ``held``: last non-null value up to and including the row. ``sums``: inclusive
+    running sum. ``collected``: array of the values before the row within its segment.
+    ``order`` is an integer column without nulls, unique per key; a segment spans
+    ``2**shift`` order values. Numbers are carried by hash aggregates; text needs a sort
+    before the partial aggregate, so a plan should ask for text only where it uses it.
     """
     keys = list(keys)
     previous, following = previous or {}, following or {}
@@ -137,11 +138,12 @@ def scan_keys(
     at = F.col(order)
     marked, flat, restored = _flatten_keys(df.withColumns({
         "__seg": F.shiftright(at.cast("bigint"), shift),
-        **{f"__v_{n}": v for n, v in {**held, **sums, **collected}.items()}}), keys)
+        **{f"__v_{n}": v for n, v in
+           {**previous, **following, **held, **sums, **collected}.items()}}), keys)
     group = [*flat, "__seg"]
 
-    edges = {n: F.max_by(F.struct(*c), at) for n, c in previous.items()}
-    edges |= {n: F.min_by(F.struct(*c), at) for n, c in following.items()}
+    edges = {n: F.max_by(f"__v_{n}", at) for n in previous}
+    edges |= {n: F.min_by(f"__v_{n}", at) for n in following}
     edges |= {n: F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)) for n in held}
     edges |= {n: F.sum(f"__v_{n}") for n in sums}
 
@@ -154,20 +156,27 @@ def scan_keys(
 
     inside = Window.partitionBy(*group).orderBy(order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = {n: F.lag(F.struct(*c)).over(inside) for n, c in previous.items()}
-    local |= {n: F.lead(F.struct(*c)).over(inside) for n, c in following.items()}
+    local = {n: F.lag(f"__v_{n}").over(inside) for n in previous}
+    local |= {n: F.lead(f"__v_{n}").over(inside) for n in following}
     local |= {n: F.last(f"__v_{n}", ignorenulls=True).over(running) for n in held}
     local |= {n: F.sum(f"__v_{n}").over(running) for n in sums}
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     local |= {n: F.collect_list(f"__v_{n}").over(earlier) for n in collected}
-    windowed = marked.select("*", *[c.alias(f"__o_{n}") for n, c in local.items()])
+    windowed = marked.select(
+        "*", *[c.alias(f"__o_{n}") for n, c in local.items()],
+        F.lag(order).over(inside).isNotNull().alias("__has_previous"),
+        F.lead(order).over(inside).isNotNull().alias("__has_following"))
 
     joined = windowed
     if edges:
         per_segment = marked.groupBy(*group).agg(*[e.alias(f"__e_{n}") for n, e in edges.items()])
         carry = per_segment.select(*group, *[c.alias(f"__in_{n}") for n, c in carried.items()])
         joined = windowed.join(carry, group, "left")
-    out = {n: F.coalesce(f"__o_{n}", f"__in_{n}") for n in [*previous, *following, *held]}
+    out = {n: F.when(F.col("__has_previous"), F.col(f"__o_{n}")).otherwise(F.col(f"__in_{n}"))
+           for n in previous}
+    out |= {n: F.when(F.col("__has_following"), F.col(f"__o_{n}")).otherwise(F.col(f"__in_{n}"))
+            for n in following}
+    out |= {n: F.coalesce(f"__o_{n}", f"__in_{n}") for n in held}
     out |= {n: F.coalesce(F.col(f"__o_{n}") + F.col(f"__in_{n}"), f"__o_{n}", f"__in_{n}")
             for n in sums}
     out |= {n: F.col(f"__o_{n}") for n in collected}
