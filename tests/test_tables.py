@@ -26,7 +26,7 @@ def rows(df, *columns):
 # --- batches -----------------------------------------------------------------------------
 
 def test_batches_are_full_but_the_last(spark):
-    ranked = dense_rank(spark.range(23), by_id("id"))
+    ranked = dense_rank(spark.range(23), by_id("id"), total="total")
     sizes = dict(rows(batching.assign_batches(ranked, 5).groupBy("batch_id").count()))
     assert sizes == {0: 5, 1: 5, 2: 5, 3: 5, 4: 3}
     dropped = batching.assign_batches(ranked, 5, drop_last=True)
@@ -34,15 +34,15 @@ def test_batches_are_full_but_the_last(spark):
 
 
 def test_batch_larger_than_the_data(spark):
-    ranked = dense_rank(spark.range(3), by_id("id"))
+    ranked = dense_rank(spark.range(3), by_id("id"), total="total")
     assert batching.assign_batches(ranked, 10).select("batch_id").distinct().count() == 1
     assert batching.assign_batches(ranked, 10, drop_last=True).count() == 0
 
 
 def test_drop_last_per_split(spark):
     df = spark.range(10).withColumn("split", F.when(F.col("id") < 7, "train").otherwise("test"))
-    ranked = dense_rank(df, by_id("id"), keys=["split"])
-    kept = batching.assign_batches(ranked, 3, drop_last=True, keys=["split"])
+    ranked = dense_rank(df, by_id("id"), keys=["split"], total="total")
+    kept = batching.assign_batches(ranked, 3, drop_last=True)
     assert dict(rows(kept.groupBy("split").count())) == {"train": 6, "test": 3}
 
 

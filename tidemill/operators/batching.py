@@ -9,22 +9,19 @@ from pyspark.sql import functions as F
 
 
 def assign_batches(
-    df: DataFrame, batch_size: int, drop_last: bool = False, keys: Sequence[str] = ()
+    df: DataFrame, batch_size: int, drop_last: bool = False, total: str = "total"
 ) -> DataFrame:
-    """Batch number and place in the batch from a zero-based ``rank`` (per ``keys``)."""
+    """Batch number and place in the batch from a zero-based ``rank``.
+
+    Dropping a short last batch needs the number of rows that were ranked in ``total``.
+    """
     placed = df.withColumns({
         "batch_id": F.floor(F.col("rank") / batch_size),
         "row_in_batch": (F.col("rank") % batch_size).cast("int"),
     })
     if not drop_last:
         return placed
-    if not keys:
-        full = F.floor(df.agg(F.count(F.lit(1))).scalar() / batch_size)
-        return placed.where(F.col("batch_id") < full)
-    # One row per split and epoch: the configuration bounds it, not the data.
-    sizes = df.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / batch_size).alias("__full"))
-    return placed.join(F.broadcast(sizes), list(keys)).where(
-        F.col("batch_id") < F.col("__full")).drop("__full")
+    return placed.where(F.col("batch_id") < F.floor(F.col(total) / batch_size))
 
 
 def collate(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

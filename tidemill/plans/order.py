@@ -64,13 +64,17 @@ def by_id_pair(major: str, minor: str, shifts: Sequence[int] = ID_SHIFTS) -> Ord
 
 
 def dense_rank(
-    df: DataFrame, ordering: Ordering, out: str = "rank", keys: Sequence[str] = ()
+    df: DataFrame, ordering: Ordering, out: str = "rank", keys: Sequence[str] = (),
+    total: str | None = None,
 ) -> DataFrame:
-    """Zero-based position of each row, per key or over the whole table."""
+    """Zero-based position of each row, per key or over the whole table.
+
+    ``total`` names a column for the number of rows, which the counting yields anyway.
+    """
     prepared = ordering.prepare(df)
     ranked = running_sum(
         prepared, F.lit(1).cast("bigint"), out,
-        order=ordering.columns, levels=ordering.levels, keys=keys)
+        order=ordering.columns, levels=ordering.levels, keys=keys, total=total)
     return ranked.withColumn(out, F.col(out) - 1).drop(*ordering.temporary)
 
 
@@ -91,30 +95,27 @@ def nth_key(df: DataFrame, ordering: Ordering, n: Count) -> DataFrame:
     for level in ordering.levels:
         rows = rows.withColumns(dict(level))
         names.append(list(level))
-    wanted: Column | None = None
+    rest, carried = "__rest", []
     for level in reversed(names):
-        counts = rows.groupBy(*level).agg(F.count(F.lit(1)).alias("__n"))
-        running = Window.orderBy(*level).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        if wanted is None:
+        counts = rows.groupBy(*level, *carried).agg(F.count(F.lit(1)).alias("__n"))
+        if not carried:
             total = F.sum("__n").over(Window.partitionBy(F.lit(0)))
-            target = F.least((n(total) if callable(n) else n).cast("bigint"), total)
-        else:
-            target = wanted
+            wanted = (n(total) if callable(n) else n).cast("bigint")
+            counts = counts.withColumn(rest, F.least(wanted, total))
+        running = Window.orderBy(*level).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = F.col("__upto")
         pick = (
-            counts.select("*", target.alias("__want"), F.sum("__n").over(running).alias("__upto"))
-            .where((F.col("__upto") >= F.col("__want"))
-                   & (F.col("__upto") - F.col("__n") < F.col("__want")))
-            .select(F.struct(
-                *level, (F.col("__want") - F.col("__upto") + F.col("__n")).alias("__rest")).alias("p"))
+            counts.withColumn("__upto", F.sum("__n").over(running))
+            .where((upto >= F.col(rest)) & (upto - F.col("__n") < F.col(rest)))
+            .select(*level, (F.col(rest) - upto + F.col("__n")).alias("__left"))
         )
-        chosen = pick.scalar()
-        for name in level:
-            rows = rows.where(F.col(name) == chosen.getField(name))
-        wanted = chosen.getField("__rest")
+        # One row: the segment that holds the n-th key.
+        rows = rows.drop(*carried).join(F.broadcast(pick), level).withColumnRenamed("__left", rest)
+        carried = [rest]
     position = F.row_number().over(Window.orderBy(*ordering.columns))
     return (
         rows.withColumn("__pos", position)
-        .where(F.col("__pos") == wanted)
+        .where(F.col("__pos") == F.col(rest))
         .select(F.struct(*ordering.columns).alias("bound"))
     )
 

@@ -77,25 +77,31 @@ def running_sum(
     order: Sequence[str],
     levels: Levels,
     keys: Sequence[str] = (),
+    total: str | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` per key, in the sequence given by ``order``.
 
     ``levels`` lists the segment columns, finest first; each level is expressed over the
-    columns of the level before it. ``order`` has to be unique within a key.
+    columns of the level before it. ``order`` has to be unique within a key. ``total``
+    names a column for the sum over the whole key.
     """
     marked, flat, restored = _flatten_keys(df.withColumn("__v", value), list(keys))
     summed = _summed(marked, "__v", out, order, levels, flat)
-    kept = [restored.get(c, F.col(c)).alias(c) for c in df.columns if c != out]
-    return summed.select(*kept, out)
+    kept = [restored.get(c, F.col(c)).alias(c) for c in df.columns if c not in (out, total)]
+    return summed.select(*kept, out, *([F.col(WHOLE_KEY).alias(total)] if total else []))
+
+
+WHOLE_KEY = "__whole"
 
 
 def _summed(
     df: DataFrame, value: str, out: str, order: Sequence[str], levels: Levels, keys: list[str]
 ) -> DataFrame:
     if not levels:
-        window = Window.partitionBy(*_per(keys)).orderBy(*order)
-        return df.withColumn(out, F.sum(value).over(
-            window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        key = Window.partitionBy(*_per(keys))
+        running = key.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(
+            "*", F.sum(value).over(running).alias(out), F.sum(value).over(key).alias(WHOLE_KEY))
 
     finest, upper = levels[0], levels[1:]
     total, upto, carry = (f"__{n}{len(levels)}" for n in ("t", "u", "c"))
@@ -103,7 +109,7 @@ def _summed(
     group = [*keys, *finest]
     totals = marked.groupBy(*group).agg(F.sum(value).alias(total))
     carried = _summed(totals, total, upto, list(finest), upper, keys).select(
-        *group, (F.col(upto) - F.col(total)).alias(carry))
+        *group, (F.col(upto) - F.col(total)).alias(carry), WHOLE_KEY)
     window = Window.partitionBy(*group).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     inside = marked.withColumn(out, F.sum(value).over(window))

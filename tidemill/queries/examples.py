@@ -11,7 +11,7 @@ from tidemill.functions import tokens as tk
 from tidemill.operators import batching, chat, prepare, select, split
 from tidemill.plans.order import by_hash, by_id, by_id_pair, dense_rank
 from tidemill.queries.registry import query
-from tidemill.session import scratch_dir, table
+from tidemill.session import scratch_dir, stage, table
 from tidemill.sources import examples as src
 
 SEED = 42
@@ -249,28 +249,30 @@ batched AS (SELECT *, CAST(rank // {BATCH} AS BIGINT) AS batch_id,
 """
 
 
-def batched(spark: SparkSession, sf: str, df: DataFrame, drop_last: bool = False) -> DataFrame:
+def batched(df: DataFrame, drop_last: bool = False) -> DataFrame:
+    """Batches of split examples, which are stored once and then read for each pass."""
     labelled = split.train_test_split(df, ["example_id"], TEST_FRACTION, SEED)
-    ranked = dense_rank(labelled, by_hash(["example_id"], SEED, 0), keys=["split"])
-    return batching.assign_batches(ranked, BATCH, drop_last, keys=["split"])
+    ranked = dense_rank(
+        stage(labelled, "split"), by_hash(["example_id"], SEED, 0), keys=["split"], total="total")
+    return batching.assign_batches(ranked, BATCH, drop_last)
 
 
 @query(f"WITH {PAIRS}, {SPLIT}, {BATCHED} SELECT example_id, split, batch_id, row_in_batch FROM batched")
 def assign_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return batched(spark, sf, pairs(spark, sf).select("example_id")).select(
+    return batched(pairs(spark, sf).select("example_id")).select(
         "example_id", "split", "batch_id", "row_in_batch")
 
 
 @query(f"""WITH {PAIRS}, {SPLIT}, {BATCHED} SELECT example_id, split, batch_id, row_in_batch
 FROM batched WHERE batch_id < full_batches""")
 def assign_batches_drop_last(spark: SparkSession, sf: str) -> DataFrame:
-    return batched(spark, sf, pairs(spark, sf).select("example_id"), drop_last=True).select(
+    return batched(pairs(spark, sf).select("example_id"), drop_last=True).select(
         "example_id", "split", "batch_id", "row_in_batch")
 
 
 def padded_batches(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     padded = prepare.pad_examples(encoded(spark, sf, limit), config(limit))
-    return batched(spark, sf, padded.select("example_id", "input_ids", "labels"))
+    return batched(padded.select("example_id", "input_ids", "labels"))
 
 
 BATCHED_ARRAYS = f"""{PAIRS}, {SPLIT}, {BATCHED}, {encoded_sql(WHOLE, 'batched')},
@@ -292,7 +294,7 @@ def collate_batches(spark: SparkSession, sf: str) -> DataFrame:
   CAST(row_in_batch // 4 AS INTEGER) AS dp_rank, CAST(row_in_batch % 4 AS INTEGER) AS row_in_shard
 FROM batched""")
 def assign_dp_shards(spark: SparkSession, sf: str) -> DataFrame:
-    rows = batched(spark, sf, pairs(spark, sf).select("example_id"))
+    rows = batched(pairs(spark, sf).select("example_id"))
     return batching.assign_dp_shards(rows, BATCH, shards=4).select(
         "example_id", "split", "batch_id", "row_in_batch", "dp_rank", "row_in_shard")
 

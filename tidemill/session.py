@@ -69,6 +69,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read back, for results that several passes use."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settings_table(spark: SparkSession, rows: Sequence[tuple], schema: dict[str, pa.DataType]) -> DataFrame:
     """A small table of settings such as prices or ranges, as a local relation."""
     columns = list(zip(*rows)) or [()] * len(schema)
