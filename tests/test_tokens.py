@@ -165,3 +165,8 @@ def test_trained_tokenizer_matches_the_library(spark):
     got = {r["text"]: r["ids"] for r in rows.select(
         "text", tokenizer.encode(F.col("text"), 20).alias("ids")).collect()}
     assert got == {t: trained.encode(t).ids[:20] for t in texts}
+    trained.post_processor = tokenizers.processors.TemplateProcessing(
+        single="<s> $A </s>", special_tokens=[("<s>", 1), ("</s>", 2)])
+    tokenizer = tk.TrainedTokenizer(trained.to_str(), pad_id=0, eos_id=2)
+    closed = rows.select(tokenizer.encode(F.col("text"), 8).alias("ids")).collect()
+    assert all(len(r["ids"]) <= 8 and r["ids"][0] == 1 and r["ids"][-1] == 2 for r in closed)

@@ -160,9 +160,10 @@ class TrainedTokenizer:
         @F.arrow_udf("array<int>")
         def encode_batch(texts: pa.Array) -> pa.Array:
             tokenizer = _load_tokenizer(definition)
+            tokenizer.enable_truncation(max_len)  # special ids count and are kept
             encodings = tokenizer.encode_batch_fast(
                 texts.to_pylist(), add_special_tokens=add_special)
-            return pa.array([e.ids[:max_len] for e in encodings], pa.list_(pa.int32()))
+            return pa.array([e.ids for e in encodings], pa.list_(pa.int32()))
 
         return encode_batch(text)
 
