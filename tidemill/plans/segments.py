@@ -16,9 +16,9 @@ join into a broadcast one only when the measured size allows it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,7 +129,7 @@ def scan_keys(
     sums: dict[str, Column] | None = None,
     collected: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Several ordered computations per key with one window and one carry join.
+    """Several ordered computations per key, with one window over the rows.
 
     ``previous`` / ``following``: value of the row before / after, null where there is
     none. ``held``: last non-null value up to and including the row. ``sums``: inclusive
@@ -148,18 +148,6 @@ def scan_keys(
            {**previous, **following, **held, **sums, **collected}.items()}}), keys)
     group = [*flat, "__seg"]
 
-    edges = {n: F.max_by(f"__v_{n}", at) for n in previous}
-    edges |= {n: F.min_by(f"__v_{n}", at) for n in following}
-    edges |= {n: F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)) for n in held}
-    edges |= {n: F.sum(f"__v_{n}") for n in sums}
-
-    across = Window.partitionBy(*_per(flat)).orderBy("__seg")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    carried = {n: F.lag(f"__e_{n}").over(across) for n in previous}
-    carried |= {n: F.lead(f"__e_{n}").over(across) for n in following}
-    carried |= {n: F.last(f"__e_{n}", ignorenulls=True).over(before) for n in held}
-    carried |= {n: F.sum(f"__e_{n}").over(before) for n in sums}
-
     inside = Window.partitionBy(*group).orderBy(order)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {n: F.lag(f"__v_{n}").over(inside) for n in previous}
@@ -174,10 +162,8 @@ def scan_keys(
         F.lead(order).over(inside).isNotNull().alias("__has_following"))
 
     joined = windowed
-    if edges:
-        per_segment = marked.groupBy(*group).agg(*[e.alias(f"__e_{n}") for n, e in edges.items()])
-        carry = per_segment.select(*group, *[c.alias(f"__in_{n}") for n, c in carried.items()])
-        joined = windowed.join(carry, group, "left")
+    for carry in _carries(marked, flat, order, shift, previous, following, held, sums):
+        joined = joined.join(carry, group, "left")
     out = {n: F.when(F.col("__has_previous"), F.col(f"__o_{n}")).otherwise(F.col(f"__in_{n}"))
            for n in previous}
     out |= {n: F.when(F.col("__has_following"), F.col(f"__o_{n}")).otherwise(F.col(f"__in_{n}"))
@@ -188,3 +174,42 @@ def scan_keys(
     out |= {n: F.col(f"__o_{n}") for n in collected}
     kept = [restored.get(c, F.col(c)).alias(c) for c in df.columns if c not in out]
     return joined.select(*kept, *[c.alias(n) for n, c in out.items()])
+
+
+def _carries(
+    marked: DataFrame, flat: list[str], order: str, shift: int, previous: Iterable[str],
+    following: Iterable[str], held: Iterable[str], sums: Iterable[str],
+) -> Iterator[DataFrame]:
+    """Tables of what enters each (key, segment) from other segments of the key."""
+    group, at = [*flat, "__seg"], F.col(order)
+    across = Window.partitionBy(*_per(flat)).orderBy("__seg")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    last = {n: F.max_by(f"__v_{n}", at) for n in previous}
+    first = {n: F.min_by(f"__v_{n}", at) for n in following}
+    newest = {n: F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), at)) for n in held}
+    totals = {n: F.sum(f"__v_{n}") for n in sums}
+
+    def edges(rows: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
+        return rows.groupBy(*group).agg(*[e.alias(f"__e_{n}") for n, e in aggregates.items()])
+
+    if last or totals:
+        carried = {n: F.lag(f"__e_{n}").over(across) for n in last}
+        carried |= {n: F.sum(f"__e_{n}").over(before) for n in totals}
+        yield edges(marked, {**last, **totals}).select(
+            *group, *[c.alias(f"__in_{n}") for n, c in carried.items()])
+    if not (first or newest):
+        return
+
+    # No row of the table's lowest segment follows another segment, and that segment
+    # inherits nothing. Mostly it is the only one, and then few rows get past the filters.
+    lowest = F.shiftright(marked.agg(F.min(at.cast("bigint"))).scalar(), shift)
+    later = F.col("__seg") > lowest
+    if first:
+        target = F.coalesce(F.lag("__seg").over(across), lowest)
+        yield edges(marked.where(later), first).select(
+            *flat, target.alias("__seg"), *[F.col(f"__e_{n}").alias(f"__in_{n}") for n in first])
+    if newest:
+        known = reduce(or_, [F.col(f"__v_{n}").isNotNull() for n in newest])
+        carried = {n: F.last(f"__e_{n}", ignorenulls=True).over(before) for n in newest}
+        yield edges(marked.where(later | known), newest).select(
+            *group, *[c.alias(f"__in_{n}") for n, c in carried.items()])
