@@ -4,13 +4,13 @@ A line is looked at without the white space around it, if it then has at least `
 characters; shorter ones stay. It goes if an earlier line (by doc_id, then place) is at an edit
 distance of at most ``edits``. Lines are judged on the input, not on what is left.
 
-Equal lines are collapsed to their first place. The others are split into ``edits + 1`` segments: two
+Equal lines are collapsed to their first place, by two hashes of 64 bits. The first ones are split into ``edits + 1`` segments: two
 lines within ``edits`` share a segment, at a place that the difference of their lengths limits.
 So every line is indexed by (length, segment number, segment) and looked up by its substrings at
 the places allowed for each shorter length. Where more than ``crowd`` lines meet, the segment is
 taken out and the rest is split in the same way, until few meet or little is left. Candidates are
-verified with the banded bit-parallel edit distance: the band of the matrix, ``2 * edits + 1`` wide,
-is one machine word that is moved along the diagonal.
+verified, after common ends are cut off, with the banded bit-parallel edit distance: the band of the
+matrix, ``2 * edits + 1`` wide, is one machine word that is moved along the diagonal.
 
 Everything is a DataFrame or SQL function.
 
@@ -40,16 +40,44 @@ def split_lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Columns id, line, n, first: every long line once, with its first place, stored."""
-    place = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).cast("decimal(20,0)") * F.lit(PLACES)
-             + F.col("pos")).cast("decimal(38,0)")
-    lines = (docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "raw"))
-             .select(F.trim(F.col("raw"), F.lit(" \t\r\v\f")).alias("line"), place.alias("place"))
-             .filter(F.char_length("line") >= min_chars))
-    firsts = lines.groupBy("line").agg(F.min("place").alias("first"))
-    return stored(firsts.select(F.xxhash64("line").alias("id"), "line", F.char_length("line").alias("n"), "first"),
-                  "lines", "zstd")
+def bare(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r\v\f"))
+
+
+#: Up to so many line ids are broadcast to fetch their texts, and so many removed places to take them out; more are
+#: joined by shuffling.
+BROADCAST_ROWS = 500_000
+
+
+def small_or_not(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers, marked for broadcasting if they are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def with_firsts(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Columns doc, key_id, firsts, stored: ``firsts`` has the places (and line ids) at which a long line is the first."""
+    key_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))
+    lines = (docs.select(key_id.alias("key_id"), F.posexplode(split_lines(F.col("text"))).alias("pos", "raw"))
+             .select("key_id", "pos", bare(F.col("raw")).alias("line")).filter(F.char_length("line") >= min_chars))
+    place = (F.col("key_id").cast("decimal(20,0)") * F.lit(PLACES) + F.col("pos")).cast("decimal(38,0)")
+    firsts = (lines.groupBy(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
+              .agg(F.min(place).alias("first")))
+    at = F.pmod(F.col("first"), F.lit(PLACES).cast("decimal(38,0)"))
+    by_doc = (firsts.select(((F.col("first") - at) / F.lit(PLACES)).cast("long").alias("key_id"),
+                            F.struct(at.cast("int").alias("at"), "id").alias("f"))
+              .groupBy("key_id").agg(F.collect_list("f").alias("firsts")))  # bounded by the document
+    held = docs.select(F.struct("*").alias("doc"), key_id.alias("key_id"))
+    return stored(held.join(by_doc, "key_id", "left"), "first-lines", "zstd")
+
+
+def first_lines(marked: DataFrame) -> DataFrame:
+    """Columns id, line, n, key_id, at: every first line."""
+    parts = F.struct(split_lines(F.col("doc.text")).alias("lines"), F.col("firsts").alias("firsts"))
+    found = F.transform(F.array(parts), lambda s: F.transform(s["firsts"], lambda f: F.struct(
+        f["id"].alias("id"), f["at"].alias("at"), bare(F.get(s["lines"], f["at"])).alias("line"))))[0]
+    # versions of a document may have another line at the place
+    return (marked.filter("firsts is not null").select("key_id", F.explode(found).alias("f")).select("key_id", "f.*")
+            .filter(F.xxhash64("line") == F.col("id")).withColumn("n", F.char_length("line")))
 
 
 def segment(length: Column, k: int, i: int) -> tuple[Column, Column]:
@@ -66,15 +94,33 @@ def bucket(parent: Column, text: Column, length: Column, i: int, start: Column,
 
 def entry(parent: Column, text: Column, n: Column, edits: int, difference: int, i: int, shift: int,
           probe: bool) -> Column:
-    """Struct key, probe, delta, start, size for segment ``i`` of a line shorter by ``difference``."""
+    """Struct key, kind for segment ``i`` of a line shorter by ``difference``; ``kind`` numbers the four others."""
     length = n - difference
     start, size = segment(length, edits + 1, i)
     at = start + shift
-    made = F.struct(bucket(parent, text, length, i, at, size).alias("key"), F.lit(probe).alias("probe"),
-                    F.lit(difference).alias("delta"), at.alias("start"), size.alias("size"))
+    kind = ((difference * (edits + 1) + i) * (2 * edits + 1) + shift + edits) * 2 + probe
+    made = F.struct(bucket(parent, text, length, i, at, size).alias("key"), F.lit(kind).alias("kind"))
     return F.when((length > edits) & (at >= 0) & (at + size <= n), made)
 
 
+def unpacked(rows: DataFrame, edits: int) -> DataFrame:
+    """``rows`` with probe, delta, start and size from kind and the line's length n."""
+    width, k = 2 * edits + 1, edits + 1
+    rest = F.floor(F.col("kind") / 2)
+    shift, at = rest % width - edits, F.floor(rest / width)
+    i, delta = at % k, F.floor(at / k).cast("int")
+    length = F.col("n") - delta
+    longer = length % k
+    start = F.floor(length / k) * i + F.greatest(F.lit(0), i - (F.lit(k) - longer)) + shift
+    size = F.floor(length / k) + F.when(i >= F.lit(k) - longer, 1).otherwise(0)
+    return rows.withColumns({"probe": is_probe(), "delta": delta, "start": start.cast("int"),
+                             "size": size.cast("int")})
+
+
+def is_probe() -> Column:
+    return F.col("kind") % 2 == 1
+
+
 def indexed(parent: Column, text: Column, n: Column, edits: int) -> list[Column]:
     """Index entries of a line. They also look up lines of the same length at the same place."""
     return [entry(parent, text, n, edits, 0, i, 0, False) for i in range(edits + 1)]
@@ -99,22 +145,26 @@ def met(rows: DataFrame) -> DataFrame:
     """Entries in buckets with an index entry and another one."""
     over = Window.partitionBy("key")
     return (rows.withColumn("met", F.count("*").over(over))
-            .withColumn("indexed", F.sum(F.when(F.col("probe"), 0).otherwise(1)).over(over))
+            .withColumn("indexed", F.sum(F.when(is_probe(), 0).otherwise(1)).over(over))
             .filter("met > 1 and indexed > 0").drop("indexed"))
 
 
-def candidates(lines: DataFrame, edits: int, crowd: int) -> DataFrame:
-    """Pairs (a, b) of line ids that share a segment, each once."""
-    text, n, root = F.col("text"), F.col("n"), F.lit(0).cast("long")
+def candidates(marked: DataFrame, edits: int, crowd: int) -> DataFrame:
+    """Pairs (a, b) of line ids that share a segment, each once, stored."""
+    text, n, root, parent = F.col("text"), F.col("n"), F.lit(0).cast("long"), F.col("parent")
     looks = [p for d in range(edits + 1) for p in probes(root, text, n, edits, d, False)]
-    texts = lines.select("id", "n", F.col("line").alias("text"))
+    texts = first_lines(marked).select("id", "n", F.col("line").alias("text"))
     rows = stage(met(exploded(texts, indexed(root, text, n, edits) + looks).drop("text")), "segments")
     pairs = paired(rows.filter(F.col("met") <= crowd))
-    crowded = rows.filter(F.col("met") > crowd).join(texts.select("id", "text"), "id")
-    parent = F.col("parent")
+    crowded = rows.filter(F.col("met") > crowd)
+    first = True
     while crowded.limit(1).count():
-        rest = stage(crowded.select(
-            "id", F.col("key").alias("parent"), "probe", "delta", (F.col("n") - F.col("size")).alias("n"),
+        if first:
+            wanted = stage(crowded.select("id").distinct(), "wanted")
+            crowded = crowded.join(texts.select("id", "text").join(small_or_not(wanted), "id"), "id")
+            first = False
+        rest = stage(unpacked(crowded, edits).select(
+            "id", F.col("key").alias("parent"), "kind", "probe", "delta", (F.col("n") - F.col("size")).alias("n"),
             F.concat(F.expr("left(text, start)"), F.expr("substring(text, start + size + 1)")).alias("text")), "rests")
         short = F.col("n") - F.col("delta") < 2 * (edits + 1)
         pairs = pairs.unionByName(paired(rest.filter(short).withColumn("key", parent)))
@@ -127,16 +177,35 @@ def candidates(lines: DataFrame, edits: int, crowd: int) -> DataFrame:
         rows = stage(met(rows), "segments")
         pairs = pairs.unionByName(paired(rows.filter(F.col("met") <= crowd)))
         crowded = rows.filter(F.col("met") > crowd)
-    return pairs.distinct()
+    return stage(pairs.distinct(), "line-pairs")
 
 
 def paired(rows: DataFrame) -> DataFrame:
-    index = rows.filter("not probe").select("key", F.col("id").alias("i"))
-    look = rows.select("key", "id", "probe")
+    index = rows.filter(~is_probe()).select("key", F.col("id").alias("i"))
+    look = rows.select("key", "id", is_probe().alias("probe"))
     return index.join(look, "key").filter("i != id and (probe or i < id)").select(
         F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"))
 
 
+def common_end(a: Column, b: Column, most: Column, part) -> Column:
+    """Characters that two strings share at one end, at most ``most``; ``part(x, done, step)`` cuts from that end."""
+    steps = F.array(*[F.lit(1 << i) for i in range(24, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda done, step: F.when(
+        (done + step <= most) & (part(a, done, step) == part(b, done, step)), done + step).otherwise(done))
+
+
+def without_common_ends(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a_line, b_line, a_n, b_n) with middle parts a_mid, b_mid."""
+    cut = lambda x, start, size: F.substring(x, start, size)
+    headed = pairs.withColumn("head", common_end(
+        F.col("a_line"), F.col("b_line"), F.least("a_n", "b_n"), lambda x, done, step: cut(x, done + 1, step)))
+    most = F.least("a_n", "b_n") - F.col("head")
+    tail = common_end(F.reverse("a_line"), F.reverse("b_line"), most, lambda x, done, step: cut(x, done + 1, step))
+    tailed = headed.withColumn("tail", tail)
+    middle = lambda s: cut(F.col(f"{s}_line"), F.col("head") + 1, F.col(f"{s}_n") - F.col("head") - F.col("tail"))
+    return tailed.withColumns({"a_mid": middle("a"), "b_mid": middle("b")})
+
+
 def within(shorter: Column, longer: Column, edits: int) -> Column:
     """Whether two lines are within ``edits``; arguments are arrays of characters, at most ``edits`` apart in length.
 
@@ -151,7 +220,7 @@ def within(shorter: Column, longer: Column, edits: int) -> Column:
     m, length = F.size(longer), F.size(shorter)
     one = lambda x: F.lit(x).cast("long")
     start = F.struct(one(mask & ~((1 << edits) - 1)).alias("vp"), one(0).alias("vn"),
-                     F.lit(edits).cast("int").alias("score"))
+                     F.least(F.lit(edits), m).cast("int").alias("score"))
 
     def step(acc: Column, j: Column) -> Column:
         """Column ``j`` (from 1) against the rows of the longer line."""
@@ -186,41 +255,43 @@ def within(shorter: Column, longer: Column, edits: int) -> Column:
             down.bitwiseAND(hp).alias("vn"),
             F.when(j + edits <= m, on_edge).otherwise(on_row).cast("int").alias("score"))
 
-    return F.aggregate(F.sequence(F.lit(1), length), start, step, lambda acc: acc["score"]) <= edits
+    columns = F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.array().cast("array<int>"))
+    score = F.aggregate(columns, start, step, lambda acc: acc["score"])
+    return F.when(length > 0, score).otherwise(m) <= edits
 
 
-def repeated(lines: DataFrame, edits: int, crowd: int) -> DataFrame:
-    """Column first: first places of the distinct lines that are within ``edits`` of an earlier one."""
-    pairs = candidates(lines, edits, crowd)
+def repeated(marked: DataFrame, edits: int, crowd: int) -> DataFrame:
+    """Columns key_id, at: first places of the lines that are within ``edits`` of an earlier one."""
+    pairs = candidates(marked, edits, crowd)
+    wanted = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    lines = stage(first_lines(marked).join(small_or_not(wanted), "id").select(
+        "id", "line", "n", F.struct("key_id", "at").alias("first")), "wanted-lines")
     for side in ("a", "b"):
         pairs = pairs.join(lines.select(F.col("id").alias(side), F.col("line").alias(f"{side}_line"),
                                         F.col("n").alias(f"{side}_n"), F.col("first").alias(f"{side}_first")), side)
+    cut = without_common_ends(pairs.filter(F.abs(F.col("a_n") - F.col("b_n")) <= edits))
+    if edits == 1:  # both ends of the middle differ, so one edit is all of it
+        cut = cut.filter((F.char_length("a_mid") <= 1) & (F.char_length("b_mid") <= 1))
     a_short = F.col("a_n") <= F.col("b_n")
-    chars = pairs.filter(F.abs(F.col("a_n") - F.col("b_n")) <= edits).select(
-        F.split(F.when(a_short, F.col("a_line")).otherwise(F.col("b_line")), "").alias("shorter"),
-        F.split(F.when(a_short, F.col("b_line")).otherwise(F.col("a_line")), "").alias("longer"),
+    chars = cut.select(
+        F.split(F.when(a_short, F.col("a_mid")).otherwise(F.col("b_mid")), "").alias("shorter"),
+        F.split(F.when(a_short, F.col("b_mid")).otherwise(F.col("a_mid")), "").alias("longer"),
         F.greatest("a_first", "b_first").alias("first"))
-    return chars.filter(within(F.col("shorter"), F.col("longer"), edits)).select("first").distinct()
+    chars = chars.select(*[F.filter(c, lambda x: x != "").alias(c) for c in ("shorter", "longer")], "first")
+    return chars.filter(within(F.col("shorter"), F.col("longer"), edits)).select("first.*").distinct()
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; n_lines counts the long lines, n_removed those gone."""
-    lines = distinct_lines(docs, min_chars)
-    kept = lines.join(repeated(lines, edits, crowd), "first", "left_anti").select("first")
-    place = F.pmod(F.col("first"), F.lit(PLACES).cast("decimal(38,0)"))
-    kept = (kept.select(((F.col("first") - place) / F.lit(PLACES)).cast("long").alias("kept_id"),
-                        place.cast("int").alias("at"))
-            .groupBy("kept_id").agg(F.collect_list("at").alias("at")))
-    held = docs.select(F.struct("*").alias("doc"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("kept_id"))
+    marked = with_firsts(docs, min_chars)
+    gone = stage(repeated(marked, edits, crowd).groupBy("key_id").agg(F.collect_list("at").alias("gone")), "gone")
     none = F.array().cast("array<int>")
 
     def rebuilt(s: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(s["lines"]) - 1)
-        is_short = lambda p: F.char_length(
-            F.trim(F.get(s["lines"], p), F.lit(" \t\r\v\f"))) < min_chars
-        short = F.filter(places, is_short)
-        stay = F.array_sort(F.array_union(F.array_intersect(s["at"], places), short))
+        short = F.filter(places, lambda p: F.char_length(bare(F.get(s["lines"], p))) < min_chars)
+        kept = F.array_intersect(F.array_except(F.transform(s["firsts"], lambda f: f["at"]), s["gone"]), places)
+        stay = F.array_sort(F.array_union(kept, short))
         return F.struct(
             F.array_join(F.transform(stay, lambda p: F.get(s["lines"], p)), "\n").alias("text"),
             (F.size(places) - F.size(short)).cast("long").alias("n_lines"),
@@ -228,8 +299,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
 
     # bound once as a lambda's variable, so a text is split once
     parts = F.struct(split_lines(F.coalesce(F.col("doc.text"), F.lit(""))).alias("lines"),
-                     F.coalesce("at", none).alias("at"))
-    made = held.join(kept, "kept_id", "left").select("doc", F.transform(F.array(parts), rebuilt)[0].alias("made"))
+                     F.coalesce("firsts", F.array().cast("array<struct<at:int,id:bigint>>")).alias("firsts"),
+                     F.coalesce("gone", none).alias("gone"))
+    made = marked.join(small_or_not(gone), "key_id", "left").select(
+        "doc", F.transform(F.array(parts), rebuilt)[0].alias("made"))
     columns = [F.when(F.col("doc.text").isNotNull(), F.col("made.text")).alias("text") if name == "text"
                else F.col(f"doc.`{name}`").alias(name)
                for name in docs.columns if name not in ("n_lines", "n_removed")]
