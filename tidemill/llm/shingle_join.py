@@ -168,6 +168,11 @@ def power_of(count: str) -> Column:
     return F.length(F.bin(count))  # exact, unlike a logarithm
 
 
+def parity_words(n: int) -> int:
+    """Words of 64 bits for the parity of a set: about a bit per shingle, a power of two."""
+    return 4 << max(0, (n - 1) // 256).bit_length()
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
     """For the documents of ``wanted`` (id, th, cid): all shingles, parity bits, and the second prefix.
 
@@ -176,7 +181,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, common: np.ndarray, words: int
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch, texts in slices(batches):
-            sizes, arrays, moved, bits = [], [], [], [[], [], [], []]
+            sizes, arrays, moved, bits = [], [], [], []
             for text in texts:
                 s = shingle_set(text, known, words)
                 sizes.append(len(s))
@@ -186,17 +191,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, common: np.ndarray, words: int
                 is_common = np.isin(signed, common) if len(common) else np.zeros(len(s), bool)
                 moved.append(np.concatenate([signed[~is_common], signed[is_common]])[:p]
                              if is_common[:p].any() else signed[:0])
-                parity = np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & 255, minlength=256) & 1)
-                                     .astype(np.uint8)).view("<i8")
-                for column, value in zip(bits, parity.tolist()):
-                    column.append(value)
+                m = 64 * parity_words(len(s))
+                flips = np.bincount((s >> np.uint64(20)).astype(np.int64) & (m - 1), minlength=m) & 1
+                bits.append(np.packbits(flips.astype(np.uint8)).view("<i8"))
             yield pa.record_batch([
                 batch.column(0), pa.array(sizes, pa.int64()), pa.array(arrays, pa.list_(pa.int64())),
-                pa.array(moved, pa.list_(pa.int64())), *[pa.array(b, pa.int64()) for b in bits]],
-                names=["cid", "n", "shingles", "moved", "b0", "b1", "b2", "b3"])
+                pa.array(moved, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["cid", "n", "shingles", "moved", "parity"])
 
     chosen = docs.join(wanted, ["id", "th"]).select("cid", "text").mapInArrow(
-        load, "cid long, n long, shingles array<long>, moved array<long>, b0 long, b1 long, b2 long, b3 long")
+        load, "cid long, n long, shingles array<long>, moved array<long>, parity array<long>")
     return stage(chosen, "full-sets")
 
 
@@ -204,26 +208,35 @@ def sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def close_enough(one: list[Column], other: list[Column], n: Column, percent: int) -> Column:
-    """Whether sets with these parity bits and ``n`` shingles together can link.
+def flipped(a: Column, b: Column) -> Column:
+    """Bits in which two parities of equal size differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+
+def folded(a: Column) -> Column:
+    """Parity of the same set in half as many bits."""
+    half = (F.size(a) / 2).cast("int")
+    return F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def close_enough(a: Column, b: Column, n: Column, percent: int) -> Column:
+    """Whether sets with these parities and ``n`` shingles together can link.
 
     Sets that link differ in at most (100 - percent) / (100 + percent) of their shingles together, and
     each shingle in only one of them flips one bit.
     """
-    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(one, other)), F.lit(0))
+    differ = (F.when(F.size(a) == F.size(b), flipped(a, b)).when(F.size(a) == 2 * F.size(b), flipped(folded(a), b))
+              .when(2 * F.size(a) == F.size(b), flipped(a, folded(b))).otherwise(F.lit(0)))
     return differ * (100 + percent) <= n * (100 - percent)
 
 
-BITS = ["b0", "b1", "b2", "b3"]
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those that link, stored."""
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("cid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    near = pairs.join(side("a", "n", *BITS), "a").join(side("b", "n", *BITS), "b").filter(close_enough(
-        [F.col(f"a_{c}") for c in BITS], [F.col(f"b_{c}") for c in BITS], F.col("a_n") + F.col("b_n"), percent))
+    near = pairs.join(side("a", "n", "parity"), "a").join(side("b", "n", "parity"), "b").filter(close_enough(
+        F.col("a_parity"), F.col("b_parity"), F.col("a_n") + F.col("b_n"), percent))
     near = stage(near.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n")), "near-pairs")
     shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
     return stage(near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").filter(
@@ -253,12 +266,11 @@ def link_components(entries: DataFrame, sets: DataFrame, percent: int, rounds: i
         links = found if links is None else links.unionByName(found)
         if found.limit(1).count():
             work = relabelled(work, links)
-    rest = work.select("bucket", "cid", "n", "comp").join(sets.select("cid", *BITS), "cid")
+    rest = work.select("bucket", "cid", "n", "comp").join(sets.select("cid", "parity"), "cid")
     other = rest.select(*[F.col(c).alias(f"{c}_") for c in rest.columns])
     pairs = rest.join(other, (F.col("bucket") == F.col("bucket_")) & (F.col("cid") < F.col("cid_"))
                       & (F.col("comp") != F.col("comp_")) & sizes_allow(F.col("n"), F.col("n_"), percent)
-                      & close_enough([F.col(c) for c in BITS], [F.col(f"{c}_") for c in BITS],
-                                     F.col("n") + F.col("n_"), percent))
+                      & close_enough(F.col("parity"), F.col("parity_"), F.col("n") + F.col("n_"), percent))
     pairs = stage(pairs.select(F.col("cid").alias("a"), F.col("cid_").alias("b")).distinct()
                   .join(done, ["a", "b"], "left_anti"), "pairs")
     return components(links.unionByName(verified(pairs, sets, percent)))
