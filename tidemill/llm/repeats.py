@@ -34,7 +34,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.rows import WordHashes, run_hashes, slices
+from tidemill.llm.rows import WordHashes, run_hashes, slices, stored
 from tidemill.session import stage
 
 WINDOW = 20
@@ -62,7 +62,7 @@ def anchors_of(hashes: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray
     return places, runs[places]
 
 
-DIGEST = ("doc_id long, th long, n_words long, all_sha256 string, same1 long, same2 long, "
+DIGEST = ("number long, doc_id long, th long, n_words long, all_sha256 string, same1 long, same2 long, "
           "places array<int>, prefixes array<long>")
 
 
@@ -81,10 +81,11 @@ def digests(docs: DataFrame, window: int, prefix: int) -> DataFrame:
                                                places.astype(np.int32), prefixes.view(np.int64))):
                     column.append(value)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(out, kinds)]],
+            yield pa.record_batch([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(out, kinds)]],
                                   names=[f.split()[0] for f in DIGEST.split(", ")])
 
-    return stage(keyed(docs).mapInArrow(digest, DIGEST), "digests")
+    numbered = keyed(docs).select(F.monotonically_increasing_id().alias("number"), *KEY, "text")
+    return stage(numbered.mapInArrow(digest, DIGEST), "digests")  # stored, so the numbers stay
 
 
 def contexts(texts: DataFrame, window: int, prefix: int) -> DataFrame:
@@ -267,24 +268,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     def null_safe(a: DataFrame, b: DataFrame):
         return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
-    leads = firsts.filter(F.col("n_words") >= window).select(
-        F.col("lead.doc_id").alias("doc_id"), F.col("lead.th").alias("th"))
-    own = found.filter(F.col("n_words") >= window).dropDuplicates(KEY)
-    anchors = (own.join(leads, null_safe(own, leads), "left_semi")
-               .select(*KEY, F.explode(F.arrays_zip("places", "prefixes")).alias("a"))
-               .select(*KEY, F.col("a.places").alias("place"), F.col("a.prefixes").alias("prefix")))
+    # of each class one row takes part; its number is short, unlike its key
+    numbers = stage(found.filter(F.col("n_words") >= window).groupBy(*same).agg(
+        F.min(F.struct(*KEY)).alias("lead"), F.min("number").alias("number")), "numbers")
+    anchors = (found.join(numbers.select("number"), "number", "left_semi")
+               .select("number", F.explode(F.arrays_zip("places", "prefixes")).alias("a"))
+               .select("number", F.col("a.places").alias("place"), F.col("a.prefixes").alias("prefix")))
     shared = (anchors.withColumn("n", F.count("*").over(Window.partitionBy("prefix")))
-              .filter("n > 1").groupBy(*KEY).agg(F.sort_array(F.collect_list("place")).alias("places")))
+              .filter("n > 1").groupBy("number").agg(F.sort_array(F.collect_list("place")).alias("places"))
+              .join(numbers, "number").select("lead.*", "places"))
     texts = keyed(docs)
-    held = stage(texts.join(shared, null_safe(texts, shared)).select(texts["doc_id"], texts["th"], "text", "places"),
-                 "passages")
-    distinct_held = held.dropDuplicates(KEY)
-    near = stage(contexts(distinct_held, window, prefix).withColumn("near_hash", F.xxhash64("left", "near")),
-                 "neighbourhoods")
+    held = stored(texts.join(shared, null_safe(texts, shared)).select(texts["doc_id"], texts["th"], "text", "places"),
+                  "passages", "zstd")
+    if told.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        held = held.dropDuplicates(KEY)  # rows equal in doc_id and text
+    # read twice rather than stored: a neighbourhood is as long as 32 words, and most are dropped
+    near = contexts(held, window, prefix).withColumn("near_hash", F.xxhash64("left", "near"))
     classes = near.groupBy("prefix", "near_hash").agg(
         F.min(F.struct(*KEY, "place")).alias("first"), F.first("left").alias("left"), F.first("near").alias("near"),
         F.count("*").alias("members"))
-    classes = stage(classes.select("prefix", "near_hash", "first.*", "left", "near", "members"), "leaves")
+    classes = stored(classes.select("prefix", "near_hash", "first.*", "left", "near", "members"), "leaves", "zstd")
     large = classes.groupBy("prefix").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("prefix")
     large = stage(large, "large-prefixes")
     if large.limit(1).count():
@@ -313,8 +316,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(removed, pa.int64()),
                                    pa.array(digests_, pa.string())], names=["doc_id", "th", "removed", "sha"])
 
-    cut = distinct_held.join(marked, null_safe(distinct_held, marked)).select(
-        distinct_held["doc_id"], distinct_held["th"], "text", "marks").mapInArrow(
+    cut = held.join(marked, null_safe(held, marked)).select(
+        held["doc_id"], held["th"], "text", "marks").mapInArrow(
         finish, "doc_id long, th long, removed long, sha string")
     whole = F.col("copy") & (F.col("n_words") >= window)
     return told.join(cut, null_safe(told, cut), "left").select(
