@@ -46,6 +46,8 @@ LIGHT_MOST = 40
 COMMON = 64
 #: ... and at most so many of the most common are put last.
 COMMON_MOST = 1 << 18
+#: Up to so many sets (three numbers each) are broadcast to fetch their texts; more are joined by shuffling.
+BROADCAST_SETS = 200_000
 #: Rounds in which each bucket is compared with one central member.
 ROUNDS = 2
 
@@ -73,7 +75,7 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(scramble(total).view(np.int64)[0])
 
 
-SETS = "doc_id long, id long, th long, n long, cid long, prefix array<long>"
+SETS = "doc_id long, id long, th long, n long, cid long, prefix array<long>, parity array<long>"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -83,12 +85,24 @@ def keyed(docs: DataFrame) -> DataFrame:
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
 
 
+def parity_words(n: int) -> int:
+    """Words of 64 bits for the parity of a set: about a bit per shingle, a power of two."""
+    return 4 << max(0, (n - 1) // 256).bit_length()
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Which places hold an odd number of shingles, a place being some bits of the hash."""
+    m = 64 * parity_words(len(shingles))
+    flips = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (m - 1), minlength=m) & 1
+    return np.packbits(flips.astype(np.uint8)).view("<i8")
+
+
 def prefix_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per document its set's size, fingerprint and the shingles of least hash, one more than a prefix."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch, texts in slices(batches):
-            sizes, cids, prefixes = [], [], []
+            sizes, cids, prefixes, parities = [], [], [], []
             for text in texts:
                 s = shingle_set(text, known, words)
                 n = len(s)
@@ -97,9 +111,11 @@ def prefix_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 # sets that cannot link with a different set take no part
                 none = n * 100 < percent * (n + 1)
                 prefixes.append(s[:0 if none else n - least_overlap(n, percent) + 2].view(np.int64))
+                parities.append(s[:0].view(np.int64) if none else parity(s))
             yield pa.record_batch([
                 *batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()),
-                pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "id", "th", "n", "cid", "prefix"])
+                pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))],
+                names=["doc_id", "id", "th", "n", "cid", "prefix", "parity"])
 
     return stage(keyed(docs).mapInArrow(measure, SETS), "shingle-sets")
 
@@ -168,40 +184,39 @@ def power_of(count: str) -> Column:
     return F.length(F.bin(count))  # exact, unlike a logarithm
 
 
-def parity_words(n: int) -> int:
-    """Words of 64 bits for the parity of a set: about a bit per shingle, a power of two."""
-    return 4 << max(0, (n - 1) // 256).bit_length()
-
+def chosen_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Columns cid, text of the documents in ``wanted`` (id, th, cid); few are looked up by broadcasting them."""
+    wanted = stage(wanted, "wanted")
+    few = wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
+    return keyed(docs).join(F.broadcast(wanted) if few else wanted, ["id", "th"]).select("cid", "text")
 
-def full_sets(docs: DataFrame, wanted: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
-    """For the documents of ``wanted`` (id, th, cid): all shingles, parity bits, and the second prefix.
 
-    ``moved`` has the prefix with the common shingles last, for sets whose first prefix holds some.
-    """
+def moved_prefixes(texts: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
+    """Columns cid, n, prefix of ``texts`` (cid, text), with the common shingles last, stored."""
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch, texts in slices(batches):
-            sizes, arrays, moved, bits = [], [], [], []
-            for text in texts:
-                s = shingle_set(text, known, words)
+        for batch, raw in slices(batches):
+            sizes, prefixes = [], []
+            for text in raw:
+                s = shingle_set(text, known, words).view(np.int64)
+                last = np.isin(s, common)
                 sizes.append(len(s))
-                arrays.append(s.view(np.int64))
-                p = len(s) - least_overlap(len(s), percent) + 2
-                signed = s.view(np.int64)
-                is_common = np.isin(signed, common) if len(common) else np.zeros(len(s), bool)
-                moved.append(np.concatenate([signed[~is_common], signed[is_common]])[:p]
-                             if is_common[:p].any() else signed[:0])
-                m = 64 * parity_words(len(s))
-                flips = np.bincount((s >> np.uint64(20)).astype(np.int64) & (m - 1), minlength=m) & 1
-                bits.append(np.packbits(flips.astype(np.uint8)).view("<i8"))
-            yield pa.record_batch([
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(arrays, pa.list_(pa.int64())),
-                pa.array(moved, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                names=["cid", "n", "shingles", "moved", "parity"])
+                prefixes.append(np.concatenate([s[~last], s[last]])[:len(s) - least_overlap(len(s), percent) + 2])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()),
+                                   pa.array(prefixes, pa.list_(pa.int64()))], names=["cid", "n", "prefix"])
+
+    return stage(texts.mapInArrow(load, "cid long, n long, prefix array<long>").dropDuplicates(["cid"]), "moved")
+
+
+def full_sets(texts: DataFrame, words: int) -> DataFrame:
+    """Columns cid, shingles of ``texts`` (cid, text), stored."""
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch, raw in slices(batches):
+            arrays = [shingle_set(text, known, words).view(np.int64) for text in raw]
+            yield pa.record_batch([batch.column(0), pa.array(arrays, pa.list_(pa.int64()))], names=["cid", "shingles"])
 
-    chosen = docs.join(wanted, ["id", "th"]).select("cid", "text").mapInArrow(
-        load, "cid long, n long, shingles array<long>, moved array<long>, parity array<long>")
-    return stage(chosen, "full-sets")
+    return stage(texts.mapInArrow(load, "cid long, shingles array<long>"), "full-sets")
 
 
 def sizes_allow(a: Column, b: Column, percent: int) -> Column:
@@ -230,20 +245,26 @@ def close_enough(a: Column, b: Column, n: Column, percent: int) -> Column:
     return differ * (100 + percent) <= n * (100 - percent)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those that link, stored."""
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("cid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those that link, stored. Only sets that the parities leave are loaded whole."""
+    def side(frame: DataFrame, name: str, *columns: str) -> DataFrame:
+        return frame.select(F.col("cid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    near = pairs.join(side("a", "n", "parity"), "a").join(side("b", "n", "parity"), "b").filter(close_enough(
-        F.col("a_parity"), F.col("b_parity"), F.col("a_n") + F.col("b_n"), percent))
-    near = stage(near.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n")), "near-pairs")
+    total = F.col("a_n") + F.col("b_n")
+    near = pairs.join(side(sets, "a", "n", "parity"), "a").join(side(sets, "b", "n", "parity"), "b").filter(
+        close_enough(F.col("a_parity"), F.col("b_parity"), total, percent))
+    near = stage(near.select("a", "b", total.alias("n")), "near-pairs")
+    if not near.limit(1).count():
+        return near.select("a", "b")
+    wanted = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
+    full = full_sets(chosen_texts(docs, sets.join(wanted, "cid", "left_semi").select("lead.*", "cid")), words)
     shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    return stage(near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").filter(
-        shared * 100 >= (F.col("n") - shared) * percent).select("a", "b"), "verified")
+    return stage(near.join(side(full, "a", "shingles"), "a").join(side(full, "b", "shingles"), "b").filter(
+        shared * 100 >= (F.col("n") - shared) * percent).select("a", "b").distinct(), "verified")
 
 
-def link_components(entries: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
+def link_components(entries: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int,
+                    rounds: int = ROUNDS) -> DataFrame:
     """Columns node, comp over all links between sets that share a bucket."""
     entries = entries.select("cid", "n", "bucket")
     links = None
@@ -262,7 +283,7 @@ def link_components(entries: DataFrame, sets: DataFrame, percent: int, rounds: i
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         done = pairs if done is None else done.unionByName(pairs)
-        found = verified(pairs, sets, percent)
+        found = verified(pairs, sets, docs, words, percent)
         links = found if links is None else links.unionByName(found)
         if found.limit(1).count():
             work = relabelled(work, links)
@@ -273,7 +294,7 @@ def link_components(entries: DataFrame, sets: DataFrame, percent: int, rounds: i
                       & close_enough(F.col("parity"), F.col("parity_"), F.col("n") + F.col("n_"), percent))
     pairs = stage(pairs.select(F.col("cid").alias("a"), F.col("cid_").alias("b")).distinct()
                   .join(done, ["a", "b"], "left_anti"), "pairs")
-    return components(links.unionByName(verified(pairs, sets, percent)))
+    return components(links.unionByName(verified(pairs, sets, docs, words, percent)))
 
 
 def relabelled(work: DataFrame, links: DataFrame) -> DataFrame:
@@ -299,23 +320,19 @@ def shingle_components(docs: DataFrame, words: int = 4, percent: int = 85, commo
     found = prefix_sets(docs, words, percent)
     sets = stage(found.filter("n > 0").groupBy("cid").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("id", "th")).alias("lead"), F.first("n").alias("n"),
-        F.first("prefix").alias("prefix")), "sets")
+        F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "sets")
     x = light_boundary(sets, percent) if boundary is None else boundary
     first = stage(buckets(sets, x, percent), "buckets")
     frequent, power = common_shingles(first, common)
-    texts = keyed(docs)
-    repeated = found.groupBy("id", "th").agg(F.count("*").alias("c")).filter("c > 1")
-    if repeated.limit(1).count():  # rows equal in doc_id and text are read once
-        texts = texts.dropDuplicates(["id", "th"])
-    wanted = sets.join(first.select("cid").distinct(), "cid", "left_semi").select("lead.*", "cid")
-    full = full_sets(texts, wanted, frequent, words, percent)
     entries = first.withColumn("bucket", F.xxhash64("key", "subset"))
     if len(frequent):
-        usual = entries.filter(F.col("subset") | (F.col("members") <= common) | (power_of("members") < power))
-        moved = full.filter(F.size("moved") > 0).select("cid", "n", F.col("moved").alias("prefix"))
-        entries = usual.unionByName(buckets(moved, x, percent).withColumn(
+        is_common = ~F.col("subset") & (F.col("members") > common) & (power_of("members") >= power)
+        hit = first.filter(is_common).select("cid").distinct()
+        texts = chosen_texts(docs, sets.join(hit, "cid", "left_semi").select("lead.*", "cid"))
+        moved = moved_prefixes(texts, frequent, words, percent)
+        entries = entries.filter(~is_common).unionByName(buckets(moved, x, percent).withColumn(
             "bucket", F.xxhash64("key", "subset", F.lit("moved"))))
-    comps = link_components(entries, full, percent)
+    comps = link_components(entries, sets, docs, words, percent)
     grouped = sets.select("cid", "least").join(comps, sets["cid"] == comps["node"], "left").withColumn(
         "comp", F.coalesce("comp", "cid")).drop("node")
     least = grouped.groupBy("comp").agg(F.min("least").alias("component_id"))
