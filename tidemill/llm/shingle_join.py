@@ -49,7 +49,7 @@ COMMON_MOST = 1 << 18
 #: Up to so many sets (three numbers each) are broadcast to fetch their texts; more are joined by shuffling.
 BROADCAST_SETS = 200_000
 #: Rounds in which each bucket is compared with one central member.
-ROUNDS = 2
+ROUNDS = 4
 
 
 def shingle_set(text: bytes, known: WordHashes, words: int) -> np.ndarray:
@@ -86,8 +86,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def parity_words(n: int) -> int:
-    """Words of 64 bits for the parity of a set: about a bit per shingle, a power of two."""
-    return 4 << max(0, (n - 1) // 256).bit_length()
+    """Words of 64 bits for the parity of a set: four to eight bits per shingle, a power of two."""
+    return 16 << max(0, (n - 1) // 256).bit_length()
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
@@ -268,13 +268,12 @@ def link_components(entries: DataFrame, sets: DataFrame, docs: DataFrame, words:
     """Columns node, comp over all links between sets that share a bucket."""
     entries = entries.select("cid", "n", "bucket")
     links = None
-    # the more of a set's buckets are well filled, the more central it is among its near copies
-    central = entries.groupBy("cid").agg(F.count("*").alias("weight"))
+    # the larger the share of its shingles that others have, too, the more central a set is among its near copies
+    central = entries.groupBy("cid").agg((F.count("*") / F.first("n")).alias("weight"))
     work = stage(entries.join(central, "cid").withColumn("comp", F.col("cid")), "entries")
     done = None
     for round_ in range(rounds):
-        rank = F.struct("weight", F.xxhash64("cid", F.lit(round_))) if not round_ else F.struct(
-            F.xxhash64("comp", F.lit(round_)), F.col("weight"))
+        rank = F.struct(F.lit(0.0) if round_ else F.col("weight"), F.xxhash64("cid", F.lit(round_)))
         heads = work.groupBy("bucket").agg(F.max_by(F.struct("cid", "n", "comp"), rank).alias("head"))
         pairs = (work.join(heads, "bucket").filter(F.col("comp") != F.col("head.comp"))
                  .filter(sizes_allow(F.col("n"), F.col("head.n"), percent))
@@ -283,6 +282,8 @@ def link_components(entries: DataFrame, sets: DataFrame, docs: DataFrame, words:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         done = pairs if done is None else done.unionByName(pairs)
+        if round_ and not pairs.limit(1).count():
+            break
         found = verified(pairs, sets, docs, words, percent)
         links = found if links is None else links.unionByName(found)
         if found.limit(1).count():
