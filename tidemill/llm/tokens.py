@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from tidemill.llm.rows import KNOWN_WORD_BYTES, KNOWN_WORDS
+from tidemill.llm.rows import KNOWN_WORD_BYTES
+
+#: Words in each half of a worker's word table (some 200 bytes each).
+TABLE_WORDS = 600_000
 
 #: Normalizers and pre-tokenizers that work on each white-space free piece alone.
 WORD_WISE = {"NFC", "NFD", "NFKC", "NFKD", "Replace", "Lowercase", "Split", "ByteLevel"}
@@ -44,20 +48,27 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.dtype = np.dtype("<u2") if check_word_wise(path) <= 1 << 16 else np.dtype("<u4")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        # words met lately, and those met before them: what is met again moves on
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
         met = set().union(*words) if words else set()
-        missing = met.difference(self.known)
-        if len(self.known) + len(missing) > KNOWN_WORDS:
-            self.known.clear()
-            missing = met
-        new = list(missing)
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        table = self.known
+        if len(self.young) + len(met) > TABLE_WORDS:
+            self.old, self.young = self.young, {}
+        table, old = self.young, self.old
+        new = []
+        for word in met.difference(table):
+            ids = old.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                table[word] = ids
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        code = self.dtype.char
         for word, encoding in zip(new, found):
-            table[word] = np.array(encoding.ids, self.dtype).tobytes()
+            table[word] = array(code, encoding.ids).tobytes()
         out = [b"".join(map(table.__getitem__, w)) for w in words]
         for word in new:
             if len(word) > KNOWN_WORD_BYTES:
