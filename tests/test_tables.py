@@ -384,3 +384,15 @@ def test_vocabulary_paths_agree(spark):
 def test_flatten_keeps_whole_paths(spark):
     df = spark.sql("select 1 a, named_struct('b', 2, 'c', named_struct('b', 3)) s")
     assert catalog.flatten_struct(df).columns == ["a", "s.b", "s.c.b"]
+
+
+def test_insert_if_absent_inserts_a_new_key_once(spark):
+    have = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "x"), (2, "c"), (2, "b"), (3, None)], "k int, v string")
+    got = catalog.insert_if_absent(have, new, "k").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "a"), (2, "b"), (3, None)]
+
+
+def test_latest_keeps_rows_without_sequence_numbers(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (2, 5, "c"), (2, 4, "d")], "k int, seq int, v string")
+    assert sorted(map(tuple, catalog.latest(rows, ["k"], "seq").collect())) == [(1, None, "a"), (2, 5, "c")]

@@ -37,10 +37,15 @@ def catalog_remove(df: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
     return df.join(keys.select(id_col), id_col, "left_anti")
 
 
+def age(seq_col: str) -> Column:
+    """Order of changes that has a place for a null sequence number."""
+    return F.struct(F.col(seq_col).isNotNull(), F.col(seq_col))
+
+
 def latest(df: DataFrame, key: Sequence[str], seq_col: str) -> DataFrame:
-    """Newest row per key."""
+    """Newest row per key; rows without a sequence number are older than all others."""
     rest = [c for c in df.columns if c not in key]
-    newest = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(seq_col)).alias("__row"))
+    newest = df.groupBy(*key).agg(F.max_by(F.struct(*rest), age(seq_col)).alias("__row"))
     return newest.select(*key, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
@@ -52,7 +57,7 @@ def catalog_upsert(df: DataFrame, changes: DataFrame, id_col: str, seq_col: str)
 
 def kv_latest(changes: DataFrame, key: str = "key", value: str = "value", seq_col: str = "seq") -> DataFrame:
     """Current key-value index from a change log; a null value removes the key."""
-    newest = changes.groupBy(key).agg(F.max_by(F.struct(value), F.col(seq_col)).alias("__v"))
+    newest = changes.groupBy(key).agg(F.max_by(F.struct(value), age(seq_col)).alias("__v"))
     return newest.select(key, F.col(f"__v.{value}").alias(value)).where(F.col(value).isNotNull())
 
 
@@ -193,7 +198,11 @@ def cascade_delete(
 
 
 def insert_if_absent(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    return df.unionByName(rows.join(df.select(key), key, "left_anti"))
+    """``df`` with the rows whose key is new; of several with one new key the first by their JSON text."""
+    rest = [c for c in rows.columns if c != key]
+    whole = F.struct(*rest)
+    once = rows.groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias("__row")).select(key, "__row.*")
+    return df.unionByName(once.join(df.select(key), key, "left_anti"))
 
 
 def stop_jobs(
