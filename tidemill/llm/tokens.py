@@ -13,32 +13,44 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from tidemill.llm.rows import KNOWN_WORD_BYTES
 
 #: Words in each half of a worker's word table (some 200 bytes each).
 TABLE_WORDS = 600_000
 
+#: New words given to the tokenizer as one text, one word a line.
+WORDS_PER_TEXT = 20
+
 #: Normalizers and pre-tokenizers that work on each white-space free piece alone.
 WORD_WISE = {"NFC", "NFD", "NFKC", "NFKD", "Replace", "Lowercase", "Split", "ByteLevel"}
 
 
-def check_word_wise(path: str) -> int:
-    """Number of ids of the tokenizer; raises if its ids could depend on more than one word."""
+def check_word_wise(path: str) -> tuple[int, bool]:
+    """Number of ids of the tokenizer, and whether it lower-cases.
+
+    Raises if its ids could depend on more than one word.
+    """
     with open(path, encoding="utf-8") as file:
         parts = json.load(file)
     steps = []
     for kind, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")):
         part = parts.get(kind) or {}
         steps += part.get(inner, [part] if part else [])
+    # lower-casing first changes nothing if no step before it tells cases apart
+    kinds = [s["type"] for s in steps]
+    before = steps[:kinds.index("Lowercase")] if "Lowercase" in kinds else None
+    lowers = before is not None and all(
+        s["type"] in ("NFC", "NFD", "NFKC", "NFKD")
+        or s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} for s in before)
     drops = any(s["type"] == "Split" and s.get("behavior") == "Removed" and s.get("invert")
                 and r"[^\s" in s["pattern"].get("Regex", "") for s in steps)
     if not drops or any(s["type"] not in WORD_WISE for s in steps) or any(
             s.get("add_prefix_space") or s.get("use_regex") for s in steps if s["type"] == "ByteLevel"):
         raise ValueError(f"{path}: this tokenizer does not work word by word")
     ids = list(parts["model"]["vocab"].values()) + [t["id"] for t in parts.get("added_tokens", [])]
-    return max(ids) + 1
+    return max(ids) + 1, lowers
 
 
 class Encoder:
@@ -46,14 +58,43 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.dtype = np.dtype("<u2") if check_word_wise(path) <= 1 << 16 else np.dtype("<u4")
+        size, self.lowers = check_word_wise(path)
+        self.dtype = np.dtype("<u2") if size < 1 << 16 else np.dtype("<u4")
         self.tokenizer = Tokenizer.from_file(path)
+        # their names are looked for in the text as it is
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # no word holds a line end, so as a token of its own it keeps the words of one text apart
+        self.tokenizer.add_special_tokens([AddedToken("\n", normalized=False, special=True)])
+        self.line_end = self.tokenizer.token_to_id("\n")
         # words met lately, and those met before them: what is met again moves on
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def new_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are in no table."""
+        texts = ["\n".join(w.decode("utf-8", "replace") for w in words[i:i + WORDS_PER_TEXT])
+                 for i in range(0, len(words), WORDS_PER_TEXT)]
+        out, width = [], self.dtype.itemsize
+        for start in range(0, len(texts), 64):
+            for found in self.tokenizer.encode_batch_fast(texts[start:start + 64], add_special_tokens=False):
+                ids = found.ids
+                flat, at = array(self.dtype.char, ids).tobytes(), 0
+                for _ in range(ids.count(self.line_end)):
+                    end = ids.index(self.line_end, at)
+                    out.append(flat[at * width:end * width])
+                    at = end + 1
+                out.append(flat[at * width:])
+        return out
+
+    def words(self, text: bytes) -> list[bytes]:
+        if self.lowers:
+            lower = text.lower()
+            if not any(name in lower for name in self.special):
+                return lower.split()
+        return text.split()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        words = [self.words(t) for t in texts]
         met = set().union(*words) if words else set()
         if len(self.young) + len(met) > TABLE_WORDS:
             self.old, self.young = self.young, {}
@@ -65,10 +106,7 @@ class Encoder:
                 new.append(word)
             else:
                 table[word] = ids
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        code = self.dtype.char
-        for word, encoding in zip(new, found):
-            table[word] = array(code, encoding.ids).tobytes()
+        table.update(zip(new, self.new_words(new), strict=True))
         out = [b"".join(map(table.__getitem__, w)) for w in words]
         for word in new:
             if len(word) > KNOWN_WORD_BYTES:
