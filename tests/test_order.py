@@ -68,10 +68,50 @@ def test_split_moves_no_rows(spark):
 @given(st.sets(st.integers(-(2**40), 2**40), max_size=40), st.integers(0, 45), st.integers(0, 20))
 def test_limit_takes_the_first_ids(spark, values, n, shift):
     df, ordering = ids(spark, values), by_id("id", (shift, shift + 3))
-    merged = limit_examples(df, n, ordering).collect()
-    filtered = take_first(df, ordering, F.lit(n)).collect()
-    assert sorted(r["id"] for r in merged) == sorted(values)[:n]
-    assert sorted(r["id"] for r in filtered) == sorted(values)[:n]
+    assert sorted(r["id"] for r in limit_examples(df, n, ordering).collect()) == sorted(values)[:n]
+
+
+def nulls_first(values):
+    return sorted(values, key=lambda v: (v is not None, v or 0))
+
+
+@SLOW
+@given(st.lists(st.one_of(st.none(), st.integers(-9, 9), st.just(-(2**63))), max_size=40),
+       st.integers(0, 45), st.integers(0, 4))
+def test_limit_is_exact_with_nulls_and_ties(spark, values, n, shift):
+    rows = limit_examples(ids(spark, values), n, by_id("id", (shift, shift + 3)), repeated=True).collect()
+    assert nulls_first(r["id"] for r in rows) == nulls_first(values)[:n]
+
+
+@pytest.mark.parametrize("n", [9_999, 10_000, 10_001, 12_000, 12_001])
+def test_limit_has_no_switch(spark, n):
+    rows = spark.range(30_000).select(
+        F.when(F.col("id") >= 12_000, F.col("id")).alias("id"), F.col("id").alias("other"))
+    kept = limit_examples(rows, n, by_id("id"), repeated=True)
+    assert (kept.count(), kept.where("id is null").count()) == (n, min(n, 12_000))
+
+
+def test_limit_of_equal_keys_has_to_be_said(spark):
+    twice = spark.range(20).select((F.col("id") % 10).alias("id"))
+    assert take_first(twice, by_id("id"), F.lit(4)).count() == 4
+    with pytest.raises(Exception, match="repeated=True"):
+        take_first(twice, by_id("id"), F.lit(5)).collect()
+
+
+def test_limit_merges_no_rows_in_one_task(spark):
+    plan = limit_examples(spark.range(1000), 10, by_id("id"))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan and "GlobalLimit" not in plan
+
+
+def test_split_of_equal_rows_is_exact(spark):
+    rows = spark.range(12).select((F.col("id") % 2).alias("k"), F.lit("x").alias("t"))
+    got = train_test_split(rows, ["k"], 0.3, repeated=True)
+    assert got.count() == 12 and got.where("split = 'test'").count() == 4
+
+
+def test_rank_with_a_null_id(spark):
+    rows = dense_rank(ids(spark, [None, 5, 9]), by_id("id")).collect()
+    assert {r["id"]: r["rank"] for r in rows} == {None: 0, 5: 1, 9: 2}
 
 
 def test_no_limit_keeps_all(spark):

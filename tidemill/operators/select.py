@@ -7,38 +7,29 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.plans.order import Count, Ordering, first_n
+from tidemill.plans.order import Count, Ordering, mark_first
 
 # What the service accepts.
 SUPPORTED_MODELS = ("llama3_2-1b", "llama3_1-8b", "llama3_1-70b", "llama3_1-405b")
 ACCELERATOR_TYPES = ("v3", "v5e", "v5p")
 CORE_STEP, MIN_CORES, MAX_CORES = 8, 8, 1024
 
-MERGED_LIMIT = 10_000
 ENCODED = ("input_ids", "labels", "prompt_length", "response_length")
 
 
-def take_first(df: DataFrame, ordering: Ordering, n: Count) -> DataFrame:
+def take_first(df: DataFrame, ordering: Ordering, n: Count, repeated: bool = False) -> DataFrame:
     """The first ``n`` rows under an ordering, by a filter on the key of the n-th row."""
-    prepared = ordering.prepare(df)
-    return prepared.where(first_n(df, ordering, n)).drop(*ordering.temporary)
+    return mark_first(df, ordering, n, "__first", repeated).where("__first").drop("__first")
 
 
-def limit_examples(df: DataFrame, n: int | None, ordering: Ordering) -> DataFrame:
-    """At most ``n`` rows, the first ones under the ordering; all of them for None.
-
-    A few rows are kept sorted in each task and merged, in one pass. More rows than that
-    are not sorted but filtered by the key of the n-th one.
-    """
-    if n is None:
-        return df
-    if n <= MERGED_LIMIT:
-        return ordering.prepare(df).orderBy(*ordering.columns).limit(n).drop(*ordering.temporary)
-    return take_first(df, ordering, F.lit(n).cast("bigint"))
+def limit_examples(df: DataFrame, n: int | None, ordering: Ordering, repeated: bool = False) -> DataFrame:
+    """At most ``n`` rows, the first ones under the ordering; all of them for None."""
+    return df if n is None else take_first(df, ordering, F.lit(n).cast("bigint"), repeated)
 
 
 def trim_to_global_batch(
-    df: DataFrame, batch: int, devices: int, ordering: Ordering, max_examples: int | None = None
+    df: DataFrame, batch: int, devices: int, ordering: Ordering, max_examples: int | None = None,
+    repeated: bool = False,
 ) -> DataFrame:
     """As many leading rows as fill whole batches on all devices."""
     unit = batch * devices
@@ -47,7 +38,7 @@ def trim_to_global_batch(
         usable = rows if max_examples is None else F.least(rows, F.lit(max_examples).cast("bigint"))
         return F.floor(usable / unit) * unit
 
-    return take_first(df, ordering, whole_batches)
+    return take_first(df, ordering, whole_batches, repeated)
 
 
 def map_fields(

@@ -7,24 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.plans.order import Ordering, by_hash, dense_rank, first_n
+from tidemill.plans.order import Ordering, by_hash, dense_rank, mark_first
 
 
 def train_test_split(
-    df: DataFrame, key: Sequence[str], fraction: float = 0.15, seed: int = 42
+    df: DataFrame, key: Sequence[str], fraction: float = 0.15, seed: int = 42,
+    repeated: bool = False,
 ) -> DataFrame:
     """Adds ``split``: exactly ``ceil(fraction * n)`` test rows, the rest train.
 
-    Membership depends on the key and the seed only. The rows are not moved: the split
+    Membership depends on the key and the seed only. Where keys repeat, say ``repeated``. The rows are not moved: the split
     point is found on the keys, and the label is a map-side comparison with it.
     """
-    ordering = by_hash(key, seed)
-    is_test = first_n(df, ordering, lambda rows: F.ceil(F.lit(float(fraction)) * rows))
-    return (
-        ordering.prepare(df)
-        .withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
-        .drop(*ordering.temporary)
-    )
+    marked = mark_first(
+        df, by_hash(key, seed), lambda rows: F.ceil(F.lit(float(fraction)) * rows), "__test", repeated)
+    return marked.withColumn(
+        "split", F.when(F.col("__test"), F.lit("test")).otherwise(F.lit("train"))).drop("__test")
 
 
 def shuffle_order(

@@ -27,13 +27,20 @@ from pyspark.sql.types import DataType, DateType, StringType
 Levels = Sequence[dict[str, Column]]
 
 
+def nulls_lowest(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("bigint"), F.lit(-2**63))
+
+
 def by_shift(order: str, *shifts: int) -> list[dict[str, Column]]:
-    """Segment levels for one integer order column: ``order >> shift``, finest first."""
+    """Segment levels for one integer order column: ``order >> shift``, finest first.
+
+    Nulls come first in an order, so they share the segment of the lowest integer.
+    """
     levels: list[dict[str, Column]] = []
     source, taken = order, 0
     for shift in shifts:
         name = f"__seg{shift}"
-        levels.append({name: F.shiftright(F.col(source).cast("bigint"), shift - taken)})
+        levels.append({name: F.shiftright(nulls_lowest(source), shift - taken)})
         source, taken = name, shift
     return levels
 

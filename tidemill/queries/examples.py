@@ -147,11 +147,22 @@ def limit_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 12000")
 def limit_examples_large(spark: SparkSession, sf: str) -> DataFrame:
-    """A limit beyond what one task should merge."""
+    """A limit beyond what one task could merge."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return select.limit_examples(orders, 12_000, by_id("o_orderkey"))
 
 
+@query("""SELECT key, count(*) AS n FROM (
+  SELECT CASE WHEN l_linenumber > 2 THEN l_suppkey END AS key FROM lineitem ORDER BY key NULLS FIRST
+  LIMIT (SELECT count(*) * 2 // 3 FROM lineitem)) GROUP BY key""")
+def limit_examples_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """A limit over keys that repeat and are null in many rows."""
+    lines = table(spark, sf, "lineitem").select(
+        F.when(F.col("l_linenumber") > 2, F.col("l_suppkey")).alias("key"))
+    kept = select.take_first(lines, by_id("key"), lambda rows: F.floor(rows * 2 / 3), repeated=True)
+    return kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 QUALIFY row_number() OVER (ORDER BY o_orderkey) <= (count(*) OVER () // (32 * 7)) * (32 * 7)""")
 def trim_to_global_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,6 +204,27 @@ def train_test_split(spark: SparkSession, sf: str) -> DataFrame:
         pairs(spark, sf), ["example_id"], TEST_FRACTION, SEED).select("example_id", "split")
 
 
+@query(f"""SELECT l_suppkey, split, count(*) AS n FROM (
+  SELECT l_suppkey, CASE WHEN row_number() OVER (ORDER BY md5(concat('{SEED}:', l_suppkey)), l_suppkey)
+    <= ceil(0.3 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM lineitem)
+GROUP BY l_suppkey, split""")
+def split_repeated_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The split is exact where rows are equal, too."""
+    rows = split.train_test_split(
+        table(spark, sf, "lineitem").select("l_suppkey"), ["l_suppkey"], 0.3, SEED, repeated=True)
+    return rows.groupBy("l_suppkey", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT key, o_totalprice, row_number() OVER (ORDER BY key NULLS FIRST) - 1 AS rank
+FROM (SELECT nullif(o_orderkey, (SELECT max(o_orderkey) FROM orders)) AS key, o_totalprice FROM orders)""")
+def dense_rank_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """A row without an id comes first."""
+    orders = table(spark, sf, "orders")
+    last = orders.agg(F.max("o_orderkey")).scalar()
+    return dense_rank(orders.select(
+        F.nullif(F.col("o_orderkey"), last).alias("key"), "o_totalprice"), by_id("key"))
+
+
 @query(f"""SELECT doc_id, lang, row_number() OVER (
   ORDER BY md5(concat('{SEED}:', doc_id)), doc_id) - 1 AS rank FROM documents""")
 def dense_rank_scaled(spark: SparkSession, sf: str) -> DataFrame:
