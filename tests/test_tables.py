@@ -396,3 +396,24 @@ def test_insert_if_absent_inserts_a_new_key_once(spark):
 def test_latest_keeps_rows_without_sequence_numbers(spark):
     rows = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (2, 5, "c"), (2, 4, "d")], "k int, seq int, v string")
     assert sorted(map(tuple, catalog.latest(rows, ["k"], "seq").collect())) == [(1, None, "a"), (2, 5, "c")]
+
+
+@pytest.mark.parametrize("start, expected", [(1, "é日x"), (2, "日x"), (3, "日x"), (4, "x"), (5, "x"), (6, "x")])
+def test_a_position_within_a_character(spark, start, expected):
+    df = spark.createDataFrame([("f", 0, "aé日x")], "file string, line_no int, value string")
+    assert rows(logs.log_from_offset(df, start), "value") == [(expected,)]
+
+
+def test_binary_chunks_stay_binary(spark):
+    df = spark.createDataFrame(
+        [("a", 2, 1, b"\xff\x00"), ("a", 2, 0, b"\x80a")],
+        "upload_id string, total_chunks int, chunk_number int, content binary")
+    got = files.reassemble_chunks(df).first()
+    assert (bytes(got["content"]), got["file_bytes"]) == (b"\x80a\xff\x00", 4)
+
+
+def test_values_below_a_cent_count(spark):
+    df = spark.sql("SELECT 'a' AS user_id, 'e' AS event_type, timestamp'2024-01-01' AS ts, 0.004D AS value"
+                   " FROM range(2)")
+    assert events.sliding_avg(df, 1, 60).first()["avg_value"] == 0.004
+    assert events.session_events(df, 60).first()["total_value"] == 0.008

@@ -170,3 +170,18 @@ def test_trained_tokenizer_matches_the_library(spark):
     tokenizer = tk.TrainedTokenizer(trained.to_str(), pad_id=0, eos_id=2)
     closed = rows.select(tokenizer.encode(F.col("text"), 8).alias("ids")).collect()
     assert all(len(r["ids"]) <= 8 and r["ids"][0] == 1 and r["ids"][-1] == 2 for r in closed)
+
+
+def test_no_limit_cuts_and_pads_nothing(spark):
+    rows = spark.createDataFrame([("a", "x" * 5000, "y" * 3000)], "k string, instruction string, output string")
+    got = prepare.prepare(rows, PrepConfig(max_seq_length=None), TOKENIZER, ["k"]).first()
+    assert got["n_tokens"] == len(got["input_ids"]) == got["prompt_length"] + 3001
+    assert (got["response_length"], got["input_ids"][-1]) == (3000, TOKENIZER.eos_id)
+
+
+@pytest.mark.parametrize("build", [
+    tp.format_instruction, tp.format_question, lambda a, b: tp.format_optional_input(a, F.lit(""), b)])
+def test_a_missing_answer_fails(spark, build):
+    rows = spark.createDataFrame([("ask", None)], "a string, b string")
+    with pytest.raises(Exception, match="is null"):
+        rows.select(*build(F.col("a"), F.col("b"))).collect()

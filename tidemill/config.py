@@ -16,7 +16,7 @@ class PrepConfig:
     test_fraction: float = 0.15
     seed: int = 42
     batch_size: int = 32
-    max_seq_length: int = 64
+    max_seq_length: int | None = 64  # None neither cuts nor pads
     ignore_index: int = -100
     mask_prompt: bool = False
     pad_id: int = 0
@@ -26,7 +26,7 @@ class PrepConfig:
     transform: Callable[[DataFrame], DataFrame] | None = None
 
     def __post_init__(self) -> None:
-        if self.max_seq_length <= 0:
+        if self.max_seq_length is not None and self.max_seq_length <= 0:
             raise ValueError("max_seq_length has to be positive")
         if self.batch_size <= 0:
             raise ValueError("batch_size has to be positive")

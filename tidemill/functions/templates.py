@@ -51,11 +51,11 @@ def fill(template: str, **fields: Column) -> Column:
 
 
 def format_instruction(instruction: Column, output: Column) -> Pair:
-    return fill(INSTRUCTION_PROMPT, instruction=instruction), output
+    return fill(INSTRUCTION_PROMPT, instruction=instruction), required(output, "output")
 
 
 def format_question(question: Column, answer: Column) -> Pair:
-    return fill(QUESTION_PROMPT, question=question), answer
+    return fill(QUESTION_PROMPT, question=question), required(answer, "answer")
 
 
 def context_template(style: str = "plain") -> str:
@@ -76,7 +76,7 @@ def format_optional_input(instruction: Column, context: Column, output: Column)
     line = F.when(F.length(context) > 0, fill("Input: {input}\n", input=context)).otherwise("")
     prompt = F.concat(fill("Instruction: {instruction}\n", instruction=instruction), line,
                       F.lit("Output: "))
-    return prompt, output
+    return prompt, required(output, "output")
 
 
 _TEMPLATES: dict[str, Callable[..., Pair]] = {

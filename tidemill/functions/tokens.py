@@ -15,6 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+UNCUT = 2**31 - 2  # more than an array can hold
+
+
 class Tokenizer(Protocol):
     eos_id: int
     pad_id: int

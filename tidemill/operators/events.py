@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import micros
 
-CENTS = "decimal(38,2)"
 
 
 def parse_events(
@@ -40,13 +39,13 @@ def sliding_avg(
 ) -> DataFrame:
     """Averages over windows of ``slides`` slides, one starting with every slide.
 
-    Rows are summed up per slide first; only those sums are copied into the windows that
+    Values are summed up in their own type, exactly for decimals. Rows are summed up per slide first; only those sums are copied into the windows that
     overlap them, not the rows.
     """
     step = slide_seconds * 1_000_000
     slot = F.floor(micros(F.col(ts)) / step)
     per_slot = df.groupBy(event, slot.alias("__slot")).agg(
-        F.count(value).alias("__n"), F.sum(F.col(value).cast(CENTS)).alias("__s"))
+        F.count(value).alias("__n"), F.sum(value).alias("__s"))
     spread = per_slot.withColumn("__first", F.explode(F.sequence(
         F.col("__slot") - (slides - 1), F.col("__slot"))))
     return spread.groupBy(event, "__first").agg(
@@ -66,7 +65,7 @@ def session_events(
     """
     gap = gap_seconds * 1_000_000
     at = micros(F.col(ts))
-    slots = df.select(user, at.alias("__at"), F.col(value).cast(CENTS).alias("__v")).groupBy(
+    slots = df.select(user, at.alias("__at"), F.col(value).alias("__v")).groupBy(
         user, F.floor(F.col("__at") / gap).alias("__slot")
     ).agg(F.min("__at").alias("__lo"), F.max("__at").alias("__hi"),
           F.count(F.lit(1)).alias("__n"), F.sum("__v").alias("__s"))
@@ -79,7 +78,7 @@ def session_events(
         F.timestamp_micros(F.min("__lo")).alias("session_start"),
         F.timestamp_micros(F.max("__hi")).alias("last_event"),
         F.sum("__n").alias("n_events"),
-        F.sum("__s").cast(CENTS).alias("total_value"))
+        F.sum("__s").alias("total_value"))
 
 
 def failure_breakdown(

@@ -18,8 +18,8 @@ from tidemill.plans.order import Ordering
 def encode_examples(
     df: DataFrame, prompt: Column, response: Column, config: PrepConfig, tokenizer: tk.Tokenizer
 ) -> DataFrame:
-    """Token ids, labels and lengths; ragged, and cut to the longest allowed sequence."""
-    limit = config.max_seq_length
+    """Token ids, labels and lengths; ragged, and cut to the longest allowed sequence, if any."""
+    limit = tk.UNCUT if config.max_seq_length is None else config.max_seq_length
     encoded = df.withColumns({
         "__p": tokenizer.encode(prompt, limit, True),
         "__r": tokenizer.encode(response, limit, False),
@@ -37,9 +37,14 @@ def encode_examples(
 
 
 def pad_examples(df: DataFrame, config: PrepConfig) -> DataFrame:
-    return df.withColumns({
+    """Counts of tokens; ids and labels padded to the limit, or left ragged without one."""
+    counted = df.withColumns({
         "n_tokens": F.size("input_ids"),
         "n_supervised": F.size(F.array_remove("labels", config.ignore_index)),
+    })
+    if config.max_seq_length is None:
+        return counted
+    return counted.withColumns({
         "input_ids": tk.pad_to_length(F.col("input_ids"), config.max_seq_length, config.pad_id),
         "labels": tk.pad_to_length(F.col("labels"), config.max_seq_length, config.ignore_index),
     })
@@ -49,7 +54,7 @@ def prepare(
     df: DataFrame, config: PrepConfig, tokenizer: tk.Tokenizer, key: Sequence[str],
     ordering: Ordering | None = None,
 ) -> DataFrame:
-    """Limit, split, format, encode, label and pad in one plan.
+    """Limit, split, format, encode, label and pad in one plan; ragged without ``max_seq_length``.
 
     The limit and the split work on the key columns only; formatting and encoding are
     one projection over the example rows, which are never shuffled here.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import billing, events
@@ -37,13 +37,19 @@ def tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select(stamp("window_start"), stamp("window_end"), "event_type", "n")
 
 
+def cents(column: str) -> Column:
+    """The tables' values are whole cents; decimals add up the same way in any order."""
+    return F.col(column).cast("decimal(38,2)")
+
+
 @query("""WITH s AS (SELECT event_type, value, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS slot FROM events),
 w AS (SELECT event_type, value, slot - r.range AS first_slot FROM s, range(4) r)
 SELECT strftime(make_timestamp(first_slot * 21600 * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
   count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6) AS avg_value
 FROM w GROUP BY first_slot, event_type""")
 def sliding_avg(spark: SparkSession, sf: str) -> DataFrame:
-    averages = events.sliding_avg(table(spark, sf, "events"), slides=4, slide_seconds=6 * 3600)
+    averages = events.sliding_avg(
+        table(spark, sf, "events").withColumn("value", cents("value")), slides=4, slide_seconds=6 * 3600)
     return averages.select(stamp("window_start"), "event_type", "n", F.round("avg_value", 6).alias("avg_value"))
 
 
@@ -54,7 +60,8 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
   strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_event, count(*) AS n_events,
   CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value FROM s GROUP BY user_id, no""")
 def session_events(spark: SparkSession, sf: str) -> DataFrame:
-    sessions = events.session_events(table(spark, sf, "events"), 6 * 3600)
+    sessions = events.session_events(
+        table(spark, sf, "events").withColumn("value", cents("value")), 6 * 3600)
     return sessions.select(
         "user_id", stamp("session_start", MICRO_STAMP), stamp("last_event", MICRO_STAMP), "n_events",
         F.col("total_value").cast("double").alias("total_value"))

@@ -16,7 +16,7 @@ from tidemill.sources import examples as src
 
 SEED = 42
 TEST_FRACTION = 0.15
-WHOLE = 2048  # longer than any text of the tables, so nothing is cut
+LONGEST = "(SELECT max(len(ids)) FROM enc)"  # padding goes to the longest example
 SHORT = 128   # cuts some prompts and some responses
 BATCH = 16
 
@@ -58,13 +58,13 @@ PROMPT_SQL = (
 )
 
 
-def sql_bytes(hexed: str, limit: int) -> str:
+def sql_bytes(hexed: str, limit: int = tk.UNCUT) -> str:
     """Byte ids from a hex column, cut to a limit."""
     return (f"list_transform(range(1, least(length({hexed}) // 2, {limit}) + 1), "
             f"lambda i: CAST('0x' || substr({hexed}, 2 * i - 1, 2) AS INTEGER) + 3)")
 
 
-def encoded_sql(limit: int, base: str = "pairs") -> str:
+def encoded_sql(limit: int = tk.UNCUT, base: str = "pairs") -> str:
     return f"""
 hexed AS (SELECT *, hex(encode({PROMPT_SQL})) AS hp, hex(encode(output)) AS hr FROM {base}),
 cut AS (SELECT *, list_concat([1], {sql_bytes('hp', limit - 1)}) AS p,
@@ -74,17 +74,24 @@ lab AS (SELECT *, list_transform(ids, lambda x, i: CASE WHEN i <= len(p) THEN -1
         FROM enc)"""
 
 
-def padded_sql(column: str, value: int, limit: int) -> str:
+def padded_sql(column: str, value: int, limit: str = LONGEST) -> str:
     return (f"list_concat({column}, list_transform(range({limit} - len({column})), "
             f"lambda i: {value}))")
 
 
-def config(limit: int, mask_prompt: bool = True) -> PrepConfig:
+def config(limit: int | None, mask_prompt: bool = True) -> PrepConfig:
     return PrepConfig(max_seq_length=limit, mask_prompt=mask_prompt, test_fraction=TEST_FRACTION,
                       seed=SEED, batch_size=BATCH)
 
 
-def encoded(spark: SparkSession, sf: str, limit: int, mask_prompt: bool = True) -> DataFrame:
+def longest(spark: SparkSession, sf: str) -> int:
+    """Tokens of the longest example."""
+    prompt, response = tp.format_instruction(F.col("instruction"), F.col("output"))
+    size = F.octet_length(prompt) + F.octet_length(response) + 2  # start and end
+    return pairs(spark, sf).agg(F.max(size)).first()[0] or 1
+
+
+def encoded(spark: SparkSession, sf: str, limit: int | None, mask_prompt: bool = True) -> DataFrame:
     df = pairs(spark, sf)
     prompt, response = tp.format_instruction(F.col("instruction"), F.col("output"))
     return prepare.encode_examples(df, prompt, response, config(limit, mask_prompt), TOKENIZER)
@@ -110,12 +117,13 @@ def scan_split(spark: SparkSession, sf: str) -> DataFrame:
     return src.select_split(labelled, "train").select("example_id", "instruction", "output")
 
 
-@query(f"""WITH {PAIRS}, {SPLIT}, {encoded_sql(WHOLE, 'labelled')}
-SELECT example_id, split, CAST({padded_sql('ids', 0, WHOLE)} AS VARCHAR) AS input_ids,
-  CAST({padded_sql('lab', -100, WHOLE)} AS VARCHAR) AS labels,
+@query(f"""WITH {PAIRS}, {SPLIT}, {encoded_sql(base='labelled')}
+SELECT example_id, split, CAST({padded_sql('ids', 0)} AS VARCHAR) AS input_ids,
+  CAST({padded_sql('lab', -100)} AS VARCHAR) AS labels,
   len(p) AS prompt_length, len(r) AS response_length FROM lab""")
 def write_read_prepared(spark: SparkSession, sf: str) -> DataFrame:
-    done = prepare.prepare(pairs(spark, sf), config(WHOLE), TOKENIZER, ["example_id"])
+    whole = config(longest(spark, sf))
+    done = prepare.prepare(pairs(spark, sf), whole, TOKENIZER, ["example_id"])
     path = scratch_dir(spark, "prepared")
     src.write_prepared(done.drop("n_tokens", "n_supervised"), path)
     return src.read_prepared(spark, path).select(
@@ -307,9 +315,9 @@ def padded_batches(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     return batched(padded.select("example_id", "input_ids", "labels"))
 
 
-BATCHED_ARRAYS = f"""{PAIRS}, {SPLIT}, {BATCHED}, {encoded_sql(WHOLE, 'batched')},
-padded AS (SELECT *, {padded_sql('ids', 0, WHOLE)} AS pid,
-  {padded_sql('lab', -100, WHOLE)} AS plab FROM lab)"""
+BATCHED_ARRAYS = f"""{PAIRS}, {SPLIT}, {BATCHED}, {encoded_sql(base='batched')},
+padded AS (SELECT *, {padded_sql('ids', 0)} AS pid,
+  {padded_sql('lab', -100)} AS plab FROM lab)"""
 
 
 @query(f"""WITH {BATCHED_ARRAYS}
@@ -318,7 +326,7 @@ SELECT split, batch_id, CAST(count(*) AS INTEGER) AS n_rows,
   CAST(list(plab ORDER BY row_in_batch) AS VARCHAR) AS labels FROM padded GROUP BY split, batch_id""")
 def collate_batches(spark: SparkSession, sf: str) -> DataFrame:
     batches = batching.collate(
-        padded_batches(spark, sf, WHOLE), ["input_ids", "labels"], keys=["split"])
+        padded_batches(spark, sf, longest(spark, sf)), ["input_ids", "labels"], keys=["split"])
     return batches.select("split", "batch_id", "n_rows", text_of("input_ids"), text_of("labels"))
 
 
@@ -334,12 +342,13 @@ def assign_dp_shards(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {BATCHED_ARRAYS} SELECT split, batch_id, count(*) AS n_rows,
   CAST(min(len(pid)) AS INTEGER) AS min_input_ids, CAST(max(len(pid)) AS INTEGER) AS max_input_ids,
   CAST(min(len(plab)) AS INTEGER) AS min_labels, CAST(max(len(plab)) AS INTEGER) AS max_labels,
-  min(len(pid)) = {WHOLE} AND max(len(pid)) = {WHOLE} AND min(len(plab)) = {WHOLE}
-    AND max(len(plab)) = {WHOLE} AS ok
+  min(len(pid)) = {LONGEST} AND max(len(pid)) = {LONGEST} AND min(len(plab)) = {LONGEST}
+    AND max(len(plab)) = {LONGEST} AS ok
 FROM padded GROUP BY split, batch_id""")
 def batch_shape_check(spark: SparkSession, sf: str) -> DataFrame:
+    whole = longest(spark, sf)
     return batching.batch_shape_check(
-        padded_batches(spark, sf, WHOLE), ["input_ids", "labels"], WHOLE, keys=["split"])
+        padded_batches(spark, sf, whole), ["input_ids", "labels"], whole, keys=["split"])
 
 
 @query("""SELECT count(*) AS samples, CAST(ceil(count(*) / 32.0) AS BIGINT) AS steps_per_epoch,
@@ -349,10 +358,10 @@ def training_plan(spark: SparkSession, sf: str) -> DataFrame:
     return batching.training_plan(table(spark, sf, "orders"), 32, 3, max_steps=1000)
 
 
-@query(f"""WITH {PAIRS}, {encoded_sql(WHOLE)} SELECT count(*) AS samples, 'bytes' AS tokenizer,
+@query(f"""WITH {PAIRS}, {encoded_sql()} SELECT count(*) AS samples, 'bytes' AS tokenizer,
   CAST(max(len(ids)) AS INTEGER) AS max_length, round(avg(len(ids)), 6) AS avg_length FROM lab""")
 def dataset_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = batching.dataset_stats(encoded(spark, sf, WHOLE), "input_ids", "bytes")
+    stats = batching.dataset_stats(encoded(spark, sf, None), "input_ids", "bytes")
     return stats.select("samples", "tokenizer", "max_length",
                         F.round("avg_length", 6).alias("avg_length"))
 
@@ -461,17 +470,17 @@ def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- tokens ------------------------------------------------------------------------------
 
-@query(f"WITH {PAIRS}, {encoded_sql(WHOLE)} SELECT example_id, CAST(p AS VARCHAR) AS ids FROM cut")
+@query(f"WITH {PAIRS}, {encoded_sql()} SELECT example_id, CAST(p AS VARCHAR) AS ids FROM cut")
 def tokenize_prompt(spark: SparkSession, sf: str) -> DataFrame:
     prompt, _ = tp.format_instruction(F.col("instruction"), F.col("output"))
-    ids = TOKENIZER.encode(prompt, WHOLE, add_special=True)
+    ids = TOKENIZER.encode(prompt, tk.UNCUT, add_special=True)
     return pairs(spark, sf).select("example_id", ids.cast("string").alias("ids"))
 
 
 @query(f"""WITH h AS (SELECT conv_id, turn, hex(encode(text)) AS hx FROM conversations)
-SELECT conv_id, turn, CAST({sql_bytes('hx', WHOLE)} AS VARCHAR) AS ids FROM h""")
+SELECT conv_id, turn, CAST({sql_bytes('hx')} AS VARCHAR) AS ids FROM h""")
 def tokenize_response(spark: SparkSession, sf: str) -> DataFrame:
-    ids = TOKENIZER.encode(F.col("text"), WHOLE, add_special=False)
+    ids = TOKENIZER.encode(F.col("text"), tk.UNCUT, add_special=False)
     return table(spark, sf, "conversations").select(
         "conv_id", "turn", ids.cast("string").alias("ids"))
 
@@ -489,12 +498,12 @@ def mask_prompt_labels(spark: SparkSession, sf: str) -> DataFrame:
         F.size(F.array_remove("labels", -100)).alias("n_supervised"))
 
 
-@query(f"""WITH {PAIRS}, {encoded_sql(WHOLE)} SELECT example_id, CAST(ids AS VARCHAR) AS input_ids,
+@query(f"""WITH {PAIRS}, {encoded_sql()} SELECT example_id, CAST(ids AS VARCHAR) AS input_ids,
   CAST(ids AS VARCHAR) AS labels, CAST(len(p) AS INTEGER) AS prompt_length,
   CAST(len(r) AS INTEGER) AS response_length FROM lab""")
 def keep_encoded(spark: SparkSession, sf: str) -> DataFrame:
     """Model columns only, with the labels of an unmasked run."""
-    kept = select.keep_encoded(encoded(spark, sf, WHOLE, mask_prompt=False), ["example_id"])
+    kept = select.keep_encoded(encoded(spark, sf, None, mask_prompt=False), ["example_id"])
     return kept.withColumns({c: F.col(c).cast("string") for c in ("input_ids", "labels")})
 
 
@@ -504,59 +513,65 @@ def token_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return encoded(spark, sf, SHORT).select("example_id", "prompt_length", "response_length")
 
 
-@query(f"""WITH {PAIRS}, {encoded_sql(WHOLE)} SELECT example_id,
-  CAST({padded_sql('ids', 0, WHOLE)} AS VARCHAR) AS input_ids,
-  CAST({padded_sql('lab', -100, WHOLE)} AS VARCHAR) AS labels FROM lab""")
+@query(f"""WITH {PAIRS}, {encoded_sql()} SELECT example_id,
+  CAST({padded_sql('ids', 0)} AS VARCHAR) AS input_ids,
+  CAST({padded_sql('lab', -100)} AS VARCHAR) AS labels FROM lab""")
 def pad_to_length(spark: SparkSession, sf: str) -> DataFrame:
-    padded = prepare.pad_examples(encoded(spark, sf, WHOLE), config(WHOLE))
+    whole = longest(spark, sf)
+    padded = prepare.pad_examples(encoded(spark, sf, whole), config(whole))
     return padded.select("example_id", text_of("input_ids"), text_of("labels"))
 
 
-def padded_text(spark: SparkSession, sf: str, limit: int) -> DataFrame:
-    """Whole turns as padded ids of length ``limit`` + 1, with their attention mask."""
-    ids = TOKENIZER.encode(F.col("text"), limit + 1)
-    return table(spark, sf, "conversations").withColumn("raw", ids).select(
+def text_width(spark: SparkSession, sf: str) -> int:
+    """One more than the tokens of the longest turn, behind its start id."""
+    return (table(spark, sf, "conversations").agg(F.max(F.octet_length("text"))).first()[0] or 0) + 2
+
+
+def padded_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole turns as ids padded to one width, with their attention mask."""
+    width = text_width(spark, sf)
+    return table(spark, sf, "conversations").withColumn("raw", TOKENIZER.encode(F.col("text"), width)).select(
         "conv_id", "turn", F.size("raw").alias("n"),
-        tk.pad_to_length(F.col("raw"), limit + 1, TOKENIZER.pad_id).alias("ids"),
-        tk.padding_mask(F.size("raw"), limit + 1).alias("mask"))
+        tk.pad_to_length(F.col("raw"), width, TOKENIZER.pad_id).alias("ids"),
+        tk.padding_mask(F.size("raw"), width).alias("mask"))
 
 
-def padded_text_sql(limit: int) -> str:
-    return f"""h AS (SELECT conv_id, turn, hex(encode(text)) AS hx FROM conversations),
-raw AS (SELECT conv_id, turn, list_concat([1], {sql_bytes('hx', limit)}) AS raw FROM h),
-padded AS (SELECT conv_id, turn, len(raw) AS n, {padded_sql('raw', 0, limit + 1)} AS ids,
-  list_transform(range({limit} + 1), lambda i: CASE WHEN i < len(raw) THEN 1 ELSE 0 END) AS mask FROM raw)"""
+WIDTH = "(SELECT max(strlen(text)) + 2 FROM conversations)"
+PADDED_TEXT = f"""h AS (SELECT conv_id, turn, hex(encode(text)) AS hx FROM conversations),
+raw AS (SELECT conv_id, turn, list_concat([1], {sql_bytes('hx')}) AS raw FROM h),
+padded AS (SELECT conv_id, turn, len(raw) AS n, {padded_sql('raw', 0, WIDTH)} AS ids,
+  list_transform(range({WIDTH}), lambda i: CASE WHEN i < len(raw) THEN 1 ELSE 0 END) AS mask FROM raw)"""
 
 
 def variant(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("conv_id", "turn", *[c.cast("string").alias(n) for n, c in columns.items()])
 
 
-@query(f"""WITH {padded_text_sql(SHORT)} SELECT conv_id, turn, CAST(ids[1:{SHORT}] AS VARCHAR) AS input_tokens,
+@query(f"""WITH {PADDED_TEXT} SELECT conv_id, turn, CAST(ids[1:len(ids) - 1] AS VARCHAR) AS input_tokens,
   CAST(ids[2:] AS VARCHAR) AS target_tokens, CAST(mask[2:] AS VARCHAR) AS loss_masks FROM padded""")
 def shift_targets(spark: SparkSession, sf: str) -> DataFrame:
-    df = padded_text(spark, sf, SHORT)
+    df = padded_text(spark, sf)
     return variant(df, tk.shift_targets(F.col("ids"), F.col("mask")))
 
 
-@query(f"""WITH {padded_text_sql(512)} SELECT conv_id, turn, CAST(ids[1:512] AS VARCHAR) AS input_ids,
-  CAST(ids[2:] AS VARCHAR) AS labels, CAST(mask[1:512] AS VARCHAR) AS attention_mask FROM padded""")
+@query(f"""WITH {PADDED_TEXT} SELECT conv_id, turn, CAST(ids[1:len(ids) - 1] AS VARCHAR) AS input_ids,
+  CAST(ids[2:] AS VARCHAR) AS labels, CAST(mask[1:len(mask) - 1] AS VARCHAR) AS attention_mask FROM padded""")
 def shift_labels(spark: SparkSession, sf: str) -> DataFrame:
-    df = padded_text(spark, sf, 512)
+    df = padded_text(spark, sf)
     return variant(df, tk.shift_labels(F.col("ids"), F.col("mask")))
 
 
-@query(f"""WITH {padded_text_sql(SHORT)} SELECT conv_id, turn, CAST(ids[1:{SHORT}] AS VARCHAR) AS input_tokens,
-  CAST(mask[1:{SHORT}] AS VARCHAR) AS target_mask FROM padded""")
+@query(f"""WITH {PADDED_TEXT} SELECT conv_id, turn, CAST(ids[1:len(ids) - 1] AS VARCHAR) AS input_tokens,
+  CAST(mask[1:len(mask) - 1] AS VARCHAR) AS target_mask FROM padded""")
 def target_mask(spark: SparkSession, sf: str) -> DataFrame:
-    df = padded_text(spark, sf, SHORT)
+    df = padded_text(spark, sf)
     return variant(df, tk.target_mask(F.col("ids"), F.col("mask")))
 
 
-@query(f"WITH {padded_text_sql(511)} SELECT conv_id, turn, CAST(mask AS VARCHAR) AS mask FROM padded")
+@query(f"WITH {PADDED_TEXT} SELECT conv_id, turn, CAST(mask AS VARCHAR) AS mask FROM padded")
 def padding_mask(spark: SparkSession, sf: str) -> DataFrame:
-    df = padded_text(spark, sf, 511)
-    return variant(df, {"mask": tk.padding_mask(F.col("n"), 512)})
+    df = padded_text(spark, sf)
+    return variant(df, {"mask": tk.padding_mask(F.col("n"), text_width(spark, sf))})
 
 
 @query("SELECT conv_id, turn, CAST(range(512) AS VARCHAR) AS positions FROM conversations")
@@ -564,22 +579,22 @@ def position_ids(spark: SparkSession, sf: str) -> DataFrame:
     return variant(table(spark, sf, "conversations"), {"positions": tk.position_ids(512)})
 
 
-@query(f"""WITH {padded_text_sql(511)} SELECT conv_id, turn,
-  CAST(list_transform(range(512), lambda i: least(i, n - 1)) AS VARCHAR) AS positions FROM padded""")
+@query(f"""WITH {PADDED_TEXT} SELECT conv_id, turn,
+  CAST(list_transform(range({WIDTH}), lambda i: least(i, n - 1)) AS VARCHAR) AS positions FROM padded""")
 def mask_positions(spark: SparkSession, sf: str) -> DataFrame:
-    df = padded_text(spark, sf, 511)
-    return variant(df, {"positions": tk.mask_positions(F.col("n"), 512)})
+    df = padded_text(spark, sf)
+    return variant(df, {"positions": tk.mask_positions(F.col("n"), text_width(spark, sf))})
 
 
 # --- the whole chain ---------------------------------------------------------------------
 
-@query(f"""WITH {PAIRS}, {SPLIT}, {encoded_sql(WHOLE, 'labelled')}
+@query(f"""WITH {PAIRS}, {SPLIT}, {encoded_sql(base='labelled')}
 SELECT split, count(*) AS examples, CAST(sum(len(ids)) AS BIGINT) AS tokens,
   CAST(sum(len(list_filter(lab, lambda x: x <> -100))) AS BIGINT) AS supervised_tokens,
   count(*) FILTER (len(list_filter(lab, lambda x: x <> -100)) = 0) AS without_supervision
 FROM lab GROUP BY split""")
 def prepared_summary(spark: SparkSession, sf: str) -> DataFrame:
-    done = prepare.prepare(pairs(spark, sf), config(WHOLE), TOKENIZER, ["example_id"])
+    done = prepare.prepare(pairs(spark, sf), config(None), TOKENIZER, ["example_id"])
     return done.groupBy("split").agg(
         F.count(F.lit(1)).alias("examples"),
         F.sum("n_tokens").alias("tokens"),

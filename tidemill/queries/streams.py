@@ -53,7 +53,8 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start,
 FROM s GROUP BY user_id, no HAVING max(ts) + INTERVAL 6 HOUR <= {CLOSED}""")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     with settings(spark, usage.MERGE_LOCALLY):
-        closed = results(spark, usage.sessions(stream(spark, sf), "6 hours", WATERMARK), "sessions")
+        closed = results(spark, usage.sessions(
+            stream(spark, sf).withColumn("value", F.col("value").cast("decimal(38,2)")), "6 hours", WATERMARK), "sessions")
     return closed.select(
         "user_id", stamp("session_start", MICRO_STAMP), stamp("last_event", MICRO_STAMP), "n_events",
         F.col("total_value").cast("double").alias("total_value"))

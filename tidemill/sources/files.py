@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 DEFAULT_LIST_LIMIT = 100
 
@@ -45,7 +46,8 @@ def reassemble_chunks(
     Complete means that every number from 0 to ``total_chunks`` - 1 is there, in whatever
     order the chunks came in; a chunk that was sent again counts once. A file comes as
     consecutive parts of ``chunks_per_part`` chunks with their byte offsets, so one huge
-    upload is neither one cell nor one task; a shorter file is a single part.
+    upload is neither one cell nor one task; a shorter file is a single part. Binary
+    content stays binary.
     """
     part = F.floor(F.col("chunk_number") / chunks_per_part)
     once = chunks.where(F.col("chunk_number") < F.col("total_chunks")).groupBy(
@@ -64,9 +66,13 @@ def reassemble_chunks(
     ).where(F.col("__have") == F.col("total_chunks"))
     pieces = F.array_sort(F.collect_list(F.struct("chunk_number", "content")))
     parts = once.groupBy(key, "total_chunks", "part_no").agg(pieces.alias("__p"))
+    if isinstance(chunks.schema["content"].dataType, BinaryType):
+        content = F.unhex(F.array_join(F.transform("__p.content", F.hex), ""))
+    else:
+        content = F.array_join("__p.content", "")
     return parts.join(complete, [key, "total_chunks", "part_no"]).select(
         key, "part_no", "byte_offset", "file_bytes",
-        F.array_join("__p.content", "").alias("content"))
+        content.alias("content"))
 
 
 def list_files(

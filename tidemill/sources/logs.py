@@ -23,13 +23,16 @@ def with_offsets(lines: DataFrame, keys: Sequence[str] = ("file",), order: str =
 def log_from_offset(
     lines: DataFrame, start_byte: int, keys: Sequence[str] = ("file",), order: str = "line_no"
 ) -> DataFrame:
-    """Lines that reach beyond a byte position; a line cut by it comes from there on.
+    """Lines that reach beyond a byte position; a line cut by it comes from there on,
+    or from the next character if the position lies within one.
 
     Files that end at or before the position are out of range and give no row.
     """
     reached = with_offsets(lines, keys, order).where(F.col("end_byte") > start_byte)
     skipped = F.greatest(F.lit(start_byte) - F.col("start_byte"), F.lit(0)).cast("int")
-    tail = F.decode(F.substring(F.encode("value", "UTF-8"), skipped + 1, F.octet_length("value")), "UTF-8")
+    rest = F.hex(F.substring(F.encode("value", "UTF-8"), skipped + 1, F.octet_length("value")))
+    # bytes 80 to BF go on with a character that began before
+    tail = F.decode(F.unhex(F.regexp_replace(rest, "^(?:[89AB][0-9A-F]){1,3}", "")), "UTF-8")
     return reached.withColumn("value", F.when(skipped > 0, tail).otherwise(F.col("value")))
 
 

@@ -22,7 +22,7 @@ def sessions(
         stream.withWatermark(ts, watermark)
         .groupBy(user, F.session_window(ts, gap).alias("__w"))
         .agg(F.min(ts).alias("session_start"), F.max(ts).alias("last_event"),
-             F.count(F.lit(1)).alias("n_events"), F.sum(F.col(value).cast("decimal(38,2)")).alias("total_value"))
+             F.count(F.lit(1)).alias("n_events"), F.sum(value).alias("total_value"))
         .select(user, "session_start", "last_event", "n_events", "total_value")
     )
 
