@@ -325,6 +325,16 @@ def test_quality(spark, rows):
     assert quality.judge(frame(spark, [])).count() == 0
 
 
+def test_frequent_lines_on_a_large_host(spark):
+    line = "a line that a few of many documents hold"
+    rows = [[i, " ".join(f"w{i}x{j}" for j in range(30)) + ("\n" + line if i % 25 == 0 else ""), "en", "large", 1]
+            for i in range(300)]  # held by 12 of 300
+    got = {r["doc_id"]: r["n_line_words"] for r in quality.judge(frame(spark, rows)).collect()}
+    assert {i for i, n in got.items() if n} == set(range(25, 300, 25))
+    few = quality.judge(frame(spark, rows[:250])).filter("n_line_words > 0")  # held by 10
+    assert few.count() == 0
+
+
 # 8: repeats
 
 @pytest.mark.parametrize(("window", "prefix", "group"), [(20, 8, 4000), (12, 5, 3), (6, 3, 1)])

@@ -2,7 +2,7 @@
 
 Base rules look at one text. The method's rule hashes normalised lines (A-Z lower-cased, runs of
 ASCII white space as one space) and counts the documents of each host that hold a line. A line is
-*frequent* on a host when more than ``max(least, share * documents of the host)`` documents hold it;
+*frequent* on a host when more than ``most`` of its documents hold it, however many the host has;
 it is then removed from all of them but the one with the least doc_id. A document of which less than
 ``left_words`` words and less than ``left_share`` of its words are left is depleted and rejected.
 
@@ -98,21 +98,19 @@ def text_stats(docs: DataFrame, host: str) -> DataFrame:
     return stage(texts.mapInArrow(measure, STATS), "text-stats")
 
 
-def judge(docs: DataFrame, host: str = "source", least: int = 10, share: float = 0.2, min_words: int = 20,
+def judge(docs: DataFrame, host: str = "source", most: int = 10, min_words: int = 20,
           max_repeat_percent: int = 30, left_words: int = 20, left_share: float = 0.5) -> DataFrame:
     """Figures and verdict per document: columns doc_id, th, n_words ... base_failed, n_line_words, kept.
 
     ``n_line_words`` counts the words in frequent lines, ``th`` is a hash of the text.
     """
     stats = text_stats(docs, host)
-    hosts = stats.groupBy("host").agg(F.count("*").alias("docs"))
     lines = stats.select("doc_id", "th", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("at")).select(
         "doc_id", "th", "host", F.col("at.lines").alias("line"), F.col("at.line_words").alias("words"))
     # counts arrive pre-aggregated; a host's many lines spread over all tasks
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("held"), F.min("doc_id").alias("first"))
-    frequent = (counted.filter(F.col("held") > least).join(hosts, counted["host"].eqNullSafe(hosts["host"]))
-                .filter(F.col("held") > F.greatest(F.lit(float(least)), F.lit(share) * F.col("docs")))
-                .select(counted["host"].alias("f_host"), F.col("line").alias("f_line"), "first"))
+    frequent = counted.filter(F.col("held") > most).select(
+        F.col("host").alias("f_host"), F.col("line").alias("f_line"), "first")
     removed = (lines.join(frequent, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
                .filter(~F.col("doc_id").eqNullSafe(F.col("first")))
                .dropDuplicates(["doc_id", "th", "line"])
