@@ -17,13 +17,8 @@ def with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or of which frequent lines leave too little, go."""
-    rejected = quality.judge(docs).filter("not kept").select(
-        F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")).distinct()
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("key_id"),
-                       quality.text_hash().alias("key_th"))
-    return rows.join(rejected, F.col("key_id").eqNullSafe(F.col("r_id")) & (F.col("key_th") == F.col("r_th")),
-                     "left_anti").select("doc.*")
+    """Frequent lines go; documents that fail the base rules, or that are left with too little, go whole."""
+    return with_length(quality.clean(docs).filter("kept"), docs.columns)
 
 
 def line_edit_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

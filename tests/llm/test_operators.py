@@ -335,6 +335,22 @@ def test_frequent_lines_on_a_large_host(spark):
     assert few.count() == 0
 
 
+def test_frequent_lines_leave_the_texts(spark):
+    import corpus_pipeline
+    body = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(12)]
+    rows = [[i, f"  A  short header\n{body[i]}\n\nA short HEADER", "en", "pages", -1] for i in range(12)]
+    rows += [[None, f"{body[0]}\na short header", "en", "pages", -1], [3, rows[3][1], "en", "other", -1]]
+    out = corpus_pipeline.quality_rules(spark, frame(spark, rows), "").collect()
+    want = [(0, rows[0][1], "pages"), (3, rows[3][1], "other"), (None, body[0], "pages")]
+    want += [(i, body[i] + "\n", "pages") for i in range(1, 12)]
+    assert sorted(((r["doc_id"], r["text"], r["source"]) for r in out), key=repr) == sorted(want, key=repr)
+    assert all(r["n_chars"] == len(r["text"]) for r in out) and out[0].__fields__ == [
+        f.split()[0] for f in DOCUMENTS.split(", ")]
+    got = quality.clean(clashing(frame(spark, rows)))
+    assert set(got.columns) >= set(clashing(frame(spark, rows)).columns) | {"n_line_words", "kept"}
+    assert {r["n_line_words"] for r in got.filter("doc_id between 1 and 11 and source = 'pages'").collect()} == {6}
+
+
 # 8: repeats
 
 @pytest.mark.parametrize(("window", "prefix", "group"), [(20, 8, 4000), (12, 5, 3), (6, 3, 1)])
