@@ -468,6 +468,24 @@ def test_packing_in_shards(spark, rows, monkeypatch):
     assert used <= 1.05 * least + 2
 
 
+def test_packing_of_many_empty_texts(spark):
+    rows = [[i, None if i % 2 else "", "en", "s", 0] for i in range(5000)]
+    out = packing.pack_documents(frame(spark, rows), TOKENIZER, 0, 2048).collect()
+    assert packed_well(out, rows, 2048) == (3, 3)
+
+
+def test_packing_that_does_not_get_smaller(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 100)
+    rows = [[i, "", "en", "s", 0] for i in range(600)]
+    out = packing.pack_documents(frame(spark, rows), TOKENIZER, 0, 20).collect()  # some levels, in shards of tokens
+    used, least = packed_well(out, rows, 20)
+    assert used <= least + 2
+    monkeypatch.setattr(packing, "SHARD_BINS", 1)
+    out = packing.pack_documents(frame(spark, rows), TOKENIZER, 0, 90).collect()  # two bins a shard at most
+    used, least = packed_well(out, rows, 90)
+    assert used <= 2 * least
+
+
 def test_crossover_keeps_all_items():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 90, 200)
