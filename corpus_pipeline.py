@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_edit_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go; documents that lose all their long lines go with them."""
-    deduped = line_dedup.dedup_lines(docs).filter("n_lines = 0 or n_removed < n_lines")
+    """Lines that repeat an earlier one go; documents that lose lines and have no word left go with them."""
+    deduped = line_dedup.dedup_lines(docs).filter(F.expr("n_removed = 0") | F.col("text").rlike("[^ \t\n\r\x0B\f]"))
     return with_length(deduped, docs.columns)
 
 

@@ -277,6 +277,16 @@ def test_line_dedup(spark, edits, crowd):
         rows, edits)
 
 
+def test_short_lines_stay_in_the_pipeline(spark):
+    import corpus_pipeline
+    heading = "a heading of more than twenty characters"
+    rows = [[1, heading + "\nwords below it", "en", "s", -1], [2, heading + "\na list\nof short lines", "en", "s", -1],
+            [3, heading + "\n \t", "en", "s", -1], [4, heading, "en", "s", -1], [5, "short", "en", "s", -1]]
+    out = corpus_pipeline.line_edit_dedup(spark, frame(spark, rows), "").collect()
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out) == [
+        (1, rows[0][1], len(rows[0][1])), (2, "a list\nof short lines", 21), (5, "short", 5)]
+
+
 def test_line_dedup_is_native(spark, docs):
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
