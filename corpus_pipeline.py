@@ -10,6 +10,10 @@ from tidemill.llm import line_dedup, mixing, packing, quality, shingle_join
 from tidemill.session import stage, table
 
 
+#: Lines within so many edits of an earlier one go. op6_line_edit_dedup itself keeps to one, as its SQL does.
+LINE_EDITS = 2
+
+
 def with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs``, with the length of a changed text."""
     return docs.select(*[F.char_length("text").cast("long").alias("n_chars") if name == "n_chars"
@@ -23,7 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_edit_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; documents that lose lines and have no word left go with them."""
-    deduped = line_dedup.dedup_lines(docs).filter(F.expr("n_removed = 0") | F.col("text").rlike("[^ \t\n\r\x0B\f]"))
+    deduped = line_dedup.dedup_lines(docs, edits=LINE_EDITS).filter(
+        F.expr("n_removed = 0") | F.col("text").rlike("[^ \t\n\r\x0B\f]"))
     return with_length(deduped, docs.columns)
 
 

@@ -287,6 +287,15 @@ def test_short_lines_stay_in_the_pipeline(spark):
         (1, rows[0][1], len(rows[0][1])), (2, "a list\nof short lines", 21), (5, "short", 5)]
 
 
+def test_pipeline_removes_lines_two_edits_away(spark):
+    import corpus_pipeline
+    rows = [[1, "first\nwritten on the 12th of this month", "en", "s", -1],
+            [2, "second\nwritten on the 30th of this month", "en", "s", -1],
+            [3, "third\nwritten at noon of another month", "en", "s", -1]]
+    out = corpus_pipeline.line_edit_dedup(spark, frame(spark, rows), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [(1, rows[0][1]), (2, "second"), (3, rows[2][1])]
+
+
 def test_line_dedup_is_native(spark, docs):
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
