@@ -109,3 +109,30 @@ def test_log_segments(spark, tmp_path):
     (folder / "1.log").write_text("c\n")
     runs.run_to_files(stream_log(spark, str(folder)), out, checkpoint)
     assert sorted(r["value"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_jobs_are_forgotten_only_if_asked():
+    from tidemill.streaming.lifecycle import Deadline
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.value = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    for remember, timers in ((50, [57]), (None, [])):
+        job, handle = Deadline(100, remember), Handle()
+        job.init(handle)
+        rows = [{"first_ms": 3, "done_ms": 7}]
+        assert [r["outcome"] for r in job.handleInputRows(("j",), iter(rows), None)] == ["finished"]
+        assert handle.timers == timers and not list(job.handleInputRows(("j",), iter(rows), None))

@@ -371,6 +371,15 @@ def test_manifest_of_a_folder(spark, tmp_path):
     assert rows(got) == [("a.txt", 5)]
 
 
+def test_vocab_plans_agree_on_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c a"), (1, "c a"), (2, None), (2, "b zz a")], "doc_id long, text string")
+    known = spark.createDataFrame([("a", 4), ("b", 5), ("c", 6)], "word string, token_id int")
+    for bound in (500, 1):
+        got = vocab.encode_vocab(df, "doc_id", "text", known, max_broadcast=bound).collect()
+        assert sorted(((r["doc_id"], r["text"] or "", r["ids"]) for r in got)) == [
+            (1, "a b", [4, 5]), (1, "c a", [6, 4]), (1, "c a", [6, 4]), (2, "", []), (2, "b zz a", [5, 3, 4])]
+
+
 def test_vocabulary_paths_agree(spark):
     texts = [(1, "b a  a\n"), (2, ""), (3, "a zz c b a")]
     df = spark.createDataFrame(texts, "doc_id int, text string")

@@ -40,12 +40,13 @@ def encode_vocab(
 
     A vocabulary within the broadcast bound is looked up in one map-side pass. Beyond it,
     the most frequent words up to the bound are still broadcast, and only the others are
-    joined by a shuffle; those are rare, so no join key is hot.
+    joined by a shuffle; those are rare, so no join key is hot. Either way the ids depend on
+    the text alone, so ``key`` may repeat.
     """
     head = vocab.orderBy("token_id").limit(max_broadcast + 1).select("word", "token_id").toArrow()
     if head.num_rows <= max_broadcast:
         return _encode_in_place(df, column, head)
-    return _encode_by_join(df, key, column, vocab, head.slice(0, max_broadcast))
+    return _encode_by_join(df, column, vocab, head.slice(0, max_broadcast))
 
 
 def _encode_in_place(df: DataFrame, column: str, vocab: pa.Table) -> DataFrame:
@@ -64,21 +65,23 @@ def _encode_in_place(df: DataFrame, column: str, vocab: pa.Table) -> DataFrame:
 
 
 def _encode_by_join(
-    df: DataFrame, key: str, column: str, vocab: DataFrame, head: pa.Table
+    df: DataFrame, column: str, vocab: DataFrame, head: pa.Table
 ) -> DataFrame:
     spark = df.sparkSession
     frequent = spark.createDataFrame(head)
     rest = vocab.select("word", "token_id").join(
         F.broadcast(frequent.select("word")), "word", "left_anti")
-    tokens = df.select(key, F.posexplode(words(F.col(column))).alias("pos", "word"))
+    marked_df = df.withColumn("__text", F.md5(F.col(column)))
+    tokens = marked_df.select("__text", F.posexplode(words(F.col(column))).alias("pos", "word"))
     marked = tokens.join(F.broadcast(frequent), "word", "left")
     direct = marked.where(F.col("token_id").isNotNull())
     looked_up = marked.where(F.col("token_id").isNull()).drop("token_id").join(rest, "word", "left")
     encoded = direct.unionByName(looked_up).select(
-        key, "pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
-    # One text per group, so a group is no larger than the cell it came from.
-    lists = encoded.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("__t"))
-    joined = df.join(lists, key, "left")
+        "__text", "pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("token_id"))
+    # One text per group, however many rows hold it: equal places are one, so a group is no
+    # larger than the cell it came from.
+    lists = encoded.groupBy("__text").agg(
+        F.array_sort(F.collect_set(F.struct("pos", "token_id"))).alias("__t"))
+    joined = marked_df.join(lists, "__text", "left")
     empty = F.array().cast("array<int>")
-    return joined.withColumn("ids", F.coalesce(F.col("__t.token_id"), empty)).drop("__t")
+    return joined.withColumn("ids", F.coalesce(F.col("__t.token_id"), empty)).drop("__t", "__text")

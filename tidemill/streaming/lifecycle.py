@@ -31,7 +31,7 @@ class Deadline(StatefulProcessor):
     a while, so that its last events do not start it again, and then forgotten.
     """
 
-    def __init__(self, limit_ms: int, remember_ms: int) -> None:
+    def __init__(self, limit_ms: int, remember_ms: int | None) -> None:
         self.limit_ms = limit_ms
         self.remember_ms = remember_ms
 
@@ -68,7 +68,8 @@ class Deadline(StatefulProcessor):
 
     def _end(self, key, outcome: str, start: int, end: int) -> Row:
         self.job.update((start, True))
-        self.handle.registerTimer(end + self.remember_ms)
+        if self.remember_ms is not None:
+            self.handle.registerTimer(end + self.remember_ms)
         return Row(job_id=key[0], outcome=outcome, started_ms=start, ended_ms=end)
 
     def close(self) -> None:
@@ -77,10 +78,13 @@ class Deadline(StatefulProcessor):
 
 def stream_lifecycle(
     stream: DataFrame, done: Column, watermark: str, max_hours: int = MAX_RUNTIME_HOURS,
-    job: str = "job_id", ts: str = "ts",
+    job: str = "job_id", ts: str = "ts", remember_hours: int | None = REMEMBER_HOURS,
 ) -> DataFrame:
     """One row per job that ended: finished within the limit, or timed out.
 
+    A job is forgotten ``remember_hours`` after its end; an event after that starts it anew and gives
+    a second outcome. None remembers all jobs, in a state that grows with their number.
+
     Events are first summed up per job and minute, before the shuffle, so that the state
     of a very busy job is updated once per minute of event time rather than per event.
     """
@@ -92,7 +96,8 @@ def stream_lifecycle(
         .select("job_id", F.window_time("slot").alias("at"), "first_ms", "done_ms")
     )
     ended = slots.groupBy("job_id").transformWithState(
-        statefulProcessor=Deadline(max_hours * HOUR_MS, REMEMBER_HOURS * HOUR_MS),
+        statefulProcessor=Deadline(
+            max_hours * HOUR_MS, None if remember_hours is None else remember_hours * HOUR_MS),
         outputStructType=OUTPUT, outputMode="append", timeMode="eventtime")
     return ended.select("job_id", "outcome", F.timestamp_millis("started_ms").alias("started"),
                         F.timestamp_millis("ended_ms").alias("ended"))
