@@ -138,6 +138,12 @@ def test_pii_base_and_more(spark):
     assert got[len(texts) - 1]["spans"] == "" and pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_long_keys():
+    account = pii.KINDS.index("account")
+    for n in (8, 128, 129, 256, 5000):
+        assert pii.spans_of(f"token: {'a1' * (n // 2)}{'a' * (n % 2)}.") == [(7, account, 7 + n)]
+
+
 # 3: shingle join
 
 @pytest.mark.parametrize(("percent", "common", "boundary"), [(85, 64, None), (85, 2, 0), (60, 2, 40), (70, 3, 12)])

@@ -44,7 +44,7 @@ PERSONAL_FIELD = re.compile(r"[?&;](?:user|username|uid|email|e-mail|mail|phone|
 AFTER_CUE = re.compile(r"(?:[ \t]{0,2}(?:number|nr|no|id|is)\b\.?)?[ \t]{0,2}[:=#]?[ \t]{0,2}[\"']?", re.ASCII | re.IGNORECASE)
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-NUMBER = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{5,127}(?![A-Za-z0-9_-])")
+NUMBER = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{5,}")
 
 Span = tuple[int, int, int]
 
