@@ -1,4 +1,4 @@
-"""The ten operators, each over its whole table, and their SQL where SQL can express them."""
+"""The thirteen operators, each over its whole table, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import (
+    centroids,
+    lexical,
     line_dedup,
     mixing,
+    mixture,
     neighbours,
     packing,
     pii,
@@ -128,3 +131,63 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 def op10_genetic_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(
         table(spark, sf, "documents"), public_tokenizers.path(TOKENIZER), end_id=0, capacity=2048)
+
+
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+        r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+RANKED = f"""WITH d AS (SELECT doc_id, {TERMS} AS terms FROM documents),
+n AS (SELECT doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM n),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM t, c GROUP BY term),
+q AS (SELECT item_id, unnest({TERMS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length))))
+  AS BIGINT) AS score FROM q JOIN w USING (term) JOIN t USING (term) JOIN n USING (doc_id), c GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+  doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20"""
+
+
+@query(RANKED)
+def op11_shared_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=20)
+
+
+CLUSTERS, ROUNDS, CLUSTER_SEED, DIMS, SCALE = 8, 10, 3, 64, 1024
+
+
+def clusters_sql() -> str:
+    """The rounds written out one after another."""
+    nearest = """n{i} AS MATERIALIZED (SELECT id, v, min((d, c)) AS best FROM (SELECT id, v, c,
+  CAST(list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(v, m)]) AS BIGINT) AS d FROM k, c{i}) GROUP BY id, v)"""
+    moved = """s{i} AS MATERIALIZED (SELECT c, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+  SELECT best[2] AS c, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM n{i}) GROUP BY c, p),
+c{j} AS MATERIALIZED (SELECT c{i}.c, coalesce(f.m, c{i}.m) AS m FROM c{i} LEFT JOIN (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS m FROM s{i} GROUP BY c) f USING (c))"""
+    parts = [f"""k AS MATERIALIZED (SELECT vec_id AS id, [CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)
+  FOR x IN embedding] AS v FROM embeddings WHERE len(embedding) = {DIMS}
+  AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (
+  SELECT sha256('{CLUSTER_SEED}:' || id) AS h, v FROM k ORDER BY h LIMIT {CLUSTERS}))"""]
+    for i in range(ROUNDS):
+        parts += [nearest.format(i=i), moved.format(i=i, j=i + 1)]
+    last = f"""SELECT id AS vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance,
+  CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best[1]) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256 FROM n{ROUNDS} JOIN c{ROUNDS} ON c = best[2]"""
+    return "WITH " + ",\n".join([*parts, nearest.format(i=ROUNDS)]) + "\n" + last
+
+
+@query(clusters_sql())
+def op12_equal_average_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf, "embeddings"), CLUSTERS, ROUNDS, CLUSTER_SEED, DIMS, SCALE)
+
+
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+
+
+@query()
+def op13_deficit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.pack_mixture(
+        table(spark, sf, "documents"), public_tokenizers.path(BYTE_TOKENIZER), end_id=1, capacity=2048)
