@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemill.config import PrepConfig
 from tidemill.functions import templates as tp
@@ -12,6 +13,7 @@ from tidemill.operators import batching, chat, prepare, select, split
 from tidemill.plans.order import by_hash, by_id, by_id_pair, dense_rank
 from tidemill.queries.registry import query
 from tidemill.session import scratch_dir, stage, table
+from tidemill.sources import byte_ranges
 from tidemill.sources import examples as src
 
 SEED = 42
@@ -21,6 +23,7 @@ SHORT = 128   # cuts some prompts and some responses
 BATCH = 16
 
 TOKENIZER = tk.ByteTokenizer()
+ROLE = StructType([StructField("role", StringType())])
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,6 +109,27 @@ def scan_json(spark: SparkSession, sf: str) -> DataFrame:
     return src.load_source(spark, path)
 
 
+FILES, LIMIT = 4, 200
+KEYED = f"""turns AS (SELECT 'turns-' || conv_id % {FILES} || '.jsonl' AS file, conv_id, turn, role FROM conversations),
+keyed AS (SELECT file, row_number() OVER (ORDER BY file, conv_id, turn) - 1 AS row_id,
+  row_number() OVER (PARTITION BY file ORDER BY conv_id, turn) - 1 AS line_no, role FROM turns)"""
+
+
+@query(f"""WITH {KEYED}, few AS (SELECT * FROM keyed WHERE row_id < {LIMIT})
+SELECT file, row_id, line_no, role, CASE WHEN row_number() OVER (ORDER BY md5('{SEED}:' || row_id), row_id)
+  <= ceil({TEST_FRACTION} * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM few""")
+def jsonl_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Hardly any row of these files differs from the others, yet a limit and a split are exact."""
+    folder = scratch_dir(spark, "jsonl")
+    byte_ranges.write_lines(table(spark, sf, "conversations").select(
+        F.concat(F.lit("turns-"), F.col("conv_id") % FILES, F.lit(".jsonl")).alias("file"),
+        F.struct("conv_id", "turn").alias("line_no"), F.to_json(F.struct("role")).alias("value")), folder)
+    rows = stage(src.read_keyed_examples(spark, folder, ROLE, None, "*.jsonl", range_bytes=1 << 12), "keyed")
+    few = select.limit_examples(rows, LIMIT, by_id("row_id"))
+    return split.train_test_split(few, ["row_id"], TEST_FRACTION, SEED).select(
+        F.substring_index("file", "/", -1).alias("file"), "row_id", "line_no", "role", "split")
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def scan_table(spark: SparkSession, sf: str) -> DataFrame:
     return src.load_source(spark, f"{sf}/conversations.parquet")

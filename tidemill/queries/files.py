@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import humanize_size as readable
 from tidemill.queries.registry import query
 from tidemill.session import scratch_dir, table
-from tidemill.sources import catalog_json, files, logs
+from tidemill.sources import byte_ranges, catalog_json, files, logs
 
 OFFSET = 1000     # inside most of the files
 FAR_OFFSET = 1700  # behind the end of some
@@ -110,6 +110,43 @@ def log_out_of_range(spark: SparkSession, sf: str) -> DataFrame:
     return logs.out_of_range(log_lines(spark, sf), FAR_OFFSET)
 
 
+NUMBERED = f"""WITH {LOG_LINES}, numbered AS (SELECT file, value, end_byte,
+  end_byte - length(value) - 1 AS line_start, row_number() OVER (ORDER BY file, line_no) - 1 AS row_id,
+  row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS line_no FROM placed)"""
+
+
+def file_name() -> Column:
+    return F.substring_index("file", "/", -1).alias("file")
+
+
+def written_log(spark: SparkSession, sf: str) -> str:
+    """A folder with a log file per user."""
+    folder = scratch_dir(spark, "logs")
+    byte_ranges.write_lines(log_lines(spark, sf), folder)
+    return folder
+
+
+@query(NUMBERED + "SELECT file, row_id, line_no, line_start AS start_byte, end_byte, value FROM numbered")
+def log_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Places and numbers of lines, from the files themselves, in ranges shorter than they are."""
+    lines = byte_ranges.read_numbered(spark, written_log(spark, sf), range_bytes=FAR_OFFSET)
+    return lines.select(file_name(), "row_id", "line_no", "start_byte", "end_byte", "value")
+
+
+@query(NUMBERED + f"""SELECT file, line_no, greatest(line_start, {OFFSET}) AS start_byte, end_byte,
+  CASE WHEN line_start < {OFFSET} THEN substr(value, {OFFSET} - line_start + 1) ELSE value END AS value
+FROM numbered WHERE end_byte > {OFFSET}""")
+def log_files_from_offset(spark: SparkSession, sf: str) -> DataFrame:
+    lines = byte_ranges.read_numbered(spark, written_log(spark, sf), start_byte=OFFSET)
+    return lines.select(file_name(), "line_no", "start_byte", "end_byte", "value")
+
+
+@query(f"""WITH {LOG_LINES} SELECT file, CAST(max(end_byte) AS BIGINT) AS file_bytes FROM placed
+GROUP BY file HAVING max(end_byte) <= {FAR_OFFSET}""")
+def log_files_out_of_range(spark: SparkSession, sf: str) -> DataFrame:
+    return byte_ranges.files_out_of_range(spark, written_log(spark, sf), FAR_OFFSET).select(file_name(), "file_bytes")
+
+
 @query("""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
   strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS created FROM orders""")
 def catalog_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

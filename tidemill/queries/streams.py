@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.queries.events import MICRO_STAMP, stamp
-from tidemill.queries.files import log_lines
+from tidemill.queries.files import NUMBERED, file_name, log_lines
 from tidemill.queries.registry import query
 from tidemill.session import scratch_dir, settings, table
-from tidemill.sources import logs
+from tidemill.sources import byte_ranges, logs
 from tidemill.streaming import lifecycle, runs, upsert, usage
 
 WATERMARK = "1 hour"
@@ -104,3 +104,16 @@ def stream_log(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch_dir(spark, "segments")
     log_lines(spark, sf).select("value").write.text(folder)
     return results(spark, logs.stream_log(spark, folder), "log").select("value")
+
+
+@query(NUMBERED + "SELECT file, line_start AS start_byte, end_byte, value FROM numbered")
+def stream_growing_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log file per user that grows between two runs; the second goes on where the first one stopped."""
+    lines = log_lines(spark, sf)
+    folder, out, checkpoint = (scratch_dir(spark, f"growing-{x}") for x in ("log", "lines", "checkpoint"))
+    middle = F.lit(lines.agg(F.expr("floor((min(line_no) + max(line_no)) / 2)")).first()[0])
+    for part in (lines.where(F.col("line_no") <= middle), lines):
+        byte_ranges.write_lines(part, folder)
+        runs.run_to_files(byte_ranges.stream_lines(spark, folder, range_bytes=1 << 20), out, checkpoint)
+    return spark.read.schema("file string, start_byte bigint, end_byte bigint, value string").parquet(out).select(
+        file_name(), "start_byte", "end_byte", "value")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from tidemill.sources.byte_ranges import RANGE_BYTES, read_numbered
+
 TRIPLE = StructType([StructField(n, StringType()) for n in ("instruction", "input", "output")])
 QUESTION = StructType([StructField(n, StringType()) for n in ("question", "answer")])
 REPLY = StructType([StructField(n, StringType()) for n in ("input", "response")])
@@ -37,6 +39,28 @@ def read_examples(
     return select_split(spark.read.schema(schema).json(path), split)
 
 
+ROW_KEYS = ("row_id", "file", "line_no")
+
+
+def read_keyed_examples(
+    spark: SparkSession, path: str, schema: StructType, split: str | None = "train",
+    pattern: str = "*", range_bytes: int = RANGE_BYTES,
+) -> DataFrame:
+    """JSON lines with their identity: file, number of the line in it, and ``row_id``, which numbers
+    the lines of all files in the order of their paths.
+
+    The keys are the same however the files are cut into tasks, so a limit or a split by ``row_id`` takes the
+    same rows every time, equal rows included. Blank lines have numbers but give no rows. Every use of the result
+    reads the files anew; ``stage`` it where several passes follow, as for a limit.
+    """
+    clash = set(ROW_KEYS) & set(schema.names)
+    if clash:
+        raise ValueError(f"the examples have columns of their own named {', '.join(sorted(clash))}")
+    lines = read_numbered(spark, path, pattern, range_bytes=range_bytes).where("trim(BOTH ' \t\r' FROM value) <> ''")
+    rows = lines.select(*ROW_KEYS, F.from_json("value", schema).alias("__row")).select(*ROW_KEYS, "__row.*")
+    return select_split(rows, split)
+
+
 def read_table_examples(
     spark: SparkSession, name: str, split: str | None = "train"
 ) -> DataFrame:
