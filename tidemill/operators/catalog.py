@@ -1,7 +1,8 @@
 """Catalog tables: change logs, upserts, lookups, checks and cascades.
 
 The newest row per id is found with ``max_by``, which aggregates before the shuffle; an
-id with a great many versions costs one row per map task.
+id with a great many versions costs one row per map task. Of rows with one id and one sequence number the
+largest by their other columns counts, whatever the order they come in. Null is an id like any other.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 
 def list_view(df: DataFrame, columns: dict[str, str], created: str = "created_at") -> DataFrame:
@@ -26,7 +27,7 @@ def catalog_list(df: DataFrame) -> DataFrame:
 
 def catalog_get(df: DataFrame, id_col: str, value: object, seq_col: str) -> DataFrame:
     """The earliest row with the id; no row when there is none."""
-    return df.where(F.col(id_col) == F.lit(value)).orderBy(seq_col).limit(1)
+    return df.where(F.col(id_col) == F.lit(value)).orderBy(seq_col, tie_break(df, df.columns)).limit(1)
 
 
 def catalog_append(df: DataFrame, rows: DataFrame) -> DataFrame:
@@ -42,22 +43,43 @@ def age(seq_col: str) -> Column:
     return F.struct(F.col(seq_col).isNotNull(), F.col(seq_col))
 
 
+def has_order(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(has_order(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return has_order(kind.elementType)
+    return not isinstance(kind, (MapType, VariantType))
+
+
+def tie_break(df: DataFrame, columns: Sequence[str]) -> Column:
+    """An order among rows that are equal otherwise; columns without an order of their own go by their JSON text."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    parts = [F.col(f"`{c}`") if has_order(types[c]) else F.to_json(F.struct(F.col(f"`{c}`"))) for c in columns]
+    return F.struct(*(parts or [F.lit(0)]))
+
+
 def latest(df: DataFrame, key: Sequence[str], seq_col: str) -> DataFrame:
     """Newest row per key; rows without a sequence number are older than all others."""
     rest = [c for c in df.columns if c not in key]
-    newest = df.groupBy(*key).agg(F.max_by(F.struct(*rest), age(seq_col)).alias("__row"))
+    if all(has_order(df.schema[c].dataType) for c in rest):  # the row is its own tie break
+        row = F.max(F.struct(age(seq_col).alias("__age"), *[F.col(f"`{c}`") for c in rest]))
+    else:
+        row = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(age(seq_col), tie_break(df, rest)))
+    newest = df.groupBy(*key).agg(row.alias("__row"))
     return newest.select(*key, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def catalog_upsert(df: DataFrame, changes: DataFrame, id_col: str, seq_col: str) -> DataFrame:
     """Remove and append: the newest change replaces all rows of its id."""
     newest = latest(changes, [id_col], seq_col)
-    return df.join(newest.select(id_col), id_col, "left_anti").unionByName(newest)
+    ids = newest.select(F.col(id_col).alias("__id"))
+    return df.join(ids, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").unionByName(newest)
 
 
 def kv_latest(changes: DataFrame, key: str = "key", value: str = "value", seq_col: str = "seq") -> DataFrame:
     """Current key-value index from a change log; a null value removes the key."""
-    newest = changes.groupBy(key).agg(F.max_by(F.struct(value), age(seq_col)).alias("__v"))
+    order = F.struct(age(seq_col), tie_break(changes, [value]))
+    newest = changes.groupBy(key).agg(F.max_by(F.struct(value), order).alias("__v"))
     return newest.select(key, F.col(f"__v.{value}").alias(value)).where(F.col(value).isNotNull())
 
 
@@ -65,12 +87,17 @@ def status_sync(
     catalog: DataFrame, statuses: DataFrame, id_col: str, status: str = "status",
     updated: str = "updated_at",
 ) -> DataFrame:
-    """Catalog rows with the newest reported status, their own where none was reported."""
-    newest = statuses.groupBy(id_col).agg(
-        F.max_by(status, updated).alias("__s"), F.max(updated).alias("__u"))
+    """Catalog rows with the newest reported status, their own where none was reported.
+
+    A report without a time is older than all others, and leaves the catalog's time as it is.
+    """
+    order = F.struct(age(updated), tie_break(statuses, [status]))
+    newest = statuses.where(F.col(status).isNotNull()).groupBy(id_col).agg(
+        F.max_by(F.struct(status, updated), order).alias("__new"))
     return catalog.join(newest, id_col, "left").withColumns({
-        status: F.coalesce("__s", F.col(status)), updated: F.coalesce("__u", F.col(updated)),
-    }).drop("__s", "__u")
+        status: F.coalesce(f"__new.{status}", F.col(status)),
+        updated: F.coalesce(f"__new.{updated}", F.col(updated)),
+    }).drop("__new")
 
 
 def valid_refs(df: DataFrame, ref: DataFrame, key: str) -> DataFrame:
@@ -202,7 +229,8 @@ def insert_if_absent(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     rest = [c for c in rows.columns if c != key]
     whole = F.struct(*rest)
     once = rows.groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias("__row")).select(key, "__row.*")
-    return df.unionByName(once.join(df.select(key), key, "left_anti"))
+    there = df.select(F.col(key).alias("__key"))
+    return df.unionByName(once.join(there, F.col(key).eqNullSafe(F.col("__key")), "left_anti"))
 
 
 def stop_jobs(

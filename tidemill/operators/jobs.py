@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.catalog import age
+
 # States and limits of the service.
 RUNNING_STATES = ("running", "initializing")
 TERMINAL_STATES = ("completed", "failed", "stopped", "stopping", "terminated")
@@ -79,7 +81,7 @@ def fail_jobs(
 ) -> DataFrame:
     """Failed attempts are counted and kept; a job fails for good when they run out."""
     per_job = errors.groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("__n"), F.max_by("error", "seq").alias("__e"))
+        F.count(F.lit(1)).alias("__n"), F.max_by("error", F.struct(age("seq"), F.col("error"))).alias("__e"))
     joined = jobs.join(per_job, id_col, "left")
     attempts = F.coalesce("__n", F.lit(0))
     return joined.withColumns({
@@ -90,10 +92,11 @@ def fail_jobs(
 
 
 def latest_status(updates: DataFrame, id_col: str = "tune_id", seq_col: str = "seq") -> DataFrame:
-    """Newest status and progress, the highest progress, and the final markers."""
+    """Status and progress of the newest update, the highest progress, and the final markers."""
+    newest = F.max_by(F.struct("status", "progress"), F.struct(age(seq_col), F.col("status"), F.col("progress")))
     return updates.groupBy(id_col).agg(
-        F.max_by("status", seq_col).alias("status"),
-        F.max_by("progress", seq_col).alias("progress"),
+        newest["status"].alias("status"),
+        newest["progress"].alias("progress"),
         F.max("progress").alias("max_progress"),
         F.bool_or(F.col("status") == "completed").alias("done"),
         F.bool_or(F.col("status") == "failed").alias("failed"),

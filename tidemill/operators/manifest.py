@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.catalog import age
 from tidemill.session import settings_table
 
 # Inclusive shard ranges (worker, first, last).
@@ -86,9 +87,10 @@ def cleanup_plan(
 
 
 def merge_last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """Value of the latest shard per key."""
-    return df.groupBy(key).agg(
-        F.max_by(value, order).alias(value), F.max(order).alias(order))
+    """Value of the latest shard per key; of several values with one order the largest."""
+    last = F.max_by(F.struct(value, order), F.struct(age(order), F.col(value)))
+    return df.groupBy(key).agg(last.alias("__last")).select(
+        key, F.col(f"__last.{value}").alias(value), F.col(f"__last.{order}").alias(order))
 
 
 def first_match_rule(

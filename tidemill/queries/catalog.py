@@ -86,6 +86,35 @@ def status_sync(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.status_sync(entries(spark, sf), changes(spark, sf), "id", updated="seq")
 
 
+def tied(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of which many of one id have the same sequence number, or none."""
+    return changes(spark, sf).withColumn("seq", F.when(F.col("seq") % 5 > 0, F.floor(F.col("seq") / 4096))).withColumn(
+        "status", F.concat("status", F.col("id") % 3))
+
+
+TIED = """tied AS (SELECT o_custkey AS id, o_orderstatus || o_custkey % 3 AS status,
+  CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey // 4096 END AS seq FROM orders)"""
+
+
+@query(f"""WITH {TIED} SELECT * FROM tied QUALIFY row_number() OVER (
+  PARTITION BY id ORDER BY seq DESC NULLS LAST, status DESC) = 1""")
+def catalog_ties(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.latest(tied(spark, sf), ["id"], "seq")
+
+
+@query(f"""WITH {TIED}, some AS (SELECT CASE WHEN id % 7 > 0 THEN id END AS id, status, seq FROM tied),
+newest AS (SELECT * FROM some QUALIFY row_number() OVER (
+  PARTITION BY id ORDER BY seq DESC NULLS LAST, status DESC) = 1)
+SELECT * FROM newest UNION ALL SELECT * FROM (
+  SELECT CASE WHEN c_custkey % 9 > 0 THEN c_custkey END AS id, c_mktsegment AS status, -1 AS seq FROM customer)
+WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM newest WHERE id IS NOT NULL)""")
+def catalog_null_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The change without an id replaces the entries without one."""
+    some = tied(spark, sf).withColumn("id", F.when(F.col("id") % 7 > 0, F.col("id")))
+    old = entries(spark, sf).withColumn("id", F.when(F.col("id") % 9 > 0, F.col("id")))
+    return catalog.catalog_upsert(old, some, "id", "seq")
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def valid_refs(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang")
