@@ -161,3 +161,22 @@ def test_shuffle_differs_per_epoch_and_can_be_off(spark):
     assert order(enabled=False) == list(range(50))
     assert order(epoch=0) != order(epoch=1)
     assert order(epoch=1) == order(epoch=1)
+
+
+def test_epoch_places_are_permutations(spark):
+    from tidemill.operators.split import epoch_place, shuffle_ranked
+    sizes = spark.createDataFrame([(n,) for n in (1, 2, 3, 10, 97, 1000)], "total bigint")
+    ranked = sizes.withColumn("rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1)))
+    orders = {}
+    for epoch in (0, 1):
+        for r in shuffle_ranked(ranked, 42, epoch).collect():
+            orders.setdefault((r["total"], epoch), {})[r["rank"]] = r["place"]
+    for (total, epoch), places in orders.items():
+        assert sorted(places.values()) == list(range(total))
+        if total >= 97:
+            assert sum(places[i] == i for i in places) < 8 and places != orders[total, 1 - epoch]
+            near = sum(abs(places[i] - places[i + 1]) <= total // 20 for i in range(total - 1))
+            assert near < 0.25 * total  # neighbours part
+    huge = spark.range(1).select(epoch_place(F.lit(2**61 - 5), 2**61, 7, 3).alias("p")).first()["p"]
+    assert 0 <= huge < 2**61
+    assert "Exchange" not in shuffle_ranked(ranked.drop("x"), 42, 1)._jdf.queryExecution().executedPlan().toString()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 from decimal import Decimal
 
@@ -242,17 +243,37 @@ def test_shared_and_unowned_shards(spark):
     assert got == [(4, 0), (4, 1), (15, 3), (16, 4)]
 
 
-@pytest.mark.parametrize("width", [1, 3, 1000])
-def test_range_join_equals_brute_force(spark, width):
+@pytest.mark.parametrize("spread", [1, 5])
+def test_range_join_equals_brute_force(spark, spread):
     rng = random.Random(5)
     ranges = [(i, lo, lo + rng.randrange(40)) for i, lo in enumerate(rng.sample(range(-50, 200), 25))]
+    ranges += [(90, -2**31, 2**31 - 1), (91, 9, 8), (92, None, 5), (93, 0, 0)]
     points = [rng.randrange(-60, 260) for _ in range(100)] + [7] * 50
     table = settings_table(spark, ranges, {"worker": pa.int32(), "lo": pa.int32(), "hi": pa.int32()})
-    got = manifest.range_join(spark.createDataFrame([(p,) for p in points], "p int"), table, "p", width)
+    got = manifest.range_join(
+        spark.createDataFrame([(p,) for p in [*points, None]], "p int"), table, "p", spread)
+    ranges = [r for r in ranges if r[1] is not None]
     assert rows(got, "p", "worker") == sorted(
         (p, w) for p in points for w, lo, hi in ranges if lo <= p <= hi)
 
 
+def test_wide_ranges_have_few_cells(spark):
+    rng = random.Random(6)
+    ends = [(0, 50_000_000), (1, 50_000_000), (-7, 2**61), (5, 5), (3, 2), (-2**40, -1)]
+    ends += [tuple(sorted((rng.randrange(-300, 300), rng.randrange(-300, 300)))) for _ in range(100)]
+    df = spark.createDataFrame(ends, "lo bigint, hi bigint").select(
+        "lo", "hi", manifest.dyadic_cells(F.col("lo"), F.col("hi")).alias("cells"))
+    for r in df.collect():
+        spans = sorted((c["cell"] << c["level"], ((c["cell"] + 1) << c["level"]) - 1) for c in r["cells"])
+        assert len(spans) <= 2 * max(1, (r["hi"] - r["lo"] + 1).bit_length()) and len(spans) < 130
+        at = r["lo"]
+        for low, high in spans:
+            assert low == at
+            at = high + 1
+        assert at == max(r["lo"], r["hi"] + 1)
+        assert len(spans) < 60 or r["hi"] > 2**50
+
+
 def test_file_without_a_number(spark):
     df = spark.createDataFrame([("model-00004-of-00030.safetensors",), ("config.json",)], "f string")
     assert [r["n"] for r in df.select(manifest.shard_number(F.col("f")).alias("n")).collect()] == [4, None]
@@ -426,3 +447,15 @@ def test_values_below_a_cent_count(spark):
                    " FROM range(2)")
     assert events.sliding_avg(df, 1, 60).first()["avg_value"] == 0.004
     assert events.session_events(df, 60).first()["total_value"] == 0.008
+
+
+def test_sharded_loss_is_stable(spark):
+    from tidemill.operators import metrics
+    rows = [(0, 0, [1000.0, -1000.0]), (0, 2, [999.0, 1000.0]), (1, 0, [float("-inf")] * 2), (1, 2, [-1e6]),
+            (2, 0, [0.0]), (2, 1, []), (3, 0, [5.0, 5.0])]
+    labels = {0: 3, 1: 2, 2: 0, 3: 7}
+    df = spark.createDataFrame([(t, f, x, labels[t]) for t, f, x in rows],
+                               "token bigint, first int, logits array<double>, label int")
+    got = {r["token"]: (r["nll"], r["correct"]) for r in metrics.token_nll_sharded(df, ["token"]).collect()}
+    assert got[0][0] == pytest.approx(math.log(2 + math.exp(-1))) and got[0][1] == 0  # the first of the largest
+    assert got[1] == (0.0, 1) and got[2] == (0.0, 1) and got[3][0] is None

@@ -42,26 +42,64 @@ def range_table(
         spark, ranges, {"worker": pa.int32(), "lo": pa.int32(), "hi": pa.int32()})
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, width: int) -> DataFrame:
-    """Points with the inclusive ranges they lie in.
+#: Levels of cells: one of level i holds 2**i values. Ranges of up to 2**62 values are cut into whole cells.
+TOP_LEVEL = 62
+#: Groups that the ranges of one cell are spread over, so that a busy cell is not one task's.
+SPREAD = 8
 
-    Ranges are spread over fixed-width cells, so this is an equality join on the cell with
-    a check behind it, not a comparison of every point with every range.
+
+def dyadic_cells(lo: Column, hi: Column) -> Column:
+    """Whole cells, as (level, cell), that make up the range from ``lo`` to ``hi``: two of each level at most.
+
+    The smallest cells come from both ends: a cell of a level is taken where the range does not go on
+    with its sibling, until nothing is left. Cell ``c`` of level ``i`` is the values ``c << i`` to ``((c + 1) << i) - 1``.
+    """
+    cell = "struct<level:int,cell:bigint>"
+    state = F.struct(lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"),
+                     F.array().cast(f"array<{cell}>").alias("cells"))
+
+    def take(when: Column, level: Column, at: Column) -> Column:
+        made = F.array(F.struct(level.cast("int").alias("level"), at.alias("cell")).cast(cell))
+        return F.when(when, made).otherwise(F.array().cast(f"array<{cell}>"))
+
+    def step(acc: Column, level: Column) -> Column:
+        low, high = acc["lo"], acc["hi"]
+        inside = low <= high
+        left = inside & (low.bitwiseAND(F.lit(1)) == 1)
+        right = inside & (high.bitwiseAND(F.lit(1)) == 0) & ~(left & (low == high))
+        return F.struct(
+            F.when(inside, F.shiftright(low, 1) + F.when(left, 1).otherwise(0)).otherwise(low).alias("lo"),
+            F.when(inside, F.shiftright(high, 1) - F.when(right, 1).otherwise(0)).otherwise(high).alias("hi"),
+            F.concat(acc["cells"], take(left, level, low), take(right, level, high)).alias("cells"))
+
+    levels = F.sequence(F.lit(0), F.lit(TOP_LEVEL))
+    return F.aggregate(levels, state, step, lambda acc: acc["cells"])
+
+
+def range_join(points: DataFrame, ranges: DataFrame, point: str, spread: int = SPREAD) -> DataFrame:
+    """Points with the inclusive ranges of integers they lie in.
+
+    A range is cut into dyadic cells, at most two for each power of two of its width. A point has one cell on
+    each level that occurs, so this is an equality join on (level, cell), and every pair it gives is right: a point
+    lies in one cell of a range at most, and a cell in its range whole. Points of one cell are spread by a hash, and the cell's
+    ranges copied to these groups.
     """
-    cell = "__cell"
-    spread = ranges.withColumn(cell, F.explode(F.sequence(
-        F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    return (
-        points.withColumn(cell, F.floor(F.col(point) / width))
-        .join(spread, cell)
-        .where(F.col(point).between(F.col("lo"), F.col("hi")))
-        .drop(cell)
-    )
-
-
-def assign_shards(shards: DataFrame, ranges: DataFrame, shard: str = "shard", width: int = 8) -> DataFrame:
+    marks = ["__level", "__cell", "__group"]
+    cells = ranges.withColumn("__c", F.explode(dyadic_cells(F.col("lo"), F.col("hi"))))
+    cut = cells.select(*[F.col(f"`{c}`") for c in ranges.columns], F.col("__c.level").alias("__level"),
+                       F.col("__c.cell").alias("__cell"),
+                       F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("__group"))
+    used = ranges.select(F.explode(dyadic_cells(F.col("lo"), F.col("hi"))).alias("__c")).agg(
+        F.array_sort(F.collect_set("__c.level")).alias("levels"))  # 63 at most
+    placed = points.withColumn("__level", F.explode(used.scalar())).withColumns({
+        "__cell": F.call_function("shiftright", F.col(point).cast("bigint"), F.col("__level")),
+        "__group": F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), F.lit(spread)).cast("int")})
+    return placed.join(cut, marks).drop(*marks)
+
+
+def assign_shards(shards: DataFrame, ranges: DataFrame, shard: str = "shard") -> DataFrame:
     """(shard, worker) pairs; ranges that overlap give a shard to both workers."""
-    return range_join(shards, ranges, shard, width).drop("lo", "hi")
+    return range_join(shards, ranges, shard).drop("lo", "hi")
 
 
 def copy_plan(

@@ -6,6 +6,8 @@ is spread over the tasks that read it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,36 @@ def token_nll(logits: Column, label: Column) -> Column:
     return top + F.log(total) - F.element_at(values, label.cast("int") + 1)
 
 
+def token_nll_sharded(
+    pieces: DataFrame, keys: Sequence[str], first: str = "first", logits: str = "logits", label: str = "label",
+) -> DataFrame:
+    """Columns nll and correct per token, from pieces of its row of logits.
+
+    A piece holds the logits of the classes from ``first`` on, so no array is as long as the vocabulary. It is reduced to its
+    largest logit, the sum of exponentials in terms of that, and the label's logit if it is there; those of one token are
+    brought to the largest of all and added. As with a whole row, of equal logits the first class counts.
+    """
+    values = F.col(logits).cast("array<double>")
+    at = F.col(label).cast("bigint") - F.col(first)
+    here = (at >= 0) & (at < F.size(logits))
+    top = F.array_max(values)
+    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+    reduced = pieces.where(F.size(logits) > 0).select(
+        *keys, F.col(label).alias("__label"), top.alias("__top"),
+        F.when(top > float("-inf"), total).otherwise(0.0).alias("__total"),
+        (F.array_position(values, top) - 1 + F.col(first)).alias("__class"),
+        F.when(here, F.get(values, at.cast("int"))).alias("__own"))
+    per_token = reduced.groupBy(*keys).agg(
+        F.max("__top").alias("__all"), F.collect_list(F.struct("__top", "__total")).alias("__parts"),
+        F.max("__own").alias("__own"), F.max("__label").alias("__label"),
+        F.max_by("__class", F.struct(F.col("__top"), -F.col("__class"))).alias("__class"))
+    scaled = F.aggregate("__parts", F.lit(0.0), lambda acc, p: acc + F.when(
+        p["__total"] > 0, p["__total"] * F.exp(p["__top"] - F.col("__all"))).otherwise(0.0))
+    return per_token.select(
+        *keys, (F.col("__all") + F.log(scaled) - F.col("__own")).alias("nll"),
+        (F.col("__class") == F.col("__label")).cast("int").alias("correct"))
+
+
 def is_correct(logits: Column, label: Column) -> Column:
     """The first largest logit is the label's."""
     return (F.array_position(logits, F.array_max(logits)) - 1 == label).cast("int")

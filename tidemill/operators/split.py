@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.plans.order import Ordering, by_hash, dense_rank, mark_first
@@ -32,3 +32,39 @@ def shuffle_order(
     """Adds ``rank``: a new pseudo-random order per epoch, or the given one when off."""
     chosen = by_hash(key, seed, epoch) if enabled else ordering
     return dense_rank(df, chosen, "rank", keys)
+
+
+PRIME = (1 << 31) - 1
+SWAP_ROUNDS = 48
+
+
+def epoch_place(rank: Column, rows: Column | int, seed: int, epoch: Column | int = 0,
+                rounds: int = SWAP_ROUNDS) -> Column:
+    """A keyed permutation of 0 to ``rows`` - 1, a new one per seed and epoch, by arithmetic alone.
+
+    In each round a number and its mirror image about a point that depends on the round change places or not; a hash of
+    the larger of the two decides, so both decide alike and every round is one to one. With the rank of
+    each row known once, any epoch's order is a projection: nothing is ranked or moved again. Good for up to 2**62 rows.
+    """
+    whole, prime = F.lit(rows).cast("bigint") if isinstance(rows, int) else rows.cast("bigint"), F.lit(PRIME).cast("bigint")
+    number = F.lit(epoch).cast("bigint") if isinstance(epoch, int) else epoch.cast("bigint")
+    key = F.pmod(F.lit(seed % PRIME) * F.lit(48271).cast("bigint") + F.pmod(number, prime) * 69621, prime)
+
+    def mixed(x: Column) -> Column:
+        return F.pmod(x * x + F.shiftright(x, 3) + 40692, prime)
+
+    def turn(x: Column, r: Column) -> Column:
+        own = mixed(mixed(F.pmod(key + r * 39373, prime)))
+        mirror = F.pmod(F.pmod(own * PRIME + mixed(own + 1), whole) - x, whole)
+        larger = F.greatest(x, mirror)
+        high = F.pmod(F.shiftright(larger, 31) * 742938285, prime)
+        decides = mixed(mixed(F.pmod(F.pmod(larger, prime) + high + own, prime)))
+        return F.when(F.pmod(F.shiftright(decides, 11), F.lit(2)) == 1, mirror).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), rank.cast("bigint"), turn)
+
+
+def shuffle_ranked(df: DataFrame, seed: int, epoch: int, rank: str = "rank", rows: str = "total",
+                   out: str = "place") -> DataFrame:
+    """Adds the place of every row in an epoch's order, from its rank and the number of rows."""
+    return df.withColumn(out, epoch_place(F.col(rank), F.col(rows), seed, epoch))

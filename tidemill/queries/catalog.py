@@ -102,8 +102,8 @@ def catalog_ties(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.latest(tied(spark, sf), ["id"], "seq")
 
 
-@query(f"""WITH {TIED}, some AS (SELECT CASE WHEN id % 7 > 0 THEN id END AS id, status, seq FROM tied),
-newest AS (SELECT * FROM some QUALIFY row_number() OVER (
+@query(f"""WITH {TIED}, partly AS (SELECT CASE WHEN id % 7 > 0 THEN id END AS id, status, seq FROM tied),
+newest AS (SELECT * FROM partly QUALIFY row_number() OVER (
   PARTITION BY id ORDER BY seq DESC NULLS LAST, status DESC) = 1)
 SELECT * FROM newest UNION ALL SELECT * FROM (
   SELECT CASE WHEN c_custkey % 9 > 0 THEN c_custkey END AS id, c_mktsegment AS status, -1 AS seq FROM customer)

@@ -52,6 +52,18 @@ def token_nll(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scored(predictions(spark, sf)).select("vec_id", "nll", "correct"), "nll")
 
 
+PIECE = 24
+
+
+@query(f"WITH {SCORED} SELECT vec_id, round(nll, 6) AS nll, CAST(correct AS INTEGER) AS correct FROM scored")
+def token_nll_sharded(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of logits in pieces, the last of which is shorter."""
+    cuts = F.sequence(F.lit(0), F.size("logits") - 1, F.lit(PIECE))
+    pieces = predictions(spark, sf).withColumn("first", F.explode(cuts)).withColumn(
+        "logits", F.slice("logits", F.col("first") + 1, F.lit(PIECE)))
+    return rounded(metrics.token_nll_sharded(pieces, ["vec_id"]), "nll")
+
+
 def seq_mean_sql(value: str, out: str, mask: str = "mask") -> str:
     return f"""seqs AS (SELECT seq_id, sum(CASE WHEN {mask} > 0 THEN {value} ELSE 0 END)
     / greatest(CAST(sum({mask}) AS DOUBLE), 1e-10) AS r FROM scored GROUP BY seq_id)

@@ -295,6 +295,31 @@ def shuffle_epoch(spark: SparkSession, sf: str) -> DataFrame:
         expanded, by_hash(["example_id"], SEED, F.col("epoch")), keys=["epoch"])
 
 
+def place_sql(rank: str, rows: str, epoch: str) -> str:
+    """The rounds of ``epoch_place`` over a list that begins with the rank."""
+    p = split.PRIME
+    mixed = lambda x: f"((({x}) * ({x}) + (({x}) >> 3) + 40692) % {p})"
+    own = mixed(mixed(f"(({SEED % p} * 48271 + ({epoch}) * 69621) % {p} + r * 39373) % {p}"))
+    step = f"""list_transform(list_transform(list_transform([{{'x': x, 'own': CAST({own} AS BIGINT)}}],
+  lambda s: {{'x': s.x, 'own': s.own, 'm': ((s.own * {p} + {mixed('s.own + 1')}) % {rows} - s.x + {rows}) % {rows}}}),
+  lambda s: {{'x': s.x, 'm': s.m, 'h': (greatest(s.x, s.m) % {p}
+    + (greatest(s.x, s.m) >> 31) * 742938285 % {p} + s.own) % {p}}}),
+  lambda s: CASE WHEN ({mixed(mixed('s.h'))} >> 11) % 2 = 1 THEN s.m ELSE s.x END)[1]"""
+    return f"list_reduce(list_prepend(CAST({rank} AS BIGINT), range(1, {split.SWAP_ROUNDS + 1})), lambda x, r: {step})"
+
+
+@query(f"""WITH {PAIRS}, n AS (SELECT example_id, row_number() OVER (ORDER BY conv_id, turn) - 1 AS rank,
+  count(*) OVER () AS total FROM pairs)
+SELECT example_id, CAST(range AS INTEGER) AS epoch, CAST({place_sql('rank', 'total', 'range')} AS BIGINT) AS place
+FROM n, range(2)""")
+def epoch_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked once; the orders of two epochs are arithmetic on the stored ranks."""
+    ranked = stage(dense_rank(pairs(spark, sf).select("example_id", "conv_id", "turn"),
+                              by_id_pair("conv_id", "turn"), total="total"), "ranked")
+    epochs = [split.shuffle_ranked(ranked, SEED, e).withColumn("epoch", F.lit(e)) for e in range(2)]
+    return epochs[0].unionByName(epochs[1]).select("example_id", "epoch", "place")
+
+
 @query(f"""WITH {PAIRS} SELECT example_id,
   row_number() OVER (ORDER BY conv_id, turn) - 1 AS rank FROM pairs""")
 def shuffle_off(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from tidemill.queries.files import NUMBERED, file_name, log_lines
 from tidemill.queries.registry import query
 from tidemill.session import scratch_dir, settings, table
 from tidemill.sources import byte_ranges, logs
-from tidemill.streaming import lifecycle, runs, upsert, usage
+from tidemill.streaming import late, lifecycle, runs, upsert, usage
 
 WATERMARK = "1 hour"
 SECONDS = "yyyy-MM-dd HH:mm:ss"
@@ -60,6 +60,19 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
         F.col("total_value").cast("double").alias("total_value"))
 
 
+@query(f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n
+FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {CLOSED} GROUP BY ALL""")
+def stream_late_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events come in no order, in four batches; what is too late for its window is added to it."""
+    folder = scratch_dir(spark, "shuffled")
+    events = table(spark, sf, "events")
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(folder)
+    shuffled = runs.event_stream(spark, folder, events.schema, files_per_trigger=1)
+    with settings(spark, lifecycle.STATE_STORE):
+        counts = results(spark, late.counts_and_corrections(shuffled, 86400, WATERMARK), "late")
+    return late.corrected(counts).select(stamp("window_start"), "event_type", "n")
+
+
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every event is sent twice."""
