@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.rows import stored
 from tidemill.session import stage
 
-EDITS = 1
+EDITS = 2
 MIN_CHARS = 20
 CROWD = 64
 #: Places in a text stay below this.
@@ -206,6 +206,15 @@ def without_common_ends(pairs: DataFrame) -> DataFrame:
     return tailed.withColumns({"a_mid": middle("a"), "b_mid": middle("b")})
 
 
+def maybe_within(shorter: Column, longer: Column, edits: int) -> Column:
+    """False only for arrays of characters that are further apart: an edit brings or takes away one kind at most.
+
+    Both ends of the middles differ, so a middle of several characters takes two edits.
+    """
+    ends = (F.size(longer) <= 1) if edits == 1 else F.lit(True)
+    return ends & (F.size(F.array_except(shorter, longer)) <= edits) & (F.size(F.array_except(longer, shorter)) <= edits)
+
+
 def within(shorter: Column, longer: Column, edits: int) -> Column:
     """Whether two lines are within ``edits``; arguments are arrays of characters, at most ``edits`` apart in length.
 
@@ -270,15 +279,15 @@ def repeated(marked: DataFrame, edits: int, crowd: int) -> DataFrame:
         pairs = pairs.join(lines.select(F.col("id").alias(side), F.col("line").alias(f"{side}_line"),
                                         F.col("n").alias(f"{side}_n"), F.col("first").alias(f"{side}_first")), side)
     cut = without_common_ends(pairs.filter(F.abs(F.col("a_n") - F.col("b_n")) <= edits))
-    if edits == 1:  # both ends of the middle differ, so one edit is all of it
-        cut = cut.filter((F.char_length("a_mid") <= 1) & (F.char_length("b_mid") <= 1))
     a_short = F.col("a_n") <= F.col("b_n")
-    chars = cut.select(
-        F.split(F.when(a_short, F.col("a_mid")).otherwise(F.col("b_mid")), "").alias("shorter"),
-        F.split(F.when(a_short, F.col("b_mid")).otherwise(F.col("a_mid")), "").alias("longer"),
-        F.greatest("a_first", "b_first").alias("first"))
-    chars = chars.select(*[F.filter(c, lambda x: x != "").alias(c) for c in ("shorter", "longer")], "first")
-    return chars.filter(within(F.col("shorter"), F.col("longer"), edits)).select("first.*").distinct()
+    # stored, or the expressions of the middles would be worked out anew at every step of the band
+    middles = stage(cut.select(
+        F.when(a_short, F.col("a_mid")).otherwise(F.col("b_mid")).alias("shorter"),
+        F.when(a_short, F.col("b_mid")).otherwise(F.col("a_mid")).alias("longer"),
+        F.greatest("a_first", "b_first").alias("first")).filter(F.char_length("longer") > 0), "middles")
+    chars = middles.select(*[F.filter(F.split(c, ""), lambda x: x != "").alias(c) for c in ("shorter", "longer")], "first")
+    close = stage(chars.filter(maybe_within(F.col("shorter"), F.col("longer"), edits)), "close-middles")
+    return close.filter(within(F.col("shorter"), F.col("longer"), edits)).select("first.*").distinct()
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:

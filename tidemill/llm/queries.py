@@ -88,14 +88,14 @@ def op5_sequence_files(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-LONG = line_dedup.MIN_CHARS
+LONG, EDITS = line_dedup.MIN_CHARS, line_dedup.EDITS
 LINES = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
   generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l),
 f AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS first FROM t WHERE length(line) >= {LONG} GROUP BY line),
-g AS (SELECT *, unnest([n - 1, n, n + 1]) AS like_n FROM f),
+g AS (SELECT *, unnest(range(n - {EDITS}, n + {EDITS + 1})) AS like_n FROM f),
 near AS (SELECT DISTINCT g.line FROM g JOIN f ON f.n = g.like_n AND f.first < g.first
-  AND levenshtein(f.line, g.line) <= 1),
+  AND levenshtein(f.line, g.line) <= {EDITS}),
 k AS (SELECT t.*, length(t.line) >= {LONG} AS is_long, length(t.line) < {LONG} OR coalesce(
   (t.doc_id, t.pos) = f.first AND t.line NOT IN (SELECT line FROM near), false) AS stays
   FROM t LEFT JOIN f ON t.line = f.line),
