@@ -288,11 +288,11 @@ def link_components(entries: DataFrame, sets: DataFrame, docs: DataFrame, words:
         links = found if links is None else links.unionByName(found)
         if found.limit(1).count():
             work = relabelled(work, links)
-    rest = work.select("bucket", "cid", "n", "comp").join(sets.select("cid", "parity"), "cid")
+    # narrow rows only: the parities come to each pair once, when it is verified
+    rest = work.select("bucket", "cid", "n", "comp")
     other = rest.select(*[F.col(c).alias(f"{c}_") for c in rest.columns])
     pairs = rest.join(other, (F.col("bucket") == F.col("bucket_")) & (F.col("cid") < F.col("cid_"))
-                      & (F.col("comp") != F.col("comp_")) & sizes_allow(F.col("n"), F.col("n_"), percent)
-                      & close_enough(F.col("parity"), F.col("parity_"), F.col("n") + F.col("n_"), percent))
+                      & (F.col("comp") != F.col("comp_")) & sizes_allow(F.col("n"), F.col("n_"), percent))
     pairs = stage(pairs.select(F.col("cid").alias("a"), F.col("cid_").alias("b")).distinct()
                   .join(done, ["a", "b"], "left_anti"), "pairs")
     return components(links.unionByName(verified(pairs, sets, docs, words, percent)))
