@@ -50,6 +50,8 @@ COMMON_MOST = 1 << 18
 BROADCAST_SETS = 200_000
 #: Rounds in which each bucket is compared with one central member.
 ROUNDS = 4
+#: Entries are written anew with their components when so large a part of the sets (one in ...) has found a link.
+RELABEL_SHARE = 200
 
 
 def shingle_set(text: bytes, known: WordHashes, words: int) -> np.ndarray:
@@ -234,6 +236,20 @@ def folded(a: Column) -> Column:
     return F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
 
+SHORT = [f"parity{i}" for i in range(4)]
+
+
+def short_parity() -> list[Column]:
+    """Parity of a set in 256 bits: the places of the longer ones, taken modulo 256."""
+    steps = F.sequence(F.lit(0), (F.size("parity") / 4).cast("int") - 1)
+
+    def word(i: int) -> Column:
+        own = F.aggregate(steps, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.get("parity", k * 4 + i)))
+        return F.when(F.size("parity") > 0, own).otherwise(F.lit(0).cast("long"))
+
+    return [word(i).alias(name) for i, name in enumerate(SHORT)]
+
+
 def close_enough(a: Column, b: Column, n: Column, percent: int) -> Column:
     """Whether sets with these parities and ``n`` shingles together can link.
 
@@ -271,7 +287,7 @@ def link_components(entries: DataFrame, sets: DataFrame, docs: DataFrame, words:
     # the larger the share of its shingles that others have, too, the more central a set is among its near copies
     central = entries.groupBy("cid").agg((F.count("*") / F.first("n")).alias("weight"))
     work = stage(entries.join(central, "cid").withColumn("comp", F.col("cid")), "entries")
-    done = None
+    done, new, n_sets = None, 0, sets.count()
     for round_ in range(rounds):
         rank = F.struct(F.lit(0.0) if round_ else F.col("weight"), F.xxhash64("cid", F.lit(round_)))
         heads = work.groupBy("bucket").agg(F.max_by(F.struct("cid", "n", "comp"), rank).alias("head"))
@@ -286,13 +302,17 @@ def link_components(entries: DataFrame, sets: DataFrame, docs: DataFrame, words:
             break
         found = verified(pairs, sets, docs, words, percent)
         links = found if links is None else links.unionByName(found)
-        if found.limit(1).count():
-            work = relabelled(work, links)
-    # narrow rows only: the parities come to each pair once, when it is verified
-    rest = work.select("bucket", "cid", "n", "comp")
+        new += found.count()
+        if new * RELABEL_SHARE >= n_sets:  # a few links more change hardly any label
+            work, new = relabelled(work, links), 0
+    # parities of four words here; the whole ones come to each pair once, when it is verified
+    rest = work.select("bucket", "cid", "n", "comp").join(sets.select("cid", *short_parity()), "cid")
     other = rest.select(*[F.col(c).alias(f"{c}_") for c in rest.columns])
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in SHORT[1:]),
+                 F.bit_count(F.col(SHORT[0]).bitwiseXOR(F.col(f"{SHORT[0]}_"))))
     pairs = rest.join(other, (F.col("bucket") == F.col("bucket_")) & (F.col("cid") < F.col("cid_"))
-                      & (F.col("comp") != F.col("comp_")) & sizes_allow(F.col("n"), F.col("n_"), percent))
+                      & (F.col("comp") != F.col("comp_")) & sizes_allow(F.col("n"), F.col("n_"), percent)
+                      & (differ * (100 + percent) <= (F.col("n") + F.col("n_")) * (100 - percent)))
     pairs = stage(pairs.select(F.col("cid").alias("a"), F.col("cid_").alias("b")).distinct()
                   .join(done, ["a", "b"], "left_anti"), "pairs")
     return components(links.unionByName(verified(pairs, sets, docs, words, percent)))
