@@ -89,6 +89,13 @@ def exact_neighbours_all(rows, q):
     return [(j, sum(x * y for x, y in zip(a, b))) for j, b in rows if j != q]
 
 
+def test_double_vectors_are_scored_as_they_are(spark):
+    rows = [[i, [1 + i * 1e-9, 1.0]] for i in range(30)]
+    got = neighbours.nearest(frame(spark, rows, "vec_id long, embedding array<double>"), 3,
+                             queries=F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, rows[i][1][0] + 1.0) for i in (29, 28, 27)]
+
+
 def test_few_neighbours(spark):
     rows = vectors(9)
     got = neighbours.nearest(frame(spark, rows, VECTORS), 20, queries=F.col("vec_id") % 20 == 0).collect()
@@ -138,6 +145,19 @@ def test_pii_base_and_more(spark):
     assert got[len(texts) - 1]["spans"] == "" and pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_long_runs_of_digits():
+    import time
+    for text in ("1" * 1_000_000, "1." * 400_000, "1 " * 400_000, "9" * 300_000 + ".1.1.1", "+1" + "2" * 500_000):
+        begun = time.process_time()
+        spans = pii.spans_of(text)
+        assert time.process_time() - begun < 5
+        if "." in text and len(text) < 400_000:
+            assert spans == []
+    for text in ("12.3.4.5", "1.2.3.4.5.6.7.8", "0001.2.3.255", "1.2.3.4444.5.6.7", "5.1.2.3.4..1.2.3.4"):
+        assert [x for x in pii.spans_of(text) if x[1] == 1] == [
+            s for s in brute.base_spans(text) if s[1] == 1]
+
+
 def test_long_keys():
     account = pii.KINDS.index("account")
     for n in (8, 128, 129, 256, 5000):

@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tidemill.session import stage
 
@@ -187,7 +188,11 @@ def in_lists(rows: DataFrame, graph, longest: float, closure: float, copies: int
                     pa.array(np.concatenate(lists), pa.int32()), pa.array(np.concatenate(first))],
                     names=["vec_id", "vector", "list", "nearest"])
 
-    return rows.mapInArrow(assign, "vec_id long, vector array<float>, list int, nearest boolean")
+    return rows.mapInArrow(assign, f"vec_id long, vector {kind_of(rows)}, list int, nearest boolean")
+
+
+def kind_of(rows: DataFrame) -> str:
+    return rows.schema["vector"].dataType.simpleString()
 
 
 def read_lists(queries: DataFrame, graph, sizes, longest: float, ratio: float, k: int) -> DataFrame:
@@ -216,7 +221,7 @@ def read_lists(queries: DataFrame, graph, sizes, longest: float, ratio: float, k
                                        pa.array(np.concatenate(lists), pa.int32())],
                                       names=["vec_id", "vector", "list"])
 
-    return queries.mapInArrow(choose, "vec_id long, vector array<float>, list int")
+    return queries.mapInArrow(choose, f"vec_id long, vector {kind_of(queries)}, list int")
 
 
 def best_in_block(k: int):
@@ -260,8 +265,9 @@ def nearest(vectors: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str
     ``queries`` is a condition on ``vec_id``; without it all rows are queries.
     """
     spark = vectors.sparkSession
+    kind = "array<float>" if vectors.schema[vector].dataType == ArrayType(FloatType(), True) else "array<double>"
     rows, dim = usable(vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"),
-                                      F.col(f"`{vector}`").cast("array<float>").alias("vector")))
+                                      F.col(f"`{vector}`").cast(kind).alias("vector")))
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     facts = rows.agg(F.count("*").alias("n"), F.max(square).alias("square")).first()
     if not facts["n"]:
