@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,25 @@ def collate(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
         *[F.col(f"__rows.{c}").alias(c) for c in columns])
 
 
+def pad_batches(df: DataFrame, fills: dict[str, int], length: int | None = None) -> DataFrame:
+    """Rows of collated arrays padded with the value of their column, to ``length`` or the batch's longest row.
+
+    Rows of one place are equally long in all columns. Longer ones than ``length`` are an error.
+    """
+    longest = F.array_max(F.transform(F.col(next(iter(fills))), lambda r: F.size(r)))
+    if length is not None:
+        too_long = F.raise_error(F.concat(F.lit(f"a row is longer than {length}: "), longest.cast("string"))).cast("int")
+        longest = F.when(longest > length, too_long).otherwise(F.lit(length))
+
+    def padded(column: str, fill: int, kind: str) -> Column:
+        value = F.lit(fill).cast(kind)
+        return F.transform(F.col(column), lambda r: F.concat(r, F.array_repeat(value, F.col("__longest") - F.size(r))))
+
+    kinds = {c: df.schema[c].dataType.elementType.elementType.simpleString() for c in fills}
+    return df.withColumn("__longest", longest).withColumns(
+        {c: padded(c, v, kinds[c]) for c, v in fills.items()}).drop("__longest")
+
+
 def assign_dp_shards(df: DataFrame, batch_size: int, shards: int) -> DataFrame:
     """Contiguous blocks of each batch, one per data-parallel device."""
     if shards <= 0 or batch_size % shards:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,9 +53,9 @@ def pad_examples(df: DataFrame, config: PrepConfig) -> DataFrame:
 
 def prepare(
     df: DataFrame, config: PrepConfig, tokenizer: tk.Tokenizer, key: Sequence[str],
-    ordering: Ordering | None = None,
+    ordering: Ordering | None = None, pad: bool = True,
 ) -> DataFrame:
-    """Limit, split, format, encode, label and pad in one plan; ragged without ``max_seq_length``.
+    """Limit, split, format, encode, label and pad in one plan; ragged without ``max_seq_length`` or ``pad``.
 
     The limit and the split work on the key columns only; formatting and encoding are
     one projection over the example rows, which are never shuffled here.
@@ -69,6 +70,6 @@ def prepare(
         fields.insert(1, "input")
     prompt, response = template(config.template)(*[F.col(f) for f in fields])
     encoded = encode_examples(shaped, prompt, response, config, tokenizer)
-    return pad_examples(encoded, config).select(
+    return pad_examples(encoded, config if pad else replace(config, max_seq_length=None)).select(
         *key, "split", "input_ids", "labels", "prompt_length", "response_length",
         "n_tokens", "n_supervised")

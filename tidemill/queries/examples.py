@@ -15,6 +15,7 @@ from tidemill.queries.registry import query
 from tidemill.session import scratch_dir, stage, table
 from tidemill.sources import byte_ranges
 from tidemill.sources import examples as src
+from tidemill.sources.training import training_batches
 
 SEED = 42
 TEST_FRACTION = 0.15
@@ -100,6 +101,19 @@ def encoded(spark: SparkSession, sf: str, limit: int | None, mask_prompt: bool =
     return prepare.encode_examples(df, prompt, response, config(limit, mask_prompt), TOKENIZER)
 
 
+def place_sql(rank: str, rows: str, epoch: str) -> str:
+    """The rounds of ``epoch_place`` over a list that begins with the rank."""
+    p = split.PRIME
+    mixed = lambda x: f"((({x}) * ({x}) + (({x}) >> 3) + 40692) % {p})"
+    own = mixed(mixed(f"(({SEED % p} * 48271 + ({epoch}) * 69621) % {p} + r * 39373) % {p}"))
+    step = f"""list_transform(list_transform(list_transform([{{'x': x, 'own': CAST({own} AS BIGINT)}}],
+  lambda s: {{'x': s.x, 'own': s.own, 'm': ((s.own * {p} + {mixed('s.own + 1')}) % {rows} - s.x + {rows}) % {rows}}}),
+  lambda s: {{'x': s.x, 'm': s.m, 'h': (greatest(s.x, s.m) % {p}
+    + (greatest(s.x, s.m) >> 31) * 742938285 % {p} + s.own) % {p}}}),
+  lambda s: CASE WHEN ({mixed(mixed('s.h'))} >> 11) % 2 = 1 THEN s.m ELSE s.x END)[1]"""
+    return f"list_reduce(list_prepend(CAST({rank} AS BIGINT), range(1, {split.SWAP_ROUNDS + 1})), lambda x, r: {step})"
+
+
 # --- sources -----------------------------------------------------------------------------
 
 @query(f"WITH {PAIRS} SELECT instruction, input, output FROM pairs")
@@ -130,6 +144,32 @@ def jsonl_keys(spark: SparkSession, sf: str) -> DataFrame:
         F.substring_index("file", "/", -1).alias("file"), "row_id", "line_no", "role", "split")
 
 
+@query(f"""WITH {PAIRS}, rowed AS (SELECT *, row_number() OVER (ORDER BY conv_id % {FILES}, conv_id, turn) - 1 AS row_id
+  FROM pairs), labelled AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY md5(concat('{SEED}:', row_id)), row_id)
+    <= ceil(CAST({TEST_FRACTION} AS DOUBLE) * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM rowed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS rank,
+  count(*) OVER (PARTITION BY split) AS total FROM labelled),
+placed AS (SELECT *, {place_sql('rank', 'total', '0')} AS place FROM ranked),
+batched AS (SELECT *, place // {BATCH} AS batch_id, place % {BATCH} AS row_in_batch FROM placed),
+{encoded_sql(base='batched')},
+sized AS (SELECT *, max(len(ids)) OVER (PARTITION BY split, batch_id) AS longest FROM lab),
+padded AS (SELECT *, {padded_sql('ids', 0, 'longest')} AS pid, {padded_sql('lab', -100, 'longest')} AS plab FROM sized)
+SELECT split, CAST(batch_id AS BIGINT) AS batch_id, CAST(count(*) AS INTEGER) AS n_rows,
+  CAST(list(pid ORDER BY row_in_batch) AS VARCHAR) AS input_ids,
+  CAST(list(plab ORDER BY row_in_batch) AS VARCHAR) AS labels FROM padded GROUP BY split, batch_id""")
+def jsonl_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of JSON lines to the shuffled batches of an epoch, each padded to its longest row."""
+    folder = scratch_dir(spark, "jsonl")
+    byte_ranges.write_lines(pairs(spark, sf).select(
+        F.concat(F.lit("pairs-"), F.col("conv_id") % FILES, F.lit(".jsonl")).alias("file"),
+        F.struct("conv_id", "turn").alias("line_no"),
+        F.to_json(F.struct("instruction", "input", "output")).alias("value")), folder)
+    run = PrepConfig(data_source=folder + "/", mask_prompt=True, max_seq_length=None, test_fraction=TEST_FRACTION,
+                     seed=SEED, batch_size=BATCH)
+    batches = training_batches(spark, run, TOKENIZER)
+    return batches.select("split", "batch_id", "n_rows", text_of("input_ids"), text_of("labels"))
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def scan_table(spark: SparkSession, sf: str) -> DataFrame:
     return src.load_source(spark, f"{sf}/conversations.parquet")
@@ -295,19 +335,6 @@ def shuffle_epoch(spark: SparkSession, sf: str) -> DataFrame:
         expanded, by_hash(["example_id"], SEED, F.col("epoch")), keys=["epoch"])
 
 
-def place_sql(rank: str, rows: str, epoch: str) -> str:
-    """The rounds of ``epoch_place`` over a list that begins with the rank."""
-    p = split.PRIME
-    mixed = lambda x: f"((({x}) * ({x}) + (({x}) >> 3) + 40692) % {p})"
-    own = mixed(mixed(f"(({SEED % p} * 48271 + ({epoch}) * 69621) % {p} + r * 39373) % {p}"))
-    step = f"""list_transform(list_transform(list_transform([{{'x': x, 'own': CAST({own} AS BIGINT)}}],
-  lambda s: {{'x': s.x, 'own': s.own, 'm': ((s.own * {p} + {mixed('s.own + 1')}) % {rows} - s.x + {rows}) % {rows}}}),
-  lambda s: {{'x': s.x, 'm': s.m, 'h': (greatest(s.x, s.m) % {p}
-    + (greatest(s.x, s.m) >> 31) * 742938285 % {p} + s.own) % {p}}}),
-  lambda s: CASE WHEN ({mixed(mixed('s.h'))} >> 11) % 2 = 1 THEN s.m ELSE s.x END)[1]"""
-    return f"list_reduce(list_prepend(CAST({rank} AS BIGINT), range(1, {split.SWAP_ROUNDS + 1})), lambda x, r: {step})"
-
-
 @query(f"""WITH {PAIRS}, n AS (SELECT example_id, row_number() OVER (ORDER BY conv_id, turn) - 1 AS rank,
   count(*) OVER () AS total FROM pairs)
 SELECT example_id, CAST(range AS INTEGER) AS epoch, CAST({place_sql('rank', 'total', 'range')} AS BIGINT) AS place
@@ -374,8 +401,10 @@ SELECT split, batch_id, CAST(count(*) AS INTEGER) AS n_rows,
   CAST(list(pid ORDER BY row_in_batch) AS VARCHAR) AS input_ids,
   CAST(list(plab ORDER BY row_in_batch) AS VARCHAR) AS labels FROM padded GROUP BY split, batch_id""")
 def collate_batches(spark: SparkSession, sf: str) -> DataFrame:
-    batches = batching.collate(
-        padded_batches(spark, sf, longest(spark, sf)), ["input_ids", "labels"], keys=["split"])
+    ragged = batched(encoded(spark, sf, None).select("example_id", "input_ids", "labels"))
+    batches = batching.pad_batches(
+        batching.collate(ragged, ["input_ids", "labels"], keys=["split"]), {"input_ids": 0, "labels": -100},
+        longest(spark, sf))
     return batches.select("split", "batch_id", "n_rows", text_of("input_ids"), text_of("labels"))
 
 
