@@ -89,6 +89,18 @@ def exact_neighbours_all(rows, q):
     return [(j, sum(x * y for x, y in zip(a, b))) for j, b in rows if j != q]
 
 
+def test_further_lists_only_add_what_reaches_the_bound(spark, monkeypatch):
+    """The answer does not depend on how many lists are read first."""
+    monkeypatch.setattr(neighbours, "LIST_VECTORS", 8)
+    rows = vectors()
+    answers = []
+    for lists in (1, 3, 10_000):
+        monkeypatch.setattr(neighbours, "FIRST_LISTS", lists)
+        answers.append(sorted(tuple(r) for r in neighbours.nearest(
+            frame(spark, rows, VECTORS), 20, queries=F.col("vec_id") % 20 == 0).collect()))
+    assert answers[0] == answers[1] == answers[2] != []
+
+
 def test_double_vectors_are_scored_as_they_are(spark):
     rows = [[i, [1 + i * 1e-9, 1.0]] for i in range(30)]
     got = neighbours.nearest(frame(spark, rows, "vec_id long, embedding array<double>"), 3,

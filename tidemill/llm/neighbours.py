@@ -8,6 +8,10 @@ candidate than the vector is (``SPREAD`` of the squared distance). Centroids are
 centroids held in memory; so are the lists of a query, of which those are read whose distance is
 within ``ratio`` times the least. Every vector is indexed.
 
+A query first reads its nearest ``FIRST_LISTS`` lists. The ``k``-th best score found there is a bound: of
+the further lists only rows that reach it leave the search, so what is shuffled grows with the queries
+and not with the lists they read, and the answer is the same.
+
 Inner products become distances by one more coordinate, which brings all vectors to the length of
 the longest one; queries are brought to that length.
 
@@ -47,6 +51,8 @@ BEAM_SHARE = 3
 BEAM = 96
 GRAPH_LINKS = 24
 CHUNK = 4096
+#: Lists that a query reads first, for a bound on what the others have to give.
+FIRST_LISTS = 4
 ROUNDS = 10
 BATCH = 512
 
@@ -196,7 +202,10 @@ def kind_of(rows: DataFrame) -> str:
 
 
 def read_lists(queries: DataFrame, graph, sizes, longest: float, ratio: float, k: int) -> DataFrame:
-    """A row per query and list it reads: within the ratio, and enough to hold ``k`` other vectors."""
+    """A row per query and list it reads: within the ratio, and enough to hold ``k`` other vectors.
+
+    ``first`` marks the nearest lists, ``FIRST_LISTS`` of them or as many as hold ``k`` others.
+    """
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: CentroidGraph = graph.value
         held = sizes.value
@@ -206,26 +215,28 @@ def read_lists(queries: DataFrame, graph, sizes, longest: float, ratio: float, k
                 batch = whole.slice(begin, BATCH)
                 ids, dist = known.search(scaled(matrix(batch.column(1)), longest),
                                          max(BEAM, len(held) // BEAM_SHARE))
-                owners, lists = [], []
+                owners, lists, first = [], [], []
                 for row in range(batch.num_rows):
                     found = np.isfinite(dist[row])
                     near = ids[row][found]
                     enough = np.cumsum(held[near]) >= k + 1
-                    n = max(int((dist[row][found] <= dist[row, 0] * ratio ** 2).sum()),
-                            int(enough.argmax()) + 1 if enough.any() else len(held))
+                    least = int(enough.argmax()) + 1 if enough.any() else len(held)
+                    n = max(int((dist[row][found] <= dist[row, 0] * ratio ** 2).sum()), least)
                     chosen = near[:n] if n <= len(near) else everything
                     owners.append(np.full(len(chosen), row))
                     lists.append(chosen)
+                    first.append(np.arange(len(chosen)) < max(FIRST_LISTS, least))
                 take = pa.array(np.concatenate(owners))
                 yield pa.record_batch([*[c.take(take) for c in batch.columns],
-                                       pa.array(np.concatenate(lists), pa.int32())],
-                                      names=["vec_id", "vector", "list"])
+                                       pa.array(np.concatenate(lists), pa.int32()),
+                                       pa.array(np.concatenate(first))],
+                                      names=["vec_id", "vector", "list", "first"])
 
-    return queries.mapInArrow(choose, f"vec_id long, vector {kind_of(queries)}, list int")
+    return queries.mapInArrow(choose, f"vec_id long, vector {kind_of(queries)}, list int, first boolean")
 
 
 def best_in_block(k: int):
-    """The ``k`` best of a chunk for each query of a block."""
+    """The ``k`` best of a chunk for each query of a block, as far as they reach the query's bound."""
     def search(chunk: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(chunk) or not len(block):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -233,6 +244,7 @@ def best_in_block(k: int):
         ids = chunk["vec_id"].to_numpy(np.int64)
         vectors = np.stack(chunk["vector"].to_numpy()).astype(np.float64)
         asked = block["vec_id"].to_numpy(np.int64)
+        bounds = block["bound"].to_numpy(np.float64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for begin in range(0, len(asked), 256):
             part = asked[begin:begin + 256]
@@ -242,6 +254,7 @@ def best_in_block(k: int):
                 scores += queries[:, d, None] * vectors[None, :, d]
             scores[part[:, None] == ids[None, :]] = -np.inf
             least = np.partition(scores, -k, 1)[:, -k] if len(ids) > k else np.full(len(part), -np.inf)
+            least = np.maximum(least, bounds[begin:begin + 256])
             rows, places = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
             order = np.lexsort((ids[places], -scores[rows, places], rows))
             rows, places = rows[order], places[order]
@@ -257,6 +270,32 @@ def parts_of(count: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(count / size)).cast("int")
 
 
+def best_in_lists(entered: DataFrame, counts: DataFrame, asked: DataFrame, k: int, chunk: int) -> DataFrame:
+    """Columns query_id, vec_id, score: the best of the lists that are ``asked`` (vec_id, vector, list, bound)."""
+    parts = (counts.join(asked.groupBy("list").agg(F.count("*").alias("q")), "list")
+             .select("list", parts_of(F.col("n"), chunk).alias("chunks"), parts_of(F.col("q"), chunk).alias("blocks")))
+    parts = F.broadcast(stage(parts, "list-parts"))  # at most MOST_LISTS rows
+
+    def numbers(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    part_of = lambda count: F.pmod(F.xxhash64("vec_id"), F.col(count)).cast("int")
+    chunks = entered.join(parts, "list").select(
+        "list", part_of("chunks").alias("chunk"), numbers("blocks").alias("block"), "vec_id", "vector")
+    blocks = asked.join(parts, "list").select(
+        "list", numbers("chunks").alias("chunk"), part_of("blocks").alias("block"), "vec_id", "vector", "bound")
+    key = ["list", "chunk", "block"]
+    return chunks.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(
+        best_in_block(k), "query_id long, vec_id long, score double")
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def nearest(vectors: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding",
             queries: Column | None = None, closure: float = CLOSURE, ratio: float = RATIO, copies: int = COPIES,
             chunk: int = CHUNK) -> DataFrame:
@@ -290,22 +329,9 @@ def nearest(vectors: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str
     asking = rows.filter(queries) if queries is not None else rows
     asked = stage(read_lists(asking.dropDuplicates(["vec_id"]), graph, spark.sparkContext.broadcast(held), longest,
                              ratio, k), "query-lists")
-    parts = (counts.join(asked.groupBy("list").agg(F.count("*").alias("q")), "list")
-             .select("list", parts_of(F.col("n"), chunk).alias("chunks"), parts_of(F.col("q"), chunk).alias("blocks")))
-    parts = F.broadcast(stage(parts, "list-parts"))  # at most MOST_LISTS rows
-
-    def numbers(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    part_of = lambda count: F.pmod(F.xxhash64("vec_id"), F.col(count)).cast("int")
-    chunks = entered.join(parts, "list").select(
-        "list", part_of("chunks").alias("chunk"), numbers("blocks").alias("block"), "vec_id", "vector")
-    blocks = asked.join(parts, "list").select(
-        "list", numbers("chunks").alias("chunk"), part_of("blocks").alias("block"), "vec_id", "vector")
-    key = ["list", "chunk", "block"]
-    found = chunks.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(
-        best_in_block(k), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    near = asked.filter("first").withColumn("bound", F.lit(float("-inf")))
+    known = stage(best_of(best_in_lists(entered, counts, near, k, chunk), k), "first-found")
+    bounds = known.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    far = asked.filter("not first").join(bounds, "vec_id", "left").fillna(float("-inf"), ["bound"])
+    more = best_in_lists(entered, counts, far, k, chunk)
+    return best_of(known.drop("rank").unionByName(more), k)
