@@ -8,7 +8,6 @@ from tidemill.functions import templates as tp
 from tidemill.functions import tokens as tk
 from tidemill.operators import prepare
 from tidemill.plans.order import by_hash
-from tidemill.session import table
 
 TOKENIZER = tk.ByteTokenizer()
 
@@ -153,25 +152,6 @@ def test_unknown_template_and_style():
         tp.context_template("nope")
 
 
-def test_trained_tokenizer_matches_the_library(spark):
-    tokenizers = pytest.importorskip("tokenizers")
-    rows = table(spark, "/root/testdata/sf0.001", "conversations").select("text")
-    texts = [r["text"] for r in rows.collect()]
-    trained = tokenizers.Tokenizer(tokenizers.models.BPE(unk_token="<unk>"))
-    trained.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
-    trained.train_from_iterator(texts, tokenizers.trainers.BpeTrainer(
-        vocab_size=300, special_tokens=["<pad>", "<s>", "</s>", "<unk>"]))
-    tokenizer = tk.TrainedTokenizer(trained.to_str(), pad_id=0, eos_id=2)
-    got = {r["text"]: r["ids"] for r in rows.select(
-        "text", tokenizer.encode(F.col("text"), 20).alias("ids")).collect()}
-    assert got == {t: trained.encode(t).ids[:20] for t in texts}
-    trained.post_processor = tokenizers.processors.TemplateProcessing(
-        single="<s> $A </s>", special_tokens=[("<s>", 1), ("</s>", 2)])
-    tokenizer = tk.TrainedTokenizer(trained.to_str(), pad_id=0, eos_id=2)
-    closed = rows.select(tokenizer.encode(F.col("text"), 8).alias("ids")).collect()
-    assert all(len(r["ids"]) <= 8 and r["ids"][0] == 1 and r["ids"][-1] == 2 for r in closed)
-
-
 def test_no_limit_cuts_and_pads_nothing(spark):
     rows = spark.createDataFrame([("a", "x" * 5000, "y" * 3000)], "k string, instruction string, output string")
     got = prepare.prepare(rows, PrepConfig(max_seq_length=None), TOKENIZER, ["k"]).first()

@@ -7,10 +7,8 @@ projection. Arrays are cut before they are built up, which bounds the work per r
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 from typing import Protocol
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,36 +141,3 @@ def shift_labels(ids: Column, mask: Column) -> dict[str, Column]:
 def target_mask(ids: Column, mask: Column) -> dict[str, Column]:
     """Inputs and the mask over the same positions; the loss drops the first one later."""
     return {"input_tokens": all_but_last(ids), "target_mask": all_but_last(mask)}
-
-
-@dataclass(frozen=True)
-class TrainedTokenizer:
-    """A trained sub-word tokenizer, given as the text of its JSON file.
-
-    Batches of texts go to the workers as Arrow arrays; each worker builds the tokenizer
-    once. The ``tokenizers`` package has to be installed there.
-    """
-
-    definition: str
-    pad_id: int
-    eos_id: int
-
-    def encode(self, text: Column, max_len: int, add_special: bool = True) -> Column:
-        definition = self.definition
-
-        @F.arrow_udf("array<int>")
-        def encode_batch(texts: pa.Array) -> pa.Array:
-            tokenizer = _load_tokenizer(definition)
-            tokenizer.enable_truncation(max_len)  # special ids count and are kept
-            encodings = tokenizer.encode_batch_fast(
-                texts.to_pylist(), add_special_tokens=add_special)
-            return pa.array([e.ids for e in encodings], pa.list_(pa.int32()))
-
-        return encode_batch(text)
-
-
-@lru_cache(maxsize=4)
-def _load_tokenizer(definition: str):
-    from tokenizers import Tokenizer as Trained
-
-    return Trained.from_str(definition)
