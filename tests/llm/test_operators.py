@@ -543,6 +543,30 @@ def test_packing_that_does_not_get_smaller(spark, monkeypatch):
     assert used <= 2 * least
 
 
+def test_evolution_beats_best_fit_on_triplets():
+    """Three pieces fill a sequence each; best fit of falling sizes does not find them."""
+    best, plain_bins = 0, 0
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        first = rng.integers(380, 490, 20)
+        second = rng.integers(250, 750 - first + 1)
+        sizes = rng.permutation(np.concatenate([first, second, 1000 - first - second]))
+        plain: list[list[int]] = []
+        packing.best_fit(plain, [], sizes, np.arange(60), 1000)
+        found = packing.as_bins(packing.evolve(sizes, 1000, seed, [], individuals=12, generations=60))
+        assert sorted(i for b in found for i in b) == list(range(60))
+        assert all(sizes[b].sum() <= 1000 for b in found) and len(found) <= len(plain)
+        best, plain_bins = best + len(found), plain_bins + len(plain)
+    assert best < plain_bins
+
+
+def test_evolution_ends_with_a_packing_that_cannot_be_beaten():
+    sizes = np.array([60, 40, 70, 30])
+    assert len(packing.as_bins(packing.evolve(sizes, 100, 1, []))) == 2
+    elite = np.array([1, 1, 0, 0], np.int32)
+    assert packing.evolve(sizes, 100, 1, [elite]).tolist() == elite.tolist()
+
+
 def test_crossover_keeps_all_items():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 90, 200)
