@@ -10,7 +10,7 @@ from tidemill.llm import line_dedup, mixing, packing, quality, shingle_join
 from tidemill.session import stage, table
 
 
-#: Lines within so many edits of an earlier one go. op6_line_edit_dedup itself keeps to one, as its SQL does.
+#: Lines within so many edits of an earlier one go, as in op6_line_edit_dedup.
 LINE_EDITS = 2
 
 
