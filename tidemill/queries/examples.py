@@ -444,6 +444,24 @@ def dataset_stats(spark: SparkSession, sf: str) -> DataFrame:
                         F.round("avg_length", 6).alias("avg_length"))
 
 
+@query("""SELECT lang, count(*) AS samples, max(coalesce(length(text), 0)) AS max_length,
+  round(avg(coalesce(length(text), 0)), 6) AS avg_length, true AS median_close FROM documents GROUP BY lang""")
+def dataset_stats_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics stored per source and language, merged per language; the median is held against all lengths."""
+    docs = table(spark, sf, "documents")
+    length = F.coalesce(F.char_length("text"), F.lit(0))
+    parts = stage(batching.stats_parts(docs, length, ["source", "lang"]), "length-parts")
+    merged = batching.merge_stats(parts, ["lang"])
+    medians = merged.select(F.col("lang").alias("__lang"), "median_length")
+    below = F.avg((F.col("length") < F.col("median_length")).cast("int"))
+    upto = F.avg((F.col("length") <= F.col("median_length")).cast("int"))
+    close = docs.select("lang", length.alias("length")).join(
+        medians, F.col("lang").eqNullSafe(F.col("__lang"))).groupBy("__lang").agg(
+        ((below <= 0.5 + batching.RANK_ERROR) & (upto >= 0.5 - batching.RANK_ERROR)).alias("median_close"))
+    return merged.join(close, F.col("lang").eqNullSafe(F.col("__lang"))).select(
+        "lang", "samples", "max_length", F.round("avg_length", 6).alias("avg_length"), "median_close")
+
+
 # --- templates ---------------------------------------------------------------------------
 
 @query(f"WITH {PAIRS} SELECT example_id, {PROMPT_SQL} AS prompt, output AS response FROM pairs")
