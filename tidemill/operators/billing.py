@@ -66,13 +66,14 @@ def billing_rollup(costs: DataFrame, ts: str = "ts", key: str = "gpu_type") -> D
 
 def cost_alerts(
     costs: DataFrame, thresholds: Sequence[float], limit: float | None = None,
-    user: str = "user_id", ts: str = "ts", job: str = "event_id",
+    user: str = "user_id", ts: str = "ts", job: str = "event_id", opening: DataFrame | None = None,
 ) -> DataFrame:
     """The usage row at which a user's running cost of a month reaches each threshold.
 
     Totals per day, at most 31 per user and month, tell on which days thresholds are
     crossed. Only the rows of those days are put in order, in short stretches of time, so
-    that a busy user's day is not one task. ``stop`` marks the spending limit.
+    that a busy user's day is not one task. ``stop`` marks the spending limit. ``opening`` has, in the columns of
+    the user, ``month`` and ``total``, what was spent before these rows; thresholds up to it were reached before.
     """
     values = sorted({*thresholds, *([limit] if limit is not None else [])})
     marks = F.array(*[F.lit(v).cast(TOTAL) for v in values])
@@ -85,10 +86,17 @@ def cost_alerts(
         F.date_format(ts, "yyyy-MM-dd").alias("__day"))
     month = F.substring("__day", 1, 7)
     per_day = rows.groupBy(user, "__day").agg(F.sum("cost").cast(TOTAL).alias("__c"))
+    opened = F.lit(0)
+    if opening is not None:
+        totals = opening.select(
+            F.col(user).alias("__owner"), F.col("month").alias("__month"), F.col("total").alias("__open"))
+        per_day = per_day.join(
+            totals, F.col(user).eqNullSafe(F.col("__owner")) & (month == F.col("__month")), "left")
+        opened = F.coalesce("__open", F.lit(0))
     running = Window.partitionBy(user, month).orderBy("__day").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     days = (
-        per_day.withColumn("__upto", F.sum("__c").over(running).cast(TOTAL))
+        per_day.withColumn("__upto", (F.sum("__c").over(running) + opened).cast(TOTAL))
         .where(F.size(crossed(F.col("__upto"), F.col("__c"))) > 0)
         .select(F.col(user).alias("__user"), F.col("__day").alias("__on"),
                 (F.col("__upto") - F.col("__c")).alias("__before"))

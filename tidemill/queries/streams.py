@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.queries.events import MICRO_STAMP, stamp
+from tidemill.queries.events import LIMIT, MICRO_STAMP, MINIMUM, THRESHOLDS, costs, stamp
 from tidemill.queries.files import NUMBERED, file_name, log_lines
 from tidemill.queries.registry import query
 from tidemill.session import scratch_dir, settings, table
 from tidemill.sources import byte_ranges, logs
-from tidemill.streaming import late, lifecycle, runs, upsert, usage
+from tidemill.streaming import alerts, late, lifecycle, runs, upsert, usage
 
 WATERMARK = "1 hour"
 SECONDS = "yyyy-MM-dd HH:mm:ss"
@@ -91,6 +91,29 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.current(spark, target, changes.schema, "id", "seq")
 
 
+@query(f"""WITH {MINIMUM}, run AS (SELECT *, strftime(ts, '%Y-%m') AS month, sum(micros) OVER (
+    PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS upto FROM costs),
+marks(threshold, stop) AS (VALUES (500000, false), (1000000, false), (2500000, false), (5000000, true))
+SELECT user_id, month, threshold::DOUBLE / 1000000 AS threshold, event_id,
+  strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, upto::DOUBLE / 1000000 AS running_cost, stop, false AS late
+FROM run JOIN marks ON upto >= threshold AND upto - micros < threshold
+WHERE ts <= (SELECT max(ts) - INTERVAL 12 HOUR FROM costs)""")
+def stream_cost_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Usage comes in four parts, each event up to 12 hours after its time and so out of order."""
+    rows = costs(spark, sf, minimum=True).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "cost")
+    came = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(12 * 3600 * 1_000_000))
+    first, last = rows.agg(F.min(came), F.max(came)).first()
+    folder, out, checkpoint = (scratch_dir(spark, f"alerts-{x}") for x in ("usage", "out", "checkpoint"))
+    for part in range(4):
+        low, high = (first + (last + 1 - first) * n // 4 for n in (part, part + 1))
+        rows.where((came >= low) & (came < high)).write.mode("append").parquet(folder)
+        alerts.stream_cost_alerts(runs.event_stream(spark, folder, rows.schema), out, checkpoint, THRESHOLDS, LIMIT,
+                                  delay_seconds=12 * 3600)
+    return alerts.alerts(spark, out).select(
+        "user_id", "month", F.col("threshold").cast("double").alias("threshold"), "event_id",
+        stamp("ts", MICRO_STAMP), F.col("running_cost").cast("double").alias("running_cost"), "stop", "late")
+
+
 @query(f"""WITH closed AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS job_id, event_type,
     date_trunc('millisecond', ts) AS ts FROM events
     WHERE date_trunc('minute', ts) + INTERVAL 1 MINUTE <= {CLOSED}),
