@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import manifest
+from tidemill.operators import manifest, rules
 from tidemill.queries.registry import query
 from tidemill.session import table
 
@@ -85,3 +85,21 @@ def parameter_specs(spark: SparkSession, sf: str) -> DataFrame:
     named = table(spark, sf, "part").select(
         "p_partkey", F.concat_ws("/", F.lit("transformer/h"), "p_partkey", leaf).alias("path"))
     return manifest.first_match_rule(named, manifest.PARAMETER_RULES, "path").drop("path")
+
+
+#: Paths are run/<customer>/step/<order>. The even rules also look at the last digit of the step.
+MANY_RULES = [
+    (f"^run/{n // 2}/step/[0-9]*{n % 10}$" if n % 2 == 0 else f"run/{n // 2}/", f"rule-{n}") for n in range(1, 5000)
+    if n % 7] + [("/step/.*(5|10)$", "rest")]
+
+
+@query("""WITH named AS (SELECT o_orderkey, 'run/' || o_custkey || '/step/' || o_orderkey AS path, o_custkey AS c,
+  o_orderkey % 10 AS digit FROM orders)
+SELECT o_orderkey, path, CASE WHEN c BETWEEN 1 AND 2499 AND (2 * c) % 7 <> 0 AND (2 * c) % 10 = digit
+    THEN 'rule-' || (2 * c) WHEN c <= 2499 AND (2 * c + 1) % 7 <> 0 THEN 'rule-' || (2 * c + 1)
+  WHEN digit = 5 OR o_orderkey % 100 = 10 THEN 'rest' END AS spec FROM named""")
+def first_match_many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """4,286 rules over the paths of all orders."""
+    named = table(spark, sf, "orders").select("o_orderkey", F.concat(
+        F.lit("run/"), "o_custkey", F.lit("/step/"), "o_orderkey").alias("path"))
+    return rules.first_match_of_many(named, MANY_RULES, "path")
