@@ -34,7 +34,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.rows import WordHashes, run_hashes, slices, stored
+from tidemill.llm.rows import run_hashes, slices, stored, word_hashes
 from tidemill.session import stage
 
 WINDOW = 20
@@ -52,13 +52,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchors_of(hashes: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the runs that some window picks; the leftmost of equal ones."""
+    """Places and hashes of the runs that some window picks: least in the upper half of the hash, leftmost of equal ones."""
     runs = run_hashes(hashes, prefix)
     span = window - prefix + 1
     if len(runs) < span:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    picked = sliding_window_view(runs, span).argmin(axis=1) + np.arange(len(runs) - span + 1)
-    places = np.unique(picked)
+    low = np.uint64(0xFFFFFFFF)
+    least = (runs & ~low) | np.arange(len(runs), dtype=np.uint64)
+    width = 1  # least of ``width`` runs from each place on
+    while 2 * width <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < span:
+        least = np.minimum(least[:width - span], least[span - width:])
+    picked = (least & low).astype(np.int64)  # never goes back, as the leftmost is picked
+    places = picked[np.concatenate([[True], picked[1:] != picked[:-1]])]
     return places, runs[places]
 
 
@@ -69,13 +77,12 @@ DIGEST = ("number long, doc_id long, th long, n_words long, all_sha256 string, s
 def digests(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     """Per document: number and checksum of its words, hashes of the whole, its anchors."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch, texts in slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for text in texts:
                 words = text.split()
                 digest = hashlib.sha256(b" ".join(words)).digest()
-                places, prefixes = anchors_of(known.of(words), window, prefix)
+                places, prefixes = anchors_of(word_hashes(words), window, prefix)
                 same = np.frombuffer(digest[:16], "<i8")
                 for column, value in zip(out, (len(words), digest.hex(), int(same[0]), int(same[1]),
                                                places.astype(np.int32), prefixes.view(np.int64))):
@@ -96,13 +103,12 @@ def contexts(texts: DataFrame, window: int, prefix: int) -> DataFrame:
     reach = window - prefix
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch, raw in slices(batches):
             kept = {name: batch.column(batch.schema.get_field_index(name)).to_pylist()
                     for name in ("doc_id", "th", "places")}
             out: list[list] = [[] for _ in range(6)]
             for doc_id, th, places, text in zip(kept["doc_id"], kept["th"], kept["places"], raw):
-                hashes = known.of(text.split())
+                hashes = word_hashes(text.split())
                 small = (hashes >> np.uint64(32)).astype("<u4").tobytes()
                 runs = run_hashes(hashes, prefix)[places].view(np.int64)
                 begins = np.maximum(0, np.array(places) - reach)

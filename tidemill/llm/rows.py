@@ -48,19 +48,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             yield batch.slice(begin), [t or b"" for t in column.slice(begin).to_pylist()]
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, as met."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= KNOWN_WORD_BYTES:
-            if len(self) >= KNOWN_WORDS:
-                self.clear()
-            self[word] = value
-        return value
-
-    def of(self, words: Sequence[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: Sequence[bytes]) -> np.ndarray:
+    """64-bit hash of each word. Hashing takes a third of the time of a look-up among remembered words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def scramble(x: np.ndarray) -> np.ndarray:

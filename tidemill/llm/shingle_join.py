@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.graph import components
 from tidemill.llm.quality import LOWER
-from tidemill.llm.rows import WordHashes, run_hashes, scramble, slices
+from tidemill.llm.rows import run_hashes, scramble, slices, word_hashes
 from tidemill.session import stage
 
 #: The largest boundary that is considered between light and heavy sets.
@@ -54,9 +54,9 @@ ROUNDS = 4
 RELABEL_SHARE = 200
 
 
-def shingle_set(text: bytes, known: WordHashes, words: int) -> np.ndarray:
+def shingle_set(text: bytes, words: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles."""
-    hashes = known.of(text.translate(LOWER).split())
+    hashes = word_hashes(text.translate(LOWER).split())
     if not len(hashes):
         return np.empty(0, np.uint64)
     if len(hashes) < words:  # never equal to a shingle of full length
@@ -102,11 +102,10 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 def prefix_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Per document its set's size, fingerprint and the shingles of least hash, one more than a prefix."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch, texts in slices(batches):
             sizes, cids, prefixes, parities = [], [], [], []
             for text in texts:
-                s = shingle_set(text, known, words)
+                s = shingle_set(text, words)
                 n = len(s)
                 sizes.append(n)
                 cids.append(fingerprint(s))
@@ -196,11 +195,10 @@ def chosen_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def moved_prefixes(texts: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
     """Columns cid, n, prefix of ``texts`` (cid, text), with the common shingles last, stored."""
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch, raw in slices(batches):
             sizes, prefixes = [], []
             for text in raw:
-                s = shingle_set(text, known, words).view(np.int64)
+                s = shingle_set(text, words).view(np.int64)
                 last = np.isin(s, common)
                 sizes.append(len(s))
                 prefixes.append(np.concatenate([s[~last], s[last]])[:len(s) - least_overlap(len(s), percent) + 2])
@@ -213,9 +211,8 @@ def moved_prefixes(texts: DataFrame, common: np.ndarray, words: int, percent: in
 def full_sets(texts: DataFrame, words: int) -> DataFrame:
     """Columns cid, shingles of ``texts`` (cid, text), stored."""
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch, raw in slices(batches):
-            arrays = [shingle_set(text, known, words).view(np.int64) for text in raw]
+            arrays = [shingle_set(text, words).view(np.int64) for text in raw]
             yield pa.record_batch([batch.column(0), pa.array(arrays, pa.list_(pa.int64()))], names=["cid", "shingles"])
 
     return stage(texts.mapInArrow(load, "cid long, shingles array<long>"), "full-sets")
