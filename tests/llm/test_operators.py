@@ -84,6 +84,20 @@ def test_neighbours(spark, chunk):
     assert found >= 0.9 * 20 * len(want)
 
 
+def test_neighbours_of_very_different_lengths(spark, monkeypatch):
+    """Lists within the usual ratio hold three quarters of the nearest here."""
+    monkeypatch.setattr(neighbours, "LIST_VECTORS", 8)
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(2000, 64)) * (rng.pareto(0.6, size=(2000, 1)) + 0.1)).astype(np.float32)
+    rows = [[i, v.tolist()] for i, v in enumerate(x)]
+    got = neighbours.nearest(frame(spark, rows, VECTORS), 20, queries=F.col("vec_id") % 20 == 0).collect()
+    asked = np.arange(0, 2000, 20)
+    scores = x[asked].astype(float) @ x.T.astype(float)
+    scores[np.arange(100), asked] = -np.inf
+    best = {(q, v) for q, row in zip(asked.tolist(), np.argsort(-scores, 1)[:, :20].tolist()) for v in row}
+    assert len(best & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.95 * len(best)
+
+
 def exact_neighbours_all(rows, q):
     a = dict((i, v) for i, v in rows)[q]
     return [(j, sum(x * y for x, y in zip(a, b))) for j, b in rows if j != q]
