@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -180,3 +181,17 @@ def test_epoch_places_are_permutations(spark):
     huge = spark.range(1).select(epoch_place(F.lit(2**61 - 5), 2**61, 7, 3).alias("p")).first()["p"]
     assert 0 <= huge < 2**61
     assert "Exchange" not in shuffle_ranked(ranked.drop("x"), 42, 1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_epoch_places_of_many_rows(spark):
+    """Tens of thousands of rows in seconds; a null rank has no place, and epochs may differ from row to row."""
+    from tidemill.operators.split import epoch_place
+    n = 400_000
+    rows = spark.range(n).select("id", epoch_place(F.col("id"), n, 42, F.col("id") % 2).alias("p"))
+    begun = time.monotonic()
+    ends = rows.groupBy(F.col("id") % 2).agg(F.min("p"), F.max("p"), F.count_distinct("p")).collect()
+    assert time.monotonic() - begun < 60
+    assert all(0 <= r[1] < n // 100 and n - n // 100 < r[2] < n and r[3] == n // 2 for r in ends)
+    odd = spark.createDataFrame([(0, None, 5), (1, 3, None), (2, 3, 5), (3, 3, 1 << 40)], "id int, rank bigint, n bigint")
+    places = {r["id"]: r["p"] for r in odd.select("id", epoch_place(F.col("rank"), F.col("n"), 1).alias("p")).collect()}
+    assert places[0] is None and places[1] is None and 0 <= places[2] < 5 and 0 <= places[3] < 1 << 40

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,30 @@ PRIME = (1 << 31) - 1
 SWAP_ROUNDS = 48
 
 
+def mixed(x):
+    return (x * x + (x >> 3) + 40692) % PRIME
+
+
+def only(values: pa.Array) -> np.ndarray | int:
+    """A column without nulls as numbers, or as one number if it holds no other."""
+    numbers = values.to_numpy(zero_copy_only=False)
+    return int(numbers[0]) if len(numbers) and (numbers == numbers[0]).all() else numbers
+
+
+def swapped(place: np.ndarray, whole: np.ndarray | int, epoch: np.ndarray | int, seed: int, rounds: int) -> np.ndarray:
+    """Numbers below ``whole`` after all rounds; what depends on the round alone is worked out once for all of them."""
+    key = (seed % PRIME * 48271 + epoch % PRIME * 69621) % PRIME
+    long = np.max(whole) > 1 << 31
+    for r in range(1, rounds + 1):
+        own = mixed(mixed((key + r * 39373) % PRIME))
+        mirror = ((own * PRIME + mixed(own + 1)) % whole - place) % whole
+        larger = np.maximum(place, mirror)
+        high = (larger >> 31) * 742938285 % PRIME if long else 0
+        decides = mixed(mixed((larger % PRIME + high + own) % PRIME))
+        place = np.where((decides >> 11) % 2 == 1, mirror, place)
+    return place
+
+
 def epoch_place(rank: Column, rows: Column | int, seed: int, epoch: Column | int = 0,
                 rounds: int = SWAP_ROUNDS) -> Column:
     """A keyed permutation of 0 to ``rows`` - 1, a new one per seed and epoch, by arithmetic alone.
@@ -45,23 +72,22 @@ def epoch_place(rank: Column, rows: Column | int, seed: int, epoch: Column | int
     In each round a number and its mirror image about a point that depends on the round change places or not; a hash of
     the larger of the two decides, so both decide alike and every round is one to one. With the rank of
     each row known once, any epoch's order is a projection: nothing is ranked or moved again. Good for up to 2**62 rows.
+    The rounds go over batches of rows as arrays.
     """
-    whole, prime = F.lit(rows).cast("bigint") if isinstance(rows, int) else rows.cast("bigint"), F.lit(PRIME).cast("bigint")
-    number = F.lit(epoch).cast("bigint") if isinstance(epoch, int) else epoch.cast("bigint")
-    key = F.pmod(F.lit(seed % PRIME) * F.lit(48271).cast("bigint") + F.pmod(number, prime) * 69621, prime)
-
-    def mixed(x: Column) -> Column:
-        return F.pmod(x * x + F.shiftright(x, 3) + 40692, prime)
-
-    def turn(x: Column, r: Column) -> Column:
-        own = mixed(mixed(F.pmod(key + r * 39373, prime)))
-        mirror = F.pmod(F.pmod(own * PRIME + mixed(own + 1), whole) - x, whole)
-        larger = F.greatest(x, mirror)
-        high = F.pmod(F.shiftright(larger, 31) * 742938285, prime)
-        decides = mixed(mixed(F.pmod(F.pmod(larger, prime) + high + own, prime)))
-        return F.when(F.pmod(F.shiftright(decides, 11), F.lit(2)) == 1, mirror).otherwise(x)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), rank.cast("bigint"), turn)
+    @F.arrow_udf("bigint")
+    def place(ranks: pa.Array, whole: pa.Array, epochs: pa.Array) -> pa.Array:
+        known = pc.and_(pc.and_(ranks.is_valid(), whole.is_valid()), epochs.is_valid())
+        taken = [only(c.filter(known)) for c in (whole, epochs)]
+        places = swapped(ranks.filter(known).to_numpy(zero_copy_only=False), *taken, seed, rounds) \
+            if pc.any(known).as_py() else np.empty(0, np.int64)
+        out = np.zeros(len(ranks), np.int64)
+        missing = ~known.to_numpy(zero_copy_only=False)
+        out[~missing] = places
+        return pa.array(out, mask=missing)
+
+    whole = F.lit(rows) if isinstance(rows, int) else rows
+    number = F.lit(epoch) if isinstance(epoch, int) else epoch
+    return place(rank.cast("bigint"), whole.cast("bigint"), number.cast("bigint"))
 
 
 def shuffle_ranked(df: DataFrame, seed: int, epoch: int, rank: str = "rank", rows: str = "total",
