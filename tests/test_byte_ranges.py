@@ -146,3 +146,20 @@ def test_equal_json_rows_have_keys(spark, tmp_path):
     assert read_keyed_examples(spark, str(tmp_path), EXAMPLE, "train", "x.jsonl").count() == 24
     with pytest.raises(ValueError, match="row_id"):
         read_keyed_examples(spark, str(tmp_path), StructType([StructField("row_id", LongType())]))
+
+
+def test_many_short_files_are_few_tasks(spark, tmp_path, monkeypatch):
+    """A task reads many short ranges, batch and stream alike; a long range is a task of its own."""
+    for i in range(300):
+        (tmp_path / f"{i:03}.log").write_text("".join(f"{i} {j}\n" for j in range(i % 40)))
+    assert br._read(spark, "lines", str(tmp_path), "*", 16).rdd.getNumPartitions() <= 3
+    lines = br.read_numbered(spark, str(tmp_path), range_bytes=16).orderBy("row_id").collect()
+    want = [(i, j) for i in range(300) for j in range(i % 40)]
+    assert [(r["row_id"], r["line_no"], r["value"]) for r in lines] == [
+        (n, j, f"{i} {j}") for n, (i, j) in enumerate(want)]
+    growing = br.GrowingFiles(str(tmp_path), "*", 16)
+    parts = growing.partitions({}, growing.latestOffset())
+    assert len(parts) <= 3 and sum(b.num_rows for p in parts for b in growing.read(p)) == len(want)
+    monkeypatch.setattr(br, "TASK_BYTES", 1 << 20)
+    long = [br.Range("a", n, n << 20, n + 1 << 20, 0, False) for n in range(3)]
+    assert [t.ranges for t in br.tasks(long)] == [(r,) for r in long]

@@ -1,6 +1,6 @@
 """Text files as lines with their places, read by ranges of bytes, in batch and as a stream.
 
-Files are cut into ranges of ``range_bytes``, one per task. A line belongs to the range that holds its
+Files are cut into ranges of ``range_bytes``; a task reads one of that size, or many short ones. A line belongs to the range that holds its
 line end, so a reader looks back from the start of its range for the start of the first line, and every line comes
 exactly once wherever the cuts are. The stream's offset is a size per file: lines come once their
 line end has been written, and a restart goes on at the byte where the last batch ended.
@@ -34,6 +34,11 @@ RANGE_BYTES = 64 << 20
 MOST_RANGES = 1 << 20
 BLOCK = 4 << 20
 LOOK_BACK = 64 << 10
+#: A task reads ranges of up to ``TASK_BYTES`` together, or one that is longer; to open one counts as ``OPEN_BYTES``.
+TASK_BYTES = 16 << 20
+OPEN_BYTES = 16 << 10
+#: Lines of short ranges are handed on together, about so many.
+BATCH_LINES = 4096
 
 LINES = "file string, range_no bigint, line_in_range bigint, start_byte bigint, end_byte bigint, value string"
 COUNTS = "file string, low bigint, range_no bigint, n_lines bigint"
@@ -102,6 +107,27 @@ def cut(files: Sequence[File], range_bytes: int, begin: int = 0) -> list[Range]:
     return out
 
 
+@dataclass(frozen=True)
+class Task(InputPartition):
+    """Ranges that one task reads, in order."""
+
+    ranges: tuple[Range, ...]
+
+
+def tasks(ranges: Sequence[Range]) -> list[Task]:
+    """Consecutive ranges together, so that there are not more tasks than the bytes ask for; one empty task if none."""
+    out: list[list[Range]] = [[]]
+    held = 0
+    for part in ranges:
+        size = part.high - part.low + OPEN_BYTES
+        if out[-1] and held + size > TASK_BYTES:
+            out.append([])
+            held = 0
+        out[-1].append(part)
+        held += size
+    return [Task(tuple(t)) for t in out]
+
+
 def blocks(part: Range) -> Iterator[bytes]:
     """The bytes of a range, or all of a packed file."""
     system, path, _ = located(part.file)
@@ -197,22 +223,36 @@ def read_lines(part: Range, unfinished: bool) -> Iterator[pa.RecordBatch]:
             yield batch([rest], 0)
 
 
+def read_task(task: Task, unfinished: bool) -> Iterator[pa.RecordBatch]:
+    """The lines of all ranges of a task; those of short ranges come together in a batch."""
+    held: list[pa.RecordBatch] = []
+    lines = size = 0
+    for part in task.ranges:
+        for batch in read_lines(part, unfinished):
+            held.append(batch)
+            lines, size = lines + batch.num_rows, size + batch.nbytes
+            if lines >= BATCH_LINES or size >= BLOCK:
+                yield pa.concat_batches(held)
+                held, lines, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class LinesReader(DataSourceReader):
     def __init__(self, ranges: list[Range]):
         self.ranges = ranges
 
-    def partitions(self) -> Sequence[Range]:
-        return self.ranges or [Range("", 0, 0, 0, 0, False)]
+    def partitions(self) -> Sequence[Task]:
+        return tasks(self.ranges)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if part.file:
-            yield from read_lines(part, unfinished=True)
+    def read(self, part: Task) -> Iterator[pa.RecordBatch]:
+        yield from read_task(part, unfinished=True)
 
 
 class CountsReader(LinesReader):
-    def read(self, part: Range) -> Iterator[tuple]:
-        if part.file:
-            yield part.file, part.low, part.number, count_lines(part)
+    def read(self, part: Task) -> Iterator[tuple]:
+        for one in part.ranges:
+            yield one.file, one.low, one.number, count_lines(one)
 
 
 class SizesReader(DataSourceReader):
@@ -240,7 +280,7 @@ class GrowingFiles(DataSourceStreamReader):
             return {}
         return {f.uri: f.size for f in files if not f.uri.endswith(".gz")}
 
-    def partitions(self, start: dict, end: dict) -> Sequence[Range]:
+    def partitions(self, start: dict, end: dict) -> Sequence[Task]:
         out = []
         for uri in sorted(end):
             low, high = start.get(uri, 0), end[uri]
@@ -248,10 +288,10 @@ class GrowingFiles(DataSourceStreamReader):
                 raise ValueError(f"{uri} has {high} bytes, and {low} were read before")
             out += [Range(uri, 0, at, min(high, at + self.range_bytes), 0, False)
                     for at in range(low, high, self.range_bytes)]
-        return out
+        return tasks(out)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        yield from read_lines(part, unfinished=False)
+    def read(self, part: Task) -> Iterator[pa.RecordBatch]:
+        yield from read_task(part, unfinished=False)
 
 
 class ByteRanges(DataSource):
