@@ -99,6 +99,75 @@ def test_job_deadlines_over_batches(spark, tmp_path):
         ("late", "timeout", at(5)), ("clock", "timeout", at(12))}
 
 
+def test_jobs_of_a_bucket_are_as_jobs_of_their_own(spark, tmp_path):
+    """Few calls for many jobs: a shared state gives the outcomes of a state per job, over several batches."""
+    t0, folder = dt.datetime(2024, 1, 1), str(tmp_path / "in")
+    for part in range(4):
+        spark.createDataFrame(
+            [(None if n == 7 else f"j{n}", t0 + dt.timedelta(hours=3 * part, minutes=n * 7 % 200 + k), kind)
+             for n in range(part * 20, part * 20 + 50) for k, kind in ((0, "start"), (n % 5 * 50, "done" if n % 3 else "tick"))],
+            "job_id string, ts timestamp, kind string").coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    outs = []
+    for buckets in (None, 3):
+        out = str(tmp_path / f"out-{buckets}")
+        with settings(spark, lifecycle.STATE_STORE):
+            ended = lifecycle.stream_lifecycle(runs.event_stream(spark, folder, schema, files_per_trigger=1),
+                                               F.col("kind") == "done", "1 hour", remember_hours=24, buckets=buckets)
+            runs.run_to_files(ended, out, str(tmp_path / f"cp-{buckets}"))
+        outs.append(sorted(map(str, spark.read.parquet(out).collect())))
+    assert outs[0] == outs[1] and {"finished", "timeout"} == {w for r in outs[0] for w in ("finished", "timeout") if w in r}
+
+
+def test_a_bucket_takes_few_calls():
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.value = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            self.calls.append(at)
+
+        def deleteTimer(self, at):
+            self.calls.append(-at)
+
+    class Times:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    handle, jobs = Handle(), lifecycle.Deadlines(100, 1000)
+    jobs.init(handle)
+    rows = pd.DataFrame({"job_id": [f"j{i}" for i in range(999)] + [None], "at": 0, "first_ms": range(1000),
+                         "done_ms": [i + 5.0 if i % 2 else None for i in range(1000)]})
+    out = pd.concat(jobs.handleInputRows((0,), iter([rows[:400], rows[400:]]), Times(0)))
+    assert set(out["outcome"]) == {"finished"} and len(out) == 500
+    assert handle.calls == ["get", 100, "update"]
+    out = pd.concat(jobs.handleExpiredTimer((0,), Times(300), Times(100)))
+    assert out["job_id"].tolist() == [f"j{i}" for i in range(0, 200, 2)] and set(out["outcome"]) == {"timeout"}
+    assert not list(jobs.handleInputRows((0,), iter([rows[:1]]), Times(300)))  # it has ended
+    assert len(pd.concat(jobs.handleExpiredTimer((0,), Times(5000), Times(300)))) == 400 and handle.value is None
+
+
 def test_log_segments(spark, tmp_path):
     folder = tmp_path / "log"
     folder.mkdir()
