@@ -574,6 +574,28 @@ def test_evolution_beats_best_fit_on_triplets():
     assert best < plain_bins
 
 
+def test_the_usual_evolution_beats_best_fit():
+    """Population and generations as in the query, not larger ones."""
+    found, plain = 0, 0
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        first = rng.integers(380, 490, 20)
+        second = rng.integers(250, 750 - first + 1)
+        sizes = rng.permutation(np.concatenate([first, second, 1000 - first - second]))
+        bins: list[list[int]] = []
+        packing.best_fit(bins, [], sizes, np.arange(60), 1000)
+        found, plain = found + len(packing.as_bins(packing.evolve(sizes, 1000, seed, []))), plain + len(bins)
+    assert found < plain
+
+
+def test_a_small_word_table_gives_the_same_ids():
+    from tidemill.llm.tokens import Encoder
+    texts = [" ".join(f"word{i * k % 97}" for i in range(60)).encode() for k in range(1, 30)]
+    small, large = Encoder(TOKENIZER, 20), Encoder(TOKENIZER)
+    assert [small.encode([t]) for t in texts] == [large.encode([t]) for t in texts]
+    assert small.table_words == 20 and small.old and not large.old  # the small one has forgotten
+
+
 def test_evolution_ends_with_a_packing_that_cannot_be_beaten():
     sizes = np.array([60, 40, 70, 30])
     assert len(packing.as_bins(packing.evolve(sizes, 100, 1, []))) == 2

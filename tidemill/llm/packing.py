@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,14 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.rows import base_columns, slices
-from tidemill.llm.tokens import encoder
+from tidemill.llm.tokens import TABLE_WORDS, encoder
 from tidemill.session import stage
 
 SHARD_ITEMS = 4096
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 4
+POPULATION = 12
+GENERATIONS = 60
 #: Bins of a shard that are packed again with those of other shards.
 REPACKED_BINS = 2
 #: A shard has tokens for so many bins, so that most of its packing stays; with short pieces that takes more than
@@ -41,10 +42,11 @@ SHARD_BINS = 8
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int,
+                 table_words: int = TABLE_WORDS) -> DataFrame:
     """A row per piece, stored: every document's ids and the end id, cut only where they exceed a sequence."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, table_words)
         end = np.array([end_id], encode.dtype)
         for batch, texts in slices(batches):
             out: list[list] = [[] for _ in range(6)]
@@ -85,25 +87,37 @@ def best_fit(bins: Bins, free: list[int], sizes: np.ndarray, items: np.ndarray,
             bisect.insort(order, (free[i], i))
 
 
-def fitness(free: list[int], capacity: int) -> float:
+def starts_of(bins: Bins) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces of the bins in a row, and where each bin begins; no bin is empty."""
+    return np.fromiter(chain.from_iterable(bins), np.int64), np.cumsum([0, *map(len, bins[:-1])])
+
+
+def loads_of(bins: Bins, sizes: np.ndarray) -> np.ndarray:
+    if not bins:
+        return np.zeros(0, np.int64)
+    pieces, starts = starts_of(bins)
+    return np.add.reduceat(sizes[pieces], starts)
+
+
+def fitness(free: np.ndarray, capacity: int) -> float:
     """Fewer and more unevenly filled bins are better."""
-    filled = 1 - np.array(free, float) / capacity
+    filled = 1 - free / capacity
     return float(np.mean(filled ** 2)) if len(free) else 1.0
 
 
 def crossover(a: Bins, b: Bins, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Bins:
     """Child of ``a`` with well-filled bins of ``b`` injected whole."""
-    loads = np.array([sizes[x].sum() for x in b])
+    loads = loads_of(b, sizes)
     full = np.flatnonzero(loads >= np.quantile(loads, 0.5))
     chosen = rng.choice(full, size=max(1, len(full) // 4), replace=False)
     injected = [b[i] for i in chosen.tolist()]
     taken = np.zeros(len(sizes), bool)
     taken[[i for x in injected for i in x]] = True
     kept, displaced = [], []
-    for x in a:
-        hits = taken[x]
-        if hits.any():
-            displaced += [i for i, hit in zip(x, hits.tolist()) if not hit]
+    pieces, starts = starts_of(a)
+    for x, hit in zip(a, np.logical_or.reduceat(taken[pieces], starts).tolist()):
+        if hit:
+            displaced += [i for i in x if not taken[i]]
         else:
             kept.append(x)
     return refill(kept + injected, displaced, sizes, capacity)
@@ -111,14 +125,14 @@ def crossover(a: Bins, b: Bins, sizes: np.ndarray, capacity: int, rng: np.random
 
 def refill(bins: Bins, displaced: list[int], sizes: np.ndarray, capacity: int) -> Bins:
     child = [list(x) for x in bins]
-    free = [capacity - int(sizes[x].sum()) for x in child]
+    free = (capacity - loads_of(child, sizes)).tolist()
     best_fit(child, free, sizes, np.array(displaced, int), capacity)
     return child
 
 
 def mutate(bins: Bins, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Bins:
     """Dissolve a few of the emptier bins and place their pieces anew."""
-    loads = np.array([sizes[x].sum() for x in bins])
+    loads = loads_of(bins, sizes)
     worst = np.argsort(loads, kind="stable")[:max(2, len(bins) // 10)]
     gone = set(rng.choice(worst, size=min(len(worst), 2), replace=False).tolist())
     displaced = [i for k in gone for i in bins[k]]
@@ -161,7 +175,7 @@ def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray]
         for block in np.array_split(np.argsort(-jitter, kind="stable"), 8):
             best_fit(bins, free, sizes, block, capacity)
         population.append(bins)
-    score = lambda x: fitness([capacity - int(sizes[b].sum()) for b in x], capacity)
+    score = lambda x: fitness(capacity - loads_of(x, sizes), capacity)
     scores = [score(x) for x in population]
     for _ in range(generations):
         best = int(np.argmax(scores))
@@ -267,9 +281,13 @@ def pack(pieces: DataFrame, capacity: int, islands: int = ISLANDS, epochs: int =
                          (F.sum("length").over(order) - F.col("length")).alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, **settings) -> DataFrame:
-    """Columns doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece."""
-    pieces = token_pieces(docs, tokenizer, end_id, capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048,
+                   table_words: int = TABLE_WORDS, **settings) -> DataFrame:
+    """Columns doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece.
+
+    A worker remembers the ids of twice ``table_words`` words at most, some 200 bytes each.
+    """
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, table_words)
     placed = pack(pieces, capacity, **settings)
     return pieces.join(placed, ["row", "piece"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

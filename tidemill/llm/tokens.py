@@ -56,7 +56,8 @@ def check_word_wise(path: str) -> tuple[int, bool]:
 class Encoder:
     """Ids as little-endian unsigned bytes, two per id where all ids fit, else four."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, table_words: int = TABLE_WORDS):
+        self.table_words = table_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         size, self.lowers = check_word_wise(path)
         self.dtype = np.dtype("<u2") if size < 1 << 16 else np.dtype("<u4")
@@ -96,7 +97,7 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [self.words(t) for t in texts]
         met = set().union(*words) if words else set()
-        if len(self.young) + len(met) > TABLE_WORDS:
+        if len(self.young) + len(met) > self.table_words:
             self.old, self.young = self.young, {}
         table, old = self.young, self.old
         new = []
@@ -115,6 +116,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One per worker process and tokenizer file."""
-    return Encoder(path)
+def encoder(path: str, table_words: int = TABLE_WORDS) -> Encoder:
+    """One per worker process, tokenizer file and size of the word table."""
+    return Encoder(path, table_words)
