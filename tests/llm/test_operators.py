@@ -354,6 +354,38 @@ def test_line_dedup_is_native(spark, docs):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_lines_with_much_in_common_make_few_pairs(spark):
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    base = [word(6) for _ in range(8)]
+    lines = [" ".join(base[:4] + [word(10)] + base[4:]) for _ in range(60)]
+    lines += [lines[0][:-1] + "#", lines[1][:30] + lines[1][32:], lines[2] + "##"]
+    rows = [[i, x, "en", "s", len(x)] for i, x in enumerate(lines)]
+    close = {(a, b) for b in range(len(lines)) for a in range(b) if brute.distance(lines[a], lines[b]) <= 2}
+    assert close == {(0, 60), (1, 61), (2, 62)}
+    for crowd in (64, 8):  # met at once, and split again
+        marked = line_dedup.with_firsts(frame(spark, rows), 20)
+        pairs, met = line_dedup.candidates(marked, 2, crowd)
+        place = {r["id"]: r["first"]["key_id"] for r in met.collect()}
+        got = {tuple(sorted((place[r["a"]], place[r["b"]]))) for r in pairs.collect()}
+        assert close <= got and len(got) < 200  # of 1,953 pairs that share a segment
+
+
+def test_an_edit_flips_four_bits_of_a_signature(spark):
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(300):
+        a = [rng.choice("abc é😀") for _ in range(rng.randint(0, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randint(0, 1)] = rng.choice(["", "z", "a", "😀"])
+        pairs.append(["".join(a), "".join(b)])
+    flips = F.bit_count(line_dedup.signature(F.col("a")).bitwiseXOR(line_dedup.signature(F.col("b"))))
+    for r in spark.createDataFrame(pairs, "a string, b string").withColumn("flips", flips).collect():
+        assert r["flips"] <= 4 * brute.distance(r["a"], r["b"])
+
+
 def test_banded_distance(spark):
     rng = random.Random(8)
     pairs = []

@@ -8,7 +8,9 @@ Equal lines are collapsed to their first place, by two hashes of 64 bits. The fi
 lines within ``edits`` share a segment, at a place that the difference of their lengths limits.
 So every line is indexed by (length, segment number, segment) and looked up by its substrings at
 the places allowed for each shorter length. Where more than ``crowd`` lines meet, the segment is
-taken out and the rest is split in the same way, until few meet or little is left. Candidates are
+taken out and the rest is split in the same way, until few meet or little is left. Lines that meet
+have a signature of 64 bits, of which an edit flips four at most: pairs that are further apart are not
+made, so that lines with much in common, but not close, do not become candidates. Candidates are
 verified, after common ends are cut off, with the banded bit-parallel edit distance: the band of the
 matrix, ``2 * edits + 1`` wide, is one machine word that is moved along the diagonal.
 
@@ -80,65 +82,74 @@ def first_lines(marked: DataFrame) -> DataFrame:
             .filter(F.xxhash64("line") == F.col("id")).withColumn("n", F.char_length("line")))
 
 
-def segment(length: Column, k: int, i: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of ``k``; the last ones take what does not divide."""
-    base, longer = F.floor(length / k), length % k
-    start = base * i + F.greatest(F.lit(0), F.lit(i) - (F.lit(k) - longer))
-    size = base + F.when(F.lit(i) >= F.lit(k) - longer, 1).otherwise(0)
-    return start.cast("int"), size.cast("int")
+def signature(text: Column) -> Column:
+    """64 bits: which places hold an odd number of the pairs of neighbouring characters.
+
+    An edit takes away two pairs and brings two at most, so it flips four bits at most.
+    """
+    def places(chars: Column) -> Column:
+        return F.transform(chars, lambda c, i: F.xxhash64(c, F.coalesce(F.get(chars, i + 1), F.lit(""))).bitwiseAND(
+            F.lit(63)).cast("int"))
+
+    bits = F.transform(F.array(F.split(text, "")), places)[0]
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, at: acc.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), at)))
 
 
-def bucket(parent: Column, text: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(parent, length, F.lit(i), F.substring(text, start + 1, size))
+def segment(length: Column, k: int, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``i`` of ``k``; the last ones take what does not divide."""
+    base, longer = F.floor(length / k).cast("int"), length % k
+    start = base * i + F.greatest(F.lit(0), i - (F.lit(k) - longer))
+    return start, base + F.when(i >= F.lit(k) - longer, 1).otherwise(0)
 
 
-def entry(parent: Column, text: Column, n: Column, edits: int, difference: int, i: int, shift: int,
-          probe: bool) -> Column:
-    """Struct key, kind for segment ``i`` of a line shorter by ``difference``; ``kind`` numbers the four others."""
-    length = n - difference
-    start, size = segment(length, edits + 1, i)
-    at = start + shift
-    kind = ((difference * (edits + 1) + i) * (2 * edits + 1) + shift + edits) * 2 + probe
-    made = F.struct(bucket(parent, text, length, i, at, size).alias("key"), F.lit(kind).alias("kind"))
-    return F.when((length > edits) & (at >= 0) & (at + size <= n), made)
+def kind_of(edits: int, delta: int, i: int, shift: int, probe: bool) -> int:
+    """Number of an entry for segment ``i``, moved by ``shift``, of a line shorter by ``delta``."""
+    return ((delta * (edits + 1) + i) * (2 * edits + 1) + shift + edits) * 2 + probe
 
 
 def unpacked(rows: DataFrame, edits: int) -> DataFrame:
-    """``rows`` with probe, delta, start and size from kind and the line's length n."""
+    """``rows`` with probe, delta, i, start and size from kind and the line's length n."""
     width, k = 2 * edits + 1, edits + 1
-    rest = F.floor(F.col("kind") / 2)
-    shift, at = rest % width - edits, F.floor(rest / width)
-    i, delta = at % k, F.floor(at / k).cast("int")
-    length = F.col("n") - delta
-    longer = length % k
-    start = F.floor(length / k) * i + F.greatest(F.lit(0), i - (F.lit(k) - longer)) + shift
-    size = F.floor(length / k) + F.when(i >= F.lit(k) - longer, 1).otherwise(0)
-    return rows.withColumns({"probe": is_probe(), "delta": delta, "start": start.cast("int"),
-                             "size": size.cast("int")})
+    rest = F.floor(F.col("kind") / 2).cast("int")
+    at = F.floor(rest / width).cast("int")
+    found = rows.withColumns({"probe": is_probe(), "shift": rest % width - edits, "i": at % k,
+                              "delta": F.floor(at / k).cast("int")})
+    start, size = segment(F.col("n") - F.col("delta"), k, F.col("i"))
+    return found.withColumns({"start": start + F.col("shift"), "size": size}).drop("shift")
 
 
 def is_probe() -> Column:
     return F.col("kind") % 2 == 1
 
 
-def indexed(parent: Column, text: Column, n: Column, edits: int) -> list[Column]:
-    """Index entries of a line. They also look up lines of the same length at the same place."""
-    return [entry(parent, text, n, edits, 0, i, 0, False) for i in range(edits + 1)]
+def indexed(edits: int) -> list[int]:
+    """Kinds of a line's index entries. They also look up lines of the same length at the same place."""
+    return [kind_of(edits, 0, i, 0, False) for i in range(edits + 1)]
 
 
-def probes(parent: Column, text: Column, n: Column, edits: int, difference: int, same_place: bool) -> list[Column]:
-    """Look-ups of a line for lines shorter by ``difference``, at all places the difference allows."""
+def probes(edits: int, delta: int, same_place: bool) -> list[int]:
+    """Kinds of a line's look-ups for lines shorter by ``delta``, at all places the difference allows."""
     out = []
     for i in range(edits + 1):
-        for shift in range(max(-i, difference - (edits - i)), min(i, difference + (edits - i)) + 1):
-            if same_place or difference or shift:
-                out.append(entry(parent, text, n, edits, difference, i, shift, True))
+        for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
+            if same_place or delta or shift:
+                out.append(kind_of(edits, delta, i, shift, True))
     return out
 
 
-def exploded(lines: DataFrame, made: list[Column]) -> DataFrame:
-    return (lines.select("id", "n", "text", F.explode(F.array(*made)).alias("e")).filter("e is not null")
-            .select("id", "n", "text", "e.*"))
+def exploded(lines: DataFrame, parent: Column, kinds: list[int], edits: int) -> DataFrame:
+    """``lines`` with key and kind: a row per kind whose segments are not empty, so that they lie within the line."""
+    width, k = 2 * edits + 1, edits + 1
+    # literals, so that little is worked out per row: one generic entry is compiled, a long list of them is not
+    made = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(kind // 2 % width - edits).alias("shift"),
+                              F.lit(kind // 2 // width % k).alias("i"), F.lit(kind // 2 // width // k).alias("delta"))
+                     for kind in kinds])
+    rows = lines.withColumn("parent", parent).withColumn("e", F.explode(made)).filter(F.col("n") - F.col("e.delta") > edits)
+    length = F.col("n") - F.col("e.delta")
+    start, size = segment(length, k, F.col("e.i"))
+    cut = F.substring(F.col("text"), start + F.col("e.shift") + 1, size)
+    return rows.withColumns({"key": F.xxhash64("parent", length, "e.i", cut), "kind": F.col("e.kind")}).drop("e", "parent")
 
 
 def met(rows: DataFrame) -> DataFrame:
@@ -149,41 +160,54 @@ def met(rows: DataFrame) -> DataFrame:
             .filter("met > 1 and indexed > 0").drop("indexed"))
 
 
-def candidates(marked: DataFrame, edits: int, crowd: int) -> DataFrame:
-    """Pairs (a, b) of line ids that share a segment, each once, stored."""
-    text, n, root, parent = F.col("text"), F.col("n"), F.lit(0).cast("long"), F.col("parent")
-    looks = [p for d in range(edits + 1) for p in probes(root, text, n, edits, d, False)]
+def met_lines(marked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Columns id, line, n, first, sig of the lines with an entry in ``rows``, stored."""
+    wanted = stage(rows.select("id").distinct(), "wanted")
+    return stage(first_lines(marked).join(small_or_not(wanted), "id").select(
+        "id", "line", "n", F.struct("key_id", "at").alias("first"), signature(F.col("line")).alias("sig")), "met-lines")
+
+
+def candidates(marked: DataFrame, edits: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of ids of lines that share a segment and may be close, each once, stored; and those lines."""
+    root, parent = F.lit(0).cast("long"), F.col("parent")
+    kinds = indexed(edits) + [p for d in range(edits + 1) for p in probes(edits, d, False)]
     texts = first_lines(marked).select("id", "n", F.col("line").alias("text"))
-    rows = stage(met(exploded(texts, indexed(root, text, n, edits) + looks).drop("text")), "segments")
-    pairs = paired(rows.filter(F.col("met") <= crowd))
+    rows = stage(met(exploded(texts, root, kinds, edits).drop("text", "n")), "segments")
+    lines = met_lines(marked, rows)
+    signed = lines.select("id", "sig")
+    rows = rows.join(small_or_not(signed), "id")
+    pairs = paired(rows.filter(F.col("met") <= crowd), edits)
     crowded = rows.filter(F.col("met") > crowd)
-    first = True
+    if crowded.limit(1).count():
+        # their texts are looked up once; what is left of them goes on with the entries
+        wanted = stage(crowded.select("id").distinct(), "wanted")
+        whole = lines.select("id", "n", F.col("line").alias("text")).join(small_or_not(wanted), "id")
+        crowded = crowded.join(whole, "id")
     while crowded.limit(1).count():
-        if first:
-            wanted = stage(crowded.select("id").distinct(), "wanted")
-            crowded = crowded.join(texts.select("id", "text").join(small_or_not(wanted), "id"), "id")
-            first = False
         rest = stage(unpacked(crowded, edits).select(
-            "id", F.col("key").alias("parent"), "kind", "probe", "delta", (F.col("n") - F.col("size")).alias("n"),
+            "id", "sig", F.col("key").alias("parent"), "kind", "probe", "delta",
+            (F.col("n") - F.col("size")).alias("n"),
             F.concat(F.expr("left(text, start)"), F.expr("substring(text, start + size + 1)")).alias("text")), "rests")
         short = F.col("n") - F.col("delta") < 2 * (edits + 1)
-        pairs = pairs.unionByName(paired(rest.filter(short).withColumn("key", parent)))
+        pairs = pairs.unionByName(paired(rest.filter(short).withColumn("key", parent), edits))
         rest = rest.filter(~short)
-        rows = exploded(rest.filter("not probe"), indexed(parent, text, n, edits)
-                        + probes(parent, text, n, edits, 0, False))
+        held = ["id", "sig", "n", "text", "parent"]
+        rows = exploded(rest.filter("not probe").select(held), parent, indexed(edits) + probes(edits, 0, False), edits)
         for d in range(edits + 1):
-            rows = rows.unionByName(exploded(rest.filter(F.col("probe") & (F.col("delta") == d)),
-                                             probes(parent, text, n, edits, d, True)))
+            rows = rows.unionByName(exploded(rest.filter(F.col("probe") & (F.col("delta") == d)).select(held), parent,
+                                             probes(edits, d, True), edits))
         rows = stage(met(rows), "segments")
-        pairs = pairs.unionByName(paired(rows.filter(F.col("met") <= crowd)))
+        pairs = pairs.unionByName(paired(rows.filter(F.col("met") <= crowd), edits))
         crowded = rows.filter(F.col("met") > crowd)
-    return stage(pairs.distinct(), "line-pairs")
+    return stage(pairs.distinct(), "line-pairs"), lines
 
 
-def paired(rows: DataFrame) -> DataFrame:
-    index = rows.filter(~is_probe()).select("key", F.col("id").alias("i"))
-    look = rows.select("key", "id", is_probe().alias("probe"))
-    return index.join(look, "key").filter("i != id and (probe or i < id)").select(
+def paired(rows: DataFrame, edits: int) -> DataFrame:
+    """Pairs of a bucket's lines, but those whose signatures are further apart than ``edits`` can bring them."""
+    index = rows.filter(~is_probe()).select("key", F.col("id").alias("i"), F.col("sig").alias("i_sig"))
+    look = rows.select("key", "id", "sig", is_probe().alias("probe"))
+    may_link = F.bit_count(F.col("sig").bitwiseXOR(F.col("i_sig"))) <= 4 * edits
+    return index.join(look, "key").filter(F.expr("i != id and (probe or i < id)") & may_link).select(
         F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b"))
 
 
@@ -271,10 +295,7 @@ def within(shorter: Column, longer: Column, edits: int) -> Column:
 
 def repeated(marked: DataFrame, edits: int, crowd: int) -> DataFrame:
     """Columns key_id, at: first places of the lines that are within ``edits`` of an earlier one."""
-    pairs = candidates(marked, edits, crowd)
-    wanted = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    lines = stage(first_lines(marked).join(small_or_not(wanted), "id").select(
-        "id", "line", "n", F.struct("key_id", "at").alias("first")), "wanted-lines")
+    pairs, lines = candidates(marked, edits, crowd)
     for side in ("a", "b"):
         pairs = pairs.join(lines.select(F.col("id").alias(side), F.col("line").alias(f"{side}_line"),
                                         F.col("n").alias(f"{side}_n"), F.col("first").alias(f"{side}_first")), side)
