@@ -620,6 +620,24 @@ def test_the_usual_evolution_beats_best_fit():
     assert found < plain
 
 
+def test_plain_words_go_to_the_model_at_once():
+    from tidemill.llm.tokens import Encoder
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("abcdefgsßàéöøÿz") for _ in range(rng.randint(1, 9)))
+             + rng.choice(["", "", ".", ",", "...", "?!", ".,;:"]) for _ in range(3000)]
+    other = [rng.choice(["don't", "x's", "1st", "'s", ".a", "a.b", "É", "e\u0301", "µ", "ª", "a)", "<|endoftext|>", "Ab,",
+                         "a×b", "中.", "..."]) for _ in range(400)]
+    words = plain + other
+    rng.shuffle(words)
+    texts = [" ".join(words[i:i + 17]) for i in range(0, len(words), 17)]
+    e, whole = Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    found, rest = e.plain_words([w.encode() for w in plain])
+    assert e.plain and not rest and len(found) == len(set(plain))
+    for _ in range(2):
+        got = [np.frombuffer(x, e.dtype).tolist() for x in e.encode([t.encode() for t in texts])]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_small_word_table_gives_the_same_ids():
     from tidemill.llm.tokens import Encoder
     texts = [" ".join(f"word{i * k % 97}" for i in range(60)).encode() for k in range(1, 30)]

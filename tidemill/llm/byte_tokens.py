@@ -22,7 +22,7 @@ import numpy as np
 from tokenizers import AddedToken, Tokenizer
 
 from tidemill.llm.rows import KNOWN_WORD_BYTES
-from tidemill.llm.tokens import TABLE_WORDS, WORDS_PER_TEXT
+from tidemill.llm.tokens import BYTE_SIGNS, TABLE_WORDS, WORDS_PER_TEXT
 
 #: White space as the tokenizer's pattern has it (of Unicode), and letters that need no table.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -32,11 +32,6 @@ PIECE = re.compile(f" ?[{LETTERS}]++(?=[{SPACE}.,;:!?]|\\Z)| ?[^{SPACE}]++|[{SPA
 #: One run of letters and perhaps one of signs after it: two pieces for the tokenizer.
 PLAIN = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])++)"
                    rb"([.,;:!?)]*+)")
-#: How a byte is written in the vocabulary: as itself if it prints, else as the next character from 256 on.
-PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_SIGNS = {b: b if b in PRINTS else 256 + i for i, b in enumerate(
-    [*(b for b in range(256) if b not in PRINTS), *PRINTS])}
-
 #: Not part of any UTF-8 text.
 CUT = b"\xff"
 #: White space that is not cut at every sign: other than spaces and line ends, three in a row, two at the end of a text.

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from functools import lru_cache
 
@@ -23,12 +24,21 @@ TABLE_WORDS = 600_000
 #: New words given to the tokenizer as one text, one word a line.
 WORDS_PER_TEXT = 20
 
+#: How a byte is written in the vocabulary: as itself if it prints, else as the next character from 256 on.
+PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: b if b in PRINTS else 256 + i for i, b in enumerate(
+    [*(b for b in range(256) if b not in PRINTS), *PRINTS])}
+
+#: A run of lower-case letters that no normalizer changes and perhaps one of signs after it, cut in between by this pattern.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])++)([.,;:!?]*+)")
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 #: Normalizers and pre-tokenizers that work on each white-space free piece alone.
 WORD_WISE = {"NFC", "NFD", "NFKC", "NFKD", "Replace", "Lowercase", "Split", "ByteLevel"}
 
 
-def check_word_wise(path: str) -> tuple[int, bool]:
-    """Number of ids of the tokenizer, and whether it lower-cases.
+def check_word_wise(path: str) -> tuple[int, bool, bool]:
+    """Number of ids of the tokenizer, whether it lower-cases, and whether ``PLAIN`` words go to its model in two parts.
 
     Raises if its ids could depend on more than one word.
     """
@@ -50,7 +60,14 @@ def check_word_wise(path: str) -> tuple[int, bool]:
             s.get("add_prefix_space") or s.get("use_regex") for s in steps if s["type"] == "ByteLevel"):
         raise ValueError(f"{path}: this tokenizer does not work word by word")
     ids = list(parts["model"]["vocab"].values()) + [t["id"] for t in parts.get("added_tokens", [])]
-    return max(ids) + 1, lowers
+    split = [s for s in steps if s["type"] == "Split"]
+    plain = (all(s["type"] in ("NFC", "Lowercase", "Split", "ByteLevel")
+                 or s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} for s in steps)
+             and [s["pattern"] for s in split] == [{"Regex": LETTERS_APART}] and kinds[-1] == "ByteLevel"
+             and parts["model"]["type"] == "BPE" and not any(
+                 re.search("[a-zß-öø-ÿ.,;:!?]", t["content"]) and re.fullmatch("[a-zß-öø-ÿ.,;:!?]+", t["content"])
+                 for t in parts.get("added_tokens", [])))
+    return max(ids) + 1, lowers, plain
 
 
 class Encoder:
@@ -59,9 +76,10 @@ class Encoder:
     def __init__(self, path: str, table_words: int = TABLE_WORDS):
         self.table_words = table_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        size, self.lowers = check_word_wise(path)
+        size, self.lowers, self.plain = check_word_wise(path)
         self.dtype = np.dtype("<u2") if size < 1 << 16 else np.dtype("<u4")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         # their names are looked for in the text as it is
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # no word holds a line end, so as a token of its own it keeps the words of one text apart
@@ -70,6 +88,31 @@ class Encoder:
         # words met lately, and those met before them: what is met again moves on
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.few: dict[bytes, bytes] = {}
+
+    def plain_words(self, words: list[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
+        """Ids of plain words, whose letters the model takes without the steps before it; and the other words."""
+        found, rest = {}, []
+        for word in words:
+            plain = PLAIN.fullmatch(word)
+            if plain is None:
+                rest.append(word)
+                continue
+            letters, signs = plain.groups()
+            ids = found.get(letters) or self.young.get(letters) or self.old.get(letters) or self.letters(letters)
+            found[word] = ids + self.signs(signs) if signs else ids
+        return found, rest
+
+    def letters(self, word: bytes) -> bytes:
+        text = word.decode() if word.isascii() else word.decode("latin-1").translate(BYTE_SIGNS)
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def signs(self, signs: bytes) -> bytes:
+        if signs not in self.few:
+            if len(self.few) > 10_000:
+                self.few.clear()
+            self.few[signs] = self.new_words([signs])[0]
+        return self.few[signs]
 
     def new_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of words that are in no table."""
@@ -107,7 +150,9 @@ class Encoder:
                 new.append(word)
             else:
                 table[word] = ids
-        table.update(zip(new, self.new_words(new), strict=True))
+        found, rest = self.plain_words(new) if self.plain else ({}, new)
+        table.update(found)
+        table.update(zip(rest, self.new_words(rest), strict=True))
         out = [b"".join(map(table.__getitem__, w)) for w in words]
         for word in new:
             if len(word) > KNOWN_WORD_BYTES:
