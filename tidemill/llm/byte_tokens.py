@@ -11,13 +11,10 @@ tokenizer whole.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 from itertools import product
 
@@ -35,8 +32,6 @@ PIECE = re.compile(f" ?[{LETTERS}]++(?=[{SPACE}.,;:!?]|\\Z)| ?[^{SPACE}]++|[{SPA
 #: One run of letters and perhaps one of signs after it: two pieces for the tokenizer.
 PLAIN = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])++)"
                    rb"([.,;:!?)]*+)")
-SPACE_SIGN = chr(BYTE_SIGNS[ord(" ")])
-
 #: Not part of any UTF-8 text.
 CUT = b"\xff"
 #: White space that is not cut at every sign: other than spaces and line ends, three in a row, two at the end of a text.
@@ -61,18 +56,6 @@ def check_byte_level(path: str) -> int:
     return max([*parts["model"]["vocab"].values(), *(t["id"] for t in parts.get("added_tokens", []))]) + 1
 
 
-@contextmanager
-def without_collection() -> Iterator[None]:
-    """No search for cycles: lists of ids and words hold none, and are many enough to be walked again and again."""
-    was_on = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if was_on:
-            gc.enable()
-
-
 class ByteEncoder:
     """Ids as little-endian unsigned bytes, two per id where all ids fit, else four."""
 
@@ -127,23 +110,19 @@ class ByteEncoder:
                         rest.append(word)
                     continue
                 letters, signs = plain.groups()
-                if not signs:  # the word itself, which is in no table
-                    ids = self.letters(letters)
-                else:
-                    ids = table.get(letters)
-                    if ids is None:
-                        ids = old.get(letters) or self.letters(letters)
-                        if len(letters) <= KNOWN_WORD_BYTES:
-                            table[letters] = ids
+                ids = table.get(letters)
+                if ids is None:
+                    ids = old.get(letters) or self.letters(letters)
+                    if len(letters) <= KNOWN_WORD_BYTES:
+                        table[letters] = ids
+                if signs:
                     ids += self.signs(signs)
             table[word] = ids
         table.update(zip(rest, self.new_pieces([w.decode() for w in rest]), strict=True))
 
     def letters(self, word: bytes) -> bytes:
         """Ids of one run of letters, with or without a space before it."""
-        text = (word.decode().replace(" ", SPACE_SIGN) if word.isascii() else
-                word.decode("latin-1").translate(BYTE_SIGNS))
-        return array(self.dtype.char, [t.id for t in self.model.tokenize(text)]).tobytes()
+        return self.as_bytes([t.id for t in self.model.tokenize(word.decode("latin-1").translate(BYTE_SIGNS))])
 
     def signs(self, signs: bytes) -> bytes:
         if signs not in self.few:
@@ -163,7 +142,6 @@ class ByteEncoder:
                 known[p] = self.as_bytes(self.whole.encode(p, add_special_tokens=False).ids)
         return b"".join(map(known.__getitem__, pieces))
 
-    @without_collection()
     def encode(self, texts: list[bytes]) -> list[bytes]:
         together = CUT.join(texts)
         special, strange = any(name in together for name in self.special), has_runs(together)
@@ -181,9 +159,8 @@ class ByteEncoder:
         missing = {x for i in partly for x, ids in zip(words[i], found[i]) if ids is None}
         if missing:
             self.learn(missing)
-        table = self.young
         for i in partly:
-            found[i] = [table[x] if ids is None else ids for x, ids in zip(words[i], found[i])]
+            found[i] = [self.young[x] if ids is None else ids for x, ids in zip(words[i], found[i])]
         for i, ids in found.items():
             out[i] = b"".join(ids)
         for word in missing:
