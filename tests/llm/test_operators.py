@@ -221,6 +221,17 @@ def test_one_of_each(spark, rows):
     assert shingle_join.one_of_each(frame(spark, []), 5, 80).count() == 0
 
 
+def test_pairs_come_in_few_buckets(spark):
+    # ten sets share 40 buckets, two of them one more; each pair came once for every bucket it shares
+    entries = [(b, c) for c in range(10) for b in range(40)] + [(90, 3), (90, 77), (91, 77)]
+    a = shingle_join.with_before(spark.createDataFrame(entries, "bucket long, cid long"))
+    b = a.select(*[F.col(c).alias(f"{c}_") for c in a.columns])
+    met = a.join(b, (F.col("bucket") == F.col("bucket_")) & (F.col("cid") < F.col("cid_"))
+                 & shingle_join.none_shared(shingle_join.BEFORE, [f"{c}_" for c in shingle_join.BEFORE]))
+    pairs = Counter((r["cid"], r["cid_"]) for r in met.collect())
+    assert pairs == {**{(i, j): 1 for i in range(10) for j in range(i + 1, 10)}, (3, 77): 1}
+
+
 # 4: mixing
 
 def test_mixing(spark, rows):

@@ -50,6 +50,8 @@ COMMON_MOST = 1 << 18
 BROADCAST_SETS = 200_000
 #: Rounds in which each bucket is compared with one central member.
 ROUNDS = 4
+#: A pair is left to an earlier bucket if one of so many buckets before is the same in both sets.
+BUCKETS_BEFORE = 3
 #: Entries are written anew with their components when so large a part of the sets (one in ...) has found a link.
 RELABEL_SHARE = 200
 
@@ -121,9 +123,14 @@ def prefix_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return stage(keyed(docs).mapInArrow(measure, SETS), "shingle-sets")
 
 
-def light_boundary(sets: DataFrame, percent: int) -> int:
+def prefix_of_each(found: DataFrame) -> DataFrame:
+    """Columns cid, n, prefix: a row per set."""
+    return found.groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+
+
+def light_boundary(found: DataFrame, percent: int) -> int:
     """Boundary between light and heavy sets with the least cost; 0 for no light sets."""
-    small = sets.filter((F.col("n") <= LIGHT_MOST) & (F.size("prefix") > 0))
+    small = prefix_of_each(found.filter((F.col("n") <= LIGHT_MOST) & (F.size("prefix") > 0)))
     lists = small.select("n", F.explode("prefix").alias("h"))
     seen = lists.groupBy("h").agg(F.count("*").alias("c"))
     looked = {r["n"]: r["cost"] for r in lists.join(seen, "h").groupBy("n").agg(
@@ -193,7 +200,7 @@ def chosen_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def moved_prefixes(texts: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Columns cid, n, prefix of ``texts`` (cid, text), with the common shingles last, stored."""
+    """Columns cid, n, prefix of ``texts`` (cid, text), with the common shingles last."""
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in slices(batches):
             sizes, prefixes = [], []
@@ -205,7 +212,7 @@ def moved_prefixes(texts: DataFrame, common: np.ndarray, words: int, percent: in
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()),
                                    pa.array(prefixes, pa.list_(pa.int64()))], names=["cid", "n", "prefix"])
 
-    return stage(texts.mapInArrow(load, "cid long, n long, prefix array<long>").dropDuplicates(["cid"]), "moved")
+    return texts.mapInArrow(load, "cid long, n long, prefix array<long>")
 
 
 def full_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -258,15 +265,20 @@ def close_enough(a: Column, b: Column, n: Column, percent: int) -> Column:
     return differ * (100 + percent) <= n * (100 - percent)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those that link, stored. Only sets that the parities leave are loaded whole."""
-    def side(frame: DataFrame, name: str, *columns: str) -> DataFrame:
-        return frame.select(F.col("cid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+def side(frame: DataFrame, name: str, *columns: str) -> DataFrame:
+    return frame.select(F.col("cid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
 
+def near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Columns a, b, n (shingles together): of the pairs (a, b) those that the parities in ``sets`` leave."""
     total = F.col("a_n") + F.col("b_n")
-    near = pairs.join(side(sets, "a", "n", "parity"), "a").join(side(sets, "b", "n", "parity"), "b").filter(
-        close_enough(F.col("a_parity"), F.col("b_parity"), total, percent))
-    near = stage(near.select("a", "b", total.alias("n")), "near-pairs")
+    return pairs.join(side(sets, "a", "n", "parity"), "a").join(side(sets, "b", "n", "parity"), "b").filter(
+        close_enough(F.col("a_parity"), F.col("b_parity"), total, percent)).select("a", "b", total.alias("n"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those that link, stored. Only sets that the parities leave are loaded whole."""
+    near = stage(near_pairs(pairs, sets, percent), "near-pairs")
     if not near.limit(1).count():
         return near.select("a", "b")
     wanted = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
@@ -276,14 +288,35 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
         shared * 100 >= (F.col("n") - shared) * percent).select("a", "b").distinct(), "verified")
 
 
+BEFORE = [f"before{i}" for i in range(BUCKETS_BEFORE)]
+
+
+def with_before(entries: DataFrame) -> DataFrame:
+    """Entries (bucket, cid, ...) with the buckets of the same set that come before, in order of their hash."""
+    order = Window.partitionBy("cid").orderBy("bucket")
+    return entries.select("*", *[F.lag("bucket", i + 1).over(order).alias(c) for i, c in enumerate(BEFORE)])
+
+
+def none_shared(a: list[str], b: list[str]) -> Column:
+    """Whether two sets that meet in a bucket share none of the buckets just before it.
+
+    Sets that share one meet there too, or still earlier; none is shared before the first of all, so each pair
+    keeps that one.
+    """
+    same = F.lit(False)
+    for x in a:
+        for y in b:
+            same = same | F.coalesce(F.col(x) == F.col(y), F.lit(False))
+    return ~same
+
+
 def link_components(entries: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int,
                     rounds: int = ROUNDS) -> DataFrame:
     """Columns node, comp over all links between sets that share a bucket."""
-    entries = entries.select("cid", "n", "bucket")
     links = None
     # the larger the share of its shingles that others have, too, the more central a set is among its near copies
-    central = entries.groupBy("cid").agg((F.count("*") / F.first("n")).alias("weight"))
-    work = stage(entries.join(central, "cid").withColumn("comp", F.col("cid")), "entries")
+    central = F.count("*").over(Window.partitionBy("cid")) / F.col("n")
+    work = stage(entries.select("cid", "n", "bucket", central.alias("weight"), F.col("cid").alias("comp")), "entries")
     done, new, n_sets = None, 0, sets.count()
     for round_ in range(rounds):
         rank = F.struct(F.lit(0.0) if round_ else F.col("weight"), F.xxhash64("cid", F.lit(round_)))
@@ -303,15 +336,19 @@ def link_components(entries: DataFrame, sets: DataFrame, docs: DataFrame, words:
         if new * RELABEL_SHARE >= n_sets:  # a few links more change hardly any label
             work, new = relabelled(work, links), 0
     # parities of four words here; the whole ones come to each pair once, when it is verified
-    rest = work.select("bucket", "cid", "n", "comp").join(sets.select("cid", *short_parity()), "cid")
+    rest = with_before(work.select("bucket", "cid", "n", "comp")).join(sets.select("cid", *short_parity()), "cid")
     other = rest.select(*[F.col(c).alias(f"{c}_") for c in rest.columns])
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in SHORT[1:]),
                  F.bit_count(F.col(SHORT[0]).bitwiseXOR(F.col(f"{SHORT[0]}_"))))
     pairs = rest.join(other, (F.col("bucket") == F.col("bucket_")) & (F.col("cid") < F.col("cid_"))
                       & (F.col("comp") != F.col("comp_")) & sizes_allow(F.col("n"), F.col("n_"), percent)
+                      & none_shared(BEFORE, [f"{c}_" for c in BEFORE])
                       & (differ * (100 + percent) <= (F.col("n") + F.col("n_")) * (100 - percent)))
     pairs = stage(pairs.select(F.col("cid").alias("a"), F.col("cid_").alias("b")).distinct()
                   .join(done, ["a", "b"], "left_anti"), "pairs")
+    # many of these pairs are of large sets, of whose parities a quarter is enough to tell most apart
+    quarter = sets.select("cid", "n", folded(folded(F.col("parity"))).alias("parity"))
+    pairs = near_pairs(pairs, quarter, percent).select("a", "b")
     return components(links.unionByName(verified(pairs, sets, docs, words, percent)))
 
 
@@ -336,11 +373,13 @@ def shingle_components(docs: DataFrame, words: int = 4, percent: int = 85, commo
     if not 50 < percent <= 100:
         raise ValueError("percent has to be above 50")
     found = prefix_sets(docs, words, percent)
-    sets = stage(found.filter("n > 0").groupBy("cid").agg(
+    filled = found.filter("n > 0")
+    # the prefixes are read where they lie: once, and not stored a second time
+    sets = stage(filled.groupBy("cid").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("id", "th")).alias("lead"), F.first("n").alias("n"),
-        F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "sets")
-    x = light_boundary(sets, percent) if boundary is None else boundary
-    first = stage(buckets(sets, x, percent), "buckets")
+        F.first("parity").alias("parity")), "sets")
+    x = light_boundary(filled, percent) if boundary is None else boundary
+    first = stage(buckets(prefix_of_each(filled), x, percent), "buckets")
     frequent, power = common_shingles(first, common)
     entries = first.withColumn("bucket", F.xxhash64("key", "subset"))
     if len(frequent):
@@ -348,6 +387,8 @@ def shingle_components(docs: DataFrame, words: int = 4, percent: int = 85, commo
         hit = first.filter(is_common).select("cid").distinct()
         texts = chosen_texts(docs, sets.join(hit, "cid", "left_semi").select("lead.*", "cid"))
         moved = moved_prefixes(texts, frequent, words, percent)
+        if filled.groupBy("id", "th").count().filter("count > 1").limit(1).count():  # equal rows
+            moved = moved.dropDuplicates(["cid"])
         entries = entries.filter(~is_common).unionByName(buckets(moved, x, percent).withColumn(
             "bucket", F.xxhash64("key", "subset", F.lit("moved"))))
     comps = link_components(entries, sets, docs, words, percent)
