@@ -544,6 +544,19 @@ def test_quotations():
 
 # 10: packing
 
+def test_words_met_once_are_not_kept():
+    from tidemill.llm import tokens
+
+    encode, whole = tokens.encoder(TOKENIZER, 1_000), Tokenizer.from_file(TOKENIZER)
+    texts = [" ".join(f"word{i}x" for i in range(300)), "Some words, once more"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept in (0, 304, 304):
+        got = [np.frombuffer(x, encode.dtype).tolist() for x in encode.encode([t.encode() for t in texts])]
+        assert got == want and len(encode.young) == kept
+    tokens.forget()
+    assert tokens.encoder(TOKENIZER, 1_000) is not encode
+
+
 def packed_well(out, rows, capacity):
     want = Counter()
     for r, ids in zip(rows, encoded(rows, 0)):

@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.rows import base_columns, slices
-from tidemill.llm.tokens import TABLE_WORDS, encoder
+from tidemill.llm.tokens import encoder, forget
 from tidemill.session import stage
 
+#: Words in each half of a worker's word table; the same workers pack afterwards, with pandas loaded.
+WORDS = 300_000
 SHARD_ITEMS = 4096
 ISLANDS = 2
 EPOCHS = 2
@@ -43,7 +45,7 @@ PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 l
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int,
-                 table_words: int = TABLE_WORDS) -> DataFrame:
+                 table_words: int = WORDS) -> DataFrame:
     """A row per piece, stored: every document's ids and the end id, cut only where they exceed a sequence."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, table_words)
@@ -205,6 +207,7 @@ def pack_shards(items: DataFrame, shards: int, capacity: int, islands: int, epoc
         def run(items_pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
             if not len(items_pdf):
                 return pd.DataFrame({"shard": [], "island": [], "score": [], "genes": []})
+            forget()  # the pieces are stored
             pdf = items_pdf.sort_values(["row", "piece"])
             sizes = pdf["length"].to_numpy(np.int64)
             shard, island = int(pdf["shard"].iloc[0]), int(pdf["island"].iloc[0])
@@ -282,10 +285,10 @@ def pack(pieces: DataFrame, capacity: int, islands: int = ISLANDS, epochs: int =
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048,
-                   table_words: int = TABLE_WORDS, **settings) -> DataFrame:
+                   table_words: int = WORDS, **settings) -> DataFrame:
     """Columns doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece.
 
-    A worker remembers the ids of twice ``table_words`` words at most, some 200 bytes each.
+    A worker remembers the ids of twice ``table_words`` words at most, some 200 bytes each, until it packs.
     """
     pieces = token_pieces(docs, tokenizer, end_id, capacity, table_words)
     placed = pack(pieces, capacity, **settings)

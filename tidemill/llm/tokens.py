@@ -20,6 +20,8 @@ from tidemill.llm.rows import KNOWN_WORD_BYTES
 
 #: Words in each half of a worker's word table (some 200 bytes each).
 TABLE_WORDS = 600_000
+#: Places (of a byte each) that tell whether a word was met before; they are emptied when a quarter is taken.
+MET_PLACES = 1 << 22
 
 #: New words given to the tokenizer as one text, one word a line.
 WORDS_PER_TEXT = 20
@@ -89,6 +91,19 @@ class Encoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.few: dict[bytes, bytes] = {}
+        # a word enters the table when it is met again: most new words are never
+        self.met, self.n_met = bytearray(MET_PLACES), 0
+
+    def met_before(self, word: bytes) -> bool:
+        """Whether the word was met in an earlier call (seldom, another word with the same place)."""
+        place = hash(word) & (MET_PLACES - 1)
+        if self.met[place]:
+            return True
+        if 4 * self.n_met > MET_PLACES:
+            self.met, self.n_met = bytearray(MET_PLACES), 0
+        self.met[place] = 1
+        self.n_met += 1
+        return False
 
     def plain_words(self, words: list[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
         """Ids of plain words, whose letters the model takes without the steps before it; and the other words."""
@@ -155,7 +170,7 @@ class Encoder:
         table.update(zip(rest, self.new_words(rest), strict=True))
         out = [b"".join(map(table.__getitem__, w)) for w in words]
         for word in new:
-            if len(word) > KNOWN_WORD_BYTES:
+            if len(word) > KNOWN_WORD_BYTES or not self.met_before(word):
                 del table[word]
         return out
 
@@ -164,3 +179,8 @@ class Encoder:
 def encoder(path: str, table_words: int = TABLE_WORDS) -> Encoder:
     """One per worker process, tokenizer file and size of the word table."""
     return Encoder(path, table_words)
+
+
+def forget() -> None:
+    """Give back what this worker process remembers, before it goes on to other work."""
+    encoder.cache_clear()
