@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import brute
@@ -232,6 +233,18 @@ def test_pairs_come_in_few_buckets(spark):
     assert pairs == {**{(i, j): 1 for i in range(10) for j in range(i + 1, 10)}, (3, 77): 1}
 
 
+def test_common_shingles_are_looked_up():
+    rng = np.random.default_rng(1)
+    known = np.sort(rng.integers(-2 ** 63, 2 ** 63 - 1, 1 << 18))
+    values = np.concatenate([known[::1000], rng.integers(-2 ** 63, 2 ** 63 - 1, 200), known[:1] - 1, known[-1:] + 1])
+    assert (shingle_join.among(values, known) == np.isin(values, known)).all()
+    assert not shingle_join.among(values, known[:0]).any() and not len(shingle_join.among(values[:0], known))
+    began = time.perf_counter()
+    for _ in range(300):  # each text sorted all common shingles anew: 10 s and more
+        shingle_join.among(values, known)
+    assert time.perf_counter() - began < 2
+
+
 # 4: mixing
 
 def test_mixing(spark, rows):

@@ -199,6 +199,13 @@ def chosen_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return keyed(docs).join(F.broadcast(wanted) if few else wanted, ["id", "th"]).select("cid", "text")
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``known``, sorted. ``np.isin`` would sort all of ``known`` anew for every text."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def moved_prefixes(texts: DataFrame, common: np.ndarray, words: int, percent: int) -> DataFrame:
     """Columns cid, n, prefix of ``texts`` (cid, text), with the common shingles last."""
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +213,7 @@ def moved_prefixes(texts: DataFrame, common: np.ndarray, words: int, percent: in
             sizes, prefixes = [], []
             for text in raw:
                 s = shingle_set(text, words).view(np.int64)
-                last = np.isin(s, common)
+                last = among(s, common)
                 sizes.append(len(s))
                 prefixes.append(np.concatenate([s[~last], s[last]])[:len(s) - least_overlap(len(s), percent) + 2])
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()),
