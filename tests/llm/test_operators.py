@@ -233,6 +233,30 @@ def test_pairs_come_in_few_buckets(spark):
     assert pairs == {**{(i, j): 1 for i in range(10) for j in range(i + 1, 10)}, (3, 77): 1}
 
 
+def test_heads_leave_their_buckets(spark, monkeypatch):
+    # buckets of two to five sets, all of whose pairs come up with four heads; they came to the last join, too
+    text = [" ".join(f"{x}{i}" for i in range(30)) for x in "pqrs"]
+    rows = [[10 * g + i, t + "".join(f" w{g}{i}{k}" for k in range(30)), None, None, None]
+            for g, t in enumerate(text) for i in range(g + 2)]
+    last, with_before = [], shingle_join.with_before
+    monkeypatch.setattr(shingle_join, "with_before", lambda e: last.append(e.count()) or with_before(e))
+    got = shingle_join.shingle_components(frame(spark, rows), 4, 85).collect()
+    assert last == [0]
+    assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == 14
+
+
+def test_nearest_pairs_come_first(spark):
+    # two components and a third: one link of the nearest pair is enough for the 99 others between the first two
+    pairs = [(a, b, 0, 100, 0.5 - (a == 3 and b == 107) / 4) for a in range(10) for b in range(100, 110)]
+    pairs += [(3, 200, 0, 200, 0.1), (101, 200, 100, 200, 0.2)]
+    frame_ = spark.createDataFrame(pairs, "a long, b long, a_comp long, b_comp long, apart double")
+    nearest = shingle_join.nearest_pairs(frame_)
+    assert {(r["a"], r["b"]) for r in nearest.collect()} == {(3, 107), (3, 200), (101, 200)}
+    apart = shingle_join.still_apart(frame_, nearest.filter("b = 107")).select("a", "b").collect()
+    assert {tuple(r) for r in apart} == {(3, 200), (101, 200)}
+    assert shingle_join.still_apart(frame_, nearest.filter("b = 0")).count() == 102
+
+
 def test_common_shingles_are_looked_up():
     rng = np.random.default_rng(1)
     known = np.sort(rng.integers(-2 ** 63, 2 ** 63 - 1, 1 << 18))

@@ -16,9 +16,10 @@ many documents share) get a second one, in which the common shingles come last;
 meet by it. Any order finds all links, this one keeps the buckets small.
 
 Links are verified by counting shared shingles. So that a group of n near copies does not make n * n
-pairs, every bucket is first compared with its most central members only, and what already is
-connected is not compared again; the pairs that are left, if a bound on their difference allows a
-link, are compared one by one. No link that joins two components is lost.
+pairs, every bucket is first compared with its most central members only, which then leave it, and
+what already is connected is not compared again. Of the pairs that are left, if a bound on their
+difference allows a link, the nearest between any two components come first; the others are compared
+one by one if their components are still apart. No link that joins two components is lost.
 
 Cases: words are cut at ASCII white space, A-Z in lower case. A text with fewer words than a shingle
 is one shingle; one without words (or null) has none and links with nothing. Equal rows fall
@@ -317,6 +318,24 @@ def none_shared(a: list[str], b: list[str]) -> Column:
     return ~same
 
 
+#: Weights are compared in steps of one to so many.
+WEIGHT_STEPS = 1 << 24
+
+
+def met_heads(work: DataFrame, rank: Column, percent: int) -> DataFrame:
+    """Entries without their buckets' heads (of the largest rank), stored; ``head`` if the two may link.
+
+    ``left`` tells whether an entry has others to meet in its bucket than the head, which has met all.
+    """
+    head = [F.max_by(c, rank).alias(f"head_{c}") for c in ("cid", "n", "comp")]
+    heads = work.groupBy("bucket").agg(*head, F.count("*").alias("members"))
+    may_link = (F.col("comp") != F.col("head_comp")) & sizes_allow(F.col("n"), F.col("head_n"), percent)
+    met = work.join(heads, "bucket").filter(F.col("cid") != F.col("head_cid")).select(
+        "cid", "n", "bucket", "comp", F.when(may_link, F.col("head_cid")).alias("head"),
+        (F.col("members") > 2).alias("left"))
+    return stage(met.filter(F.col("left") | F.col("head").isNotNull()), "met")
+
+
 def link_components(entries: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int,
                     rounds: int = ROUNDS) -> DataFrame:
     """Columns node, comp over all links between sets that share a bucket."""
@@ -326,11 +345,14 @@ def link_components(entries: DataFrame, sets: DataFrame, docs: DataFrame, words:
     work = stage(entries.select("cid", "n", "bucket", central.alias("weight"), F.col("cid").alias("comp")), "entries")
     done, new, n_sets = None, 0, sets.count()
     for round_ in range(rounds):
-        rank = F.struct(F.lit(0.0) if round_ else F.col("weight"), F.xxhash64("cid", F.lit(round_)))
-        heads = work.groupBy("bucket").agg(F.max_by(F.struct("cid", "n", "comp"), rank).alias("head"))
-        pairs = (work.join(heads, "bucket").filter(F.col("comp") != F.col("head.comp"))
-                 .filter(sizes_allow(F.col("n"), F.col("head.n"), percent))
-                 .select(F.least("cid", "head.cid").alias("a"), F.greatest("cid", "head.cid").alias("b")).distinct())
+        rank = F.xxhash64("cid", F.lit(round_))
+        if not round_:
+            steps = F.least(F.col("weight") * WEIGHT_STEPS, F.lit((1 << 31) - 1)).cast("long")
+            rank = F.shiftleft(steps, 32).bitwiseOR(rank.bitwiseAND(F.lit((1 << 32) - 1)))
+        met = met_heads(work, rank, percent)
+        work = met.filter("left").select("cid", "n", "bucket", "comp")
+        pairs = met.filter("head is not null").select(
+            F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
@@ -347,16 +369,40 @@ def link_components(entries: DataFrame, sets: DataFrame, docs: DataFrame, words:
     other = rest.select(*[F.col(c).alias(f"{c}_") for c in rest.columns])
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in SHORT[1:]),
                  F.bit_count(F.col(SHORT[0]).bitwiseXOR(F.col(f"{SHORT[0]}_"))))
+    total = F.col("n") + F.col("n_")
     pairs = rest.join(other, (F.col("bucket") == F.col("bucket_")) & (F.col("cid") < F.col("cid_"))
                       & (F.col("comp") != F.col("comp_")) & sizes_allow(F.col("n"), F.col("n_"), percent)
                       & none_shared(BEFORE, [f"{c}_" for c in BEFORE])
-                      & (differ * (100 + percent) <= (F.col("n") + F.col("n_")) * (100 - percent)))
-    pairs = stage(pairs.select(F.col("cid").alias("a"), F.col("cid_").alias("b")).distinct()
+                      & (differ * (100 + percent) <= total * (100 - percent)))
+    pairs = stage(pairs.select(F.col("cid").alias("a"), F.col("cid_").alias("b"), F.col("comp").alias("a_comp"),
+                               F.col("comp_").alias("b_comp"), (differ / total).alias("apart")).distinct()
                   .join(done, ["a", "b"], "left_anti"), "pairs")
     # many of these pairs are of large sets, of whose parities a quarter is enough to tell most apart
     quarter = sets.select("cid", "n", folded(folded(F.col("parity"))).alias("parity"))
-    pairs = near_pairs(pairs, quarter, percent).select("a", "b")
-    return components(links.unionByName(verified(pairs, sets, docs, words, percent)))
+
+    def linked(some: DataFrame) -> DataFrame:
+        return verified(near_pairs(some, quarter, percent).select("a", "b"), sets, docs, words, percent)
+
+    nearest = stage(nearest_pairs(pairs), "nearest")
+    first = linked(nearest.select("a", "b"))
+    later = still_apart(pairs, nearest.join(first, ["a", "b"], "left_semi")).join(nearest, ["a", "b"], "left_anti")
+    return components(links.unionByName(first).unionByName(linked(stage(later.select("a", "b"), "later"))))
+
+
+def nearest_pairs(pairs: DataFrame) -> DataFrame:
+    """Of the pairs between any two components the one that seems least apart."""
+    ends = [F.least("a_comp", "b_comp").alias("x"), F.greatest("a_comp", "b_comp").alias("y")]
+    least = pairs.groupBy(*ends).agg(F.min(F.struct("apart", "a", "b", "a_comp", "b_comp")).alias("pair"))
+    return least.select("pair.a", "pair.b", "pair.a_comp", "pair.b_comp")
+
+
+def still_apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, a_comp, b_comp) those whose components are not connected by the ``linked`` ones."""
+    comps = components(linked.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    for end in ("a", "b"):
+        now = comps.select(F.col("node").alias(f"{end}_comp"), F.col("comp").alias(f"{end}_now"))
+        pairs = pairs.join(now, f"{end}_comp", "left")
+    return pairs.filter(F.coalesce("a_now", "a_comp") != F.coalesce("b_now", "b_comp"))
 
 
 def relabelled(work: DataFrame, links: DataFrame) -> DataFrame:
